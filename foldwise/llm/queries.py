@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.llm import bpe as _bpe
 from foldwise.llm import exact_dedup as _exact
 from foldwise.llm.shared import table, text_or_empty
 
@@ -32,3 +33,16 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, text_sha256
 from d window g as (partition by text_sha256)
 """
+
+
+def rank_file() -> tuple[str, str]:
+    """Place of the rank file and the pattern that goes with it; the package is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = rank_file()
+    return _bpe.digests(_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
