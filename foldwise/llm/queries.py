@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm import bpe as _bpe
 from foldwise.llm import exact_dedup as _exact
+from foldwise.llm import langid as _langid
 from foldwise.llm.shared import table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,9 @@ def rank_file() -> tuple[str, str]:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = rank_file()
     return _bpe.digests(_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
+
+
+@query
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.coalesce(_langid.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
