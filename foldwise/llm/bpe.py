@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from foldwise.llm.shared import only
 
 #: Code points of a chunk, and by how many it reaches into the next one.
-CHUNK, OVERLAP = 8192, 512
+CHUNK, OVERLAP = 16384, 512
 
 #: So many code points decide whether a short alternative of the pattern ('ll) matches.
 LOOK = 3
