@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foldwise.llm import bpe as _bpe
 from foldwise.llm import exact_dedup as _exact
 from foldwise.llm import langid as _langid
+from foldwise.llm import near_dedup as _near
 from foldwise.llm import pii as _pii
 from foldwise.llm.shared import table, text_or_empty
 
@@ -62,3 +63,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return found.select("doc_id", *[count(k) for k in _pii.BASE], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_groups(table(spark, sf_dir, "documents"), words=2)
