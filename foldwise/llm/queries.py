@@ -12,6 +12,7 @@ from foldwise.llm import exact_dedup as _exact
 from foldwise.llm import langid as _langid
 from foldwise.llm import near_dedup as _near
 from foldwise.llm import pii as _pii
+from foldwise.llm import va_topk as _va
 from foldwise.llm.shared import table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_groups(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op8_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _va.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+ORACLES["op8_va_topk"] = """
+with ok as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+      from ok q join ok c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
