@@ -13,6 +13,7 @@ from foldwise.llm import langid as _langid
 from foldwise.llm import near_dedup as _near
 from foldwise.llm import pii as _pii
 from foldwise.llm import va_topk as _va
+from foldwise.llm import warc as _warc
 from foldwise.llm.shared import table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,8 @@ s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigin
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc.derive(_warc.responses(table(spark, sf_dir, "pages")))
