@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from foldwise.llm import bpe as _bpe
 from foldwise.llm import exact_dedup as _exact
 from foldwise.llm import langid as _langid
+from foldwise.llm import line_dedup as _lines
+from foldwise.llm import mixing as _mixing
 from foldwise.llm import near_dedup as _near
 from foldwise.llm import pii as _pii
 from foldwise.llm import va_topk as _va
@@ -92,3 +94,20 @@ select query_id, rank, vec_id, score from r where rank <= 20
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.derive(_warc.responses(table(spark, sf_dir, "pages")))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op5_line_dedup"] = _lines.ORACLE
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = _mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", _mixing.words(F.col("text")).alias("n_words"), "epoch", "order_key")
+
+
+ORACLES["op6_mixing"] = _mixing.ORACLE
