@@ -20,11 +20,10 @@ WORDS, PERCENT = 5, 80
 SIDE, TUPLE = 10, 2
 #: A candidate needs so many equal minhashes of 2 * SIDE * TUPLE to be confirmed; fewer have probability 1e-5 at 0.8.
 LEAST_EQUAL = 20
+#: Buckets of more rows make dense clusters, which are compared by blocks of about BLOCK sets; shingles of a block taken at once.
+LARGE, BLOCK, SLAB = 64, 256, 1 << 14
 #: Tables of at most so many 16-byte rows are broadcast (after they were counted); larger ones are joined by shuffle.
 SMALL = 1_000_000
-#: Buckets of more rows are first thinned by what their members' sets can share at all.
-LARGE = 16
-
 
 def _semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """df's rows whose key is in ids, which has been written already; broadcast only if its counted size allows it."""
@@ -32,7 +31,7 @@ def _semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, f1, f2, mh): size and 128-bit fingerprint of each document's shingle set, and its minhashes."""
+    """(doc_id, n, f1, f2, mh): size and 128-bit fingerprint of each document's shingle set, and 16 bits of each of its minhashes."""
     k = 2 * SIDE * TUPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,26 +39,35 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             at = 0
             for lists in word_lists(b.column("text")):
                 sets = [shingle_set(w, words) for w in lists]
-                mh = (minhashes(sets, k) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                mh = mix(minhashes(sets, k)).astype(np.uint16)
                 f = np.frombuffer(b"".join(fingerprint(s) for s in sets), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * k), pa.array(mh.ravel())),
+                        pa.array([row.tobytes() for row in mh], pa.binary()),
                     ],
                     ["doc_id", "n", "f1", "f2", "mh"],
                 )
                 at += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, mh array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, mh binary")
+
+
+def _minhashes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), 2 * SIDE * TUPLE)
+
+
+def _tuples(mh: np.ndarray) -> np.ndarray:
+    """Row by collection by place: the tuples of minhashes as numbers."""
+    out = np.zeros((len(mh), 2, SIDE), np.uint64)
+    for part in np.moveaxis(mh.reshape(len(mh), 2, SIDE, TUPLE), -1, 0):
+        out = (out << np.uint64(16)) | part
+    return out
 
 
 def table_keys(mh: np.ndarray) -> np.ndarray:
-    """Row by table: the keys of all SIDE**2 tables from the minhashes of each row."""
-    tuples = mh.astype(np.int64).view(np.uint64).reshape(len(mh), 2, SIDE, TUPLE)
-    half = np.zeros((len(mh), 2, SIDE), np.uint64) + np.arange(2 * SIDE, dtype=np.uint64).reshape(2, SIDE)
-    for i in range(TUPLE):
-        half = mix(half + tuples[:, :, :, i])
+    """Row by table: the keys of all SIDE**2 tables, each of a tuple of either collection."""
+    half = mix(_tuples(mh) + np.arange(1, 2 * SIDE + 1, dtype=np.uint64).reshape(2, SIDE) * np.uint64(0xD6E8FEB86659FD93))
     return mix(half[:, 0, :, None] + half[:, 1, None, :] * np.uint64(0x9E3779B97F4A7C15)).reshape(len(mh), -1).view(np.int64)
 
 
@@ -68,11 +76,10 @@ def _keys(reps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("id").to_numpy()
-            mh = b.column("mh").flatten().to_numpy().reshape(len(ids), -1)
-            for a in range(0, len(ids), 1000):
-                keys = table_keys(mh[a : a + 1000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[a : a + 1000], keys.shape[1]))], ["key", "id"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                keys = table_keys(_minhashes(part.column("mh")))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("id").to_numpy(), keys.shape[1]))], ["key", "id"])
 
     return reps.select("id", "mh").mapInArrow(run, "key long, id long")
 
@@ -91,17 +98,18 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return cut(rows.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]))
 
 
-def _equal(a: str, b: str) -> Column:
-    """How many minhashes of two arrays are equal."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
 def _worth(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs that sizes and minhashes don't rule out; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            equal = (_minhashes(b.column("ma")) == _minhashes(b.column("mb"))).sum(axis=1)
+            yield b.select(["a", "b"]).filter(pa.array(equal >= LEAST_EQUAL))
+
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("mh").alias(f"m{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(_equal("ma", "mb") >= LEAST_EQUAL)
-    return cut(near.select("a", "b"))
+    near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return cut(near.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long"))
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -124,48 +132,96 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return cut(met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
-def _shared_sizes(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, c): how many shingles of each named document any other of them has too."""
-    sets = _sets(docs, ids, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, s in zip(b.column("id").to_pylist(), b.column("s"), strict=True):
-                h = np.frombuffer(s.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i))], ["h", "id"])
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, first, component, rows): the rows of buckets with more than one component; written."""
+    named = members.join(labels, "id", "left").select("key", "id", "first", F.coalesce("component", "id").alias("component"))
+    size = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    size = cut(size.where("lo <> hi").select("key", "rows"))
+    return cut(named.join(F.broadcast(size) if size.count() <= SMALL else size, "key"))
 
-    # a shingle with one owner is known by its smallest and largest owner, so a shingle of very many owners is no hot row
-    owners = sets.mapInArrow(run, "h long, id long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    lone = owners.where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-    sizes = sets.select("id", (F.octet_length("s") / 8).cast("long").alias("n"))
-    return sizes.join(lone, "id", "left").select("id", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("c"))
 
+def _sparse(mixed: DataFrame, clusters: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components that share a small bucket, each once; written.
 
-def _across(docs: DataFrame, members: DataFrame, labels: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of one bucket that are still in different components.
+    Buckets lie together in sorted partitions and are compared within numpy. A pair counts in the
+    first table that it shares. Pairs within a dense cluster are left to _dense.
+    """
 
-    Of each mixed bucket, only rows outside its largest component are set against the others. In a
-    large bucket a pair goes on only if what its documents share with any document of large buckets
-    leaves room for the similarity. So pairs within a component, however large, are never formed.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            key = t.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            rest = t.slice(last)
+            yield compare(t.slice(0, last))
+        if rest is not None:
+            yield compare(rest)
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+        t = t.combine_chunks()
+        key, ids, n, part, cluster = (t.column(c).to_numpy() for c in ("key", "id", "n", "component", "cluster"))
+        mh = np.concatenate([_minhashes(c) for c in t.column("mh").chunks] or [np.empty((0, 2 * SIDE * TUPLE), np.uint16)])
+        keys = tuples = None
+        for gap in range(1, min(LARGE, len(key))):
+            a = np.flatnonzero(key[gap:] == key[:-gap])
+            if not len(a):
+                break
+            b = a + gap
+            ok = (part[a] != part[b]) & ((cluster[a] != cluster[b]) | (cluster[a] < 0)) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+            a, b = a[ok], b[ok]
+            for at in range(0, len(a), 1 << 16):
+                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                near = (mh[x] == mh[y]).sum(axis=1) >= LEAST_EQUAL
+                x, y = x[near], y[near]
+                same = _tuples(mh[x]) == _tuples(mh[y])
+                table = same[:, 0].argmax(axis=1) * SIDE + same[:, 1].argmax(axis=1)
+                first = table_keys(mh[x])[np.arange(len(x)), table] == key[x] if len(x) else np.empty(0, bool)
+                found.append(np.stack([np.minimum(ids[x], ids[y])[first], np.maximum(ids[x], ids[y])[first]], axis=1))
+        pairs = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    rows = mixed.where(F.col("rows") <= LARGE).join(clusters, "id", "left").join(reps.select("id", "n", "mh"), "id")
+    rows = rows.select("key", "id", "component", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "n", "mh")
+    return cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
+
+
+def _dense(docs: DataFrame, clusters: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a dense cluster, confirmed on full sets; written.
+
+    A cluster's sets are dealt into blocks by a hash; each pair of blocks is one task, which gets all
+    the intersections at once as a product of 0/1 matrices. No pair but a link leaves a task.
     """
-    named = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("key").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"))
-    mixed = cut(mixed.where("parts > 1").select("key", "rows", "main"))
-    rows = cut(named.join(mixed, "key").join(reps.select("id", "n"), "id"))
-    big = cut(rows.where(F.col("rows") > LARGE).select("id").distinct())
-    if big.limit(1).count():
-        rows = rows.join(_shared_sizes(docs, big, words), "id", "left").withColumn("c", F.when(F.col("rows") > LARGE, F.col("c")).otherwise(F.col("n")))
-        rows = cut(rows.where(F.col("c") * 100 >= F.col("n") * percent))
-    else:
-        rows = rows.withColumn("c", F.col("n"))
-    x = rows.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("c").alias("sx"))
-    y = rows.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("c").alias("sy"), (F.col("component") == F.col("main")).alias("major"))
-    most = F.least("sx", "sy")
-    fits = (F.col("cx") != F.col("cy")) & (F.col("major") | (F.col("x") < F.col("y"))) & (most * 100 >= (F.col("nx") + F.col("ny") - most) * percent)
-    y = y.withColumnRenamed("key", "k")
-    met = x.join(y, (F.col("key") == F.col("k")) & fits)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def run(t: pa.Table) -> pa.Table:
+        block, ids, part = (t.column(c).to_numpy() for c in ("block", "id", "component"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[code] > 1
+        owner, code = owner[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int((count > 1).sum()), SLAB):
+            some = (code >= at) & (code < at + SLAB)
+            m = np.zeros((len(sets), SLAB), np.float32)
+            m[owner[some], code[some] - at] = 1
+            both += m[left] @ m[right].T
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        hit = (100.0 * both >= percent * union) & (part[left][:, None] != part[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
+        x, y = np.nonzero(hit)
+        a, b = ids[left[x]], ids[right[y]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = clusters.join(sizes, "cluster").join(labels, "id", "left").select("cluster", "id", "blocks", F.coalesce("component", "id").alias("component"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).join(_sets(docs, clusters.select("id"), words), "id")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return cut(dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long"))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -176,11 +232,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     100 * intersection >= percent * union; component_id is the smallest doc_id that links lead to, and
     the document with that doc_id is kept.
 
-    Equal sets are one representative. Its minhashes are put into SIDE**2 tables, each keyed by a tuple of
-    the one collection and one of the other. Every member of a bucket is set against the bucket's first;
-    confirmed links form components; then only members of different components are set against each
-    other (see _across). Candidates are confirmed on full sets. Links within a component that would change nothing are
-    not looked for.
+    Equal sets are one representative. Its minhashes are put into SIDE**2 tables, each keyed by a tuple
+    of the one collection and one of the other. Every member of a bucket is set against the bucket's
+    first, and the links that full sets confirm form components. Then members of one bucket that are
+    still in different components are set against each other: those of small buckets pair by pair (see
+    _sparse), those of large ones by blocks (see _dense). Links within a component change nothing and
+    aren't looked for, so a large group of near copies costs a link each and not a pair each.
 
     A null or empty text, or one of white space, has no shingles, is linked with nothing and kept. Rows
     with a null doc_id are no documents. Repeated rows of a doc_id are one document; of different texts
@@ -197,7 +254,10 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = confirm(docs, _worth(pairs, reps, percent), words, percent)
     labels = components(links)
-    more = confirm(docs, _worth(_across(docs, members.select("key", "id"), labels, reps, words, percent), reps, percent), words, percent)
+    mixed = _mixed(members, labels)
+    clusters = components(mixed.where(F.col("rows") > LARGE).select(F.col("first").alias("a"), F.col("id").alias("b")))
+    clusters = cut(clusters.withColumnRenamed("component", "cluster"))
+    more = confirm(docs, _sparse(mixed, clusters, reps, percent), words, percent).union(_dense(docs, clusters, labels, words, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
     of = reps.join(labels, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component_id"))

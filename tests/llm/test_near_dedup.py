@@ -80,8 +80,11 @@ def test_a_large_group_around_one_text(spark, monkeypatch):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_groups(docs, 2).collect()}
     assert got == brute(rows, 2)
     monkeypatch.setattr(near_dedup, "SMALL", 0)
-    monkeypatch.setattr(near_dedup, "LARGE", 10**6)
-    assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_groups(docs, 2).collect()} == got
+    for large, block, slab in ((3, 20, 50), (10**6, 256, 1000)):
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "SLAB", slab)
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_groups(docs, 2).collect()} == got
 
 
 def test_empty_table(spark):
