@@ -14,9 +14,10 @@ from foldwise.llm import line_dedup as _lines
 from foldwise.llm import mixing as _mixing
 from foldwise.llm import near_dedup as _near
 from foldwise.llm import pii as _pii
+from foldwise.llm import training_order as _order
 from foldwise.llm import va_topk as _va
 from foldwise.llm import warc as _warc
-from foldwise.llm.shared import table, text_or_empty
+from foldwise.llm.shared import fresh_path, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +112,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_mixing"] = _mixing.ORACLE
+
+
+@query
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "training-order")
+    layout = _order.materialise(_order.byte_tokens(table(spark, sf_dir, "documents")), path)
+    offset = (F.col("slot") % layout.shard_rows) * layout.stride
+    ids = F.substring("ids", F.lit(1), (F.col("n_tokens") * layout.width).cast("int"))
+    return _order.read(spark, path).select("slot", "shard", offset.alias("byte_offset"), "doc_id", "seq_no", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"))
