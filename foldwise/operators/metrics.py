@@ -240,7 +240,7 @@ def brier_decomposition(df: DataFrame, p: str, outcome: str, n_bins: int = 10, b
 
 def compute_pr_auc(df: DataFrame, p: str, outcome: str, tie: str, by: list[str] | None = None) -> DataFrame:
     """(by, pr_auc, baseline, precision_at_50_recall, n_positive, n_total): trapezoid under the
-    precision-recall curve from (0, baseline); ties in p go by `tie`. 0 without positives, 1 without negatives.
+    precision-recall curve from (0, baseline); ties in p go by `tie`. 0 (and no precision) without positives, 1 without negatives.
 
     Rows of a group are ordered in a window; for a group too large for one task, give `by` a key of parts.
     """
@@ -255,11 +255,9 @@ def compute_pr_auc(df: DataFrame, p: str, outcome: str, tie: str, by: list[str]
     before_p, before_r = F.coalesce(F.lag("_pr").over(w), base), F.coalesce(F.lag("_rc").over(w), F.lit(0.0))
     rows = rows.withColumn("_area", (F.col("_rc") - before_r) * (F.col("_pr") + before_p) / 2)
     pos, n = F.max("_pos"), F.max("_n")
-    # the point of the curve nearest to recall 1/2; the start (0, baseline) counts as the first
     near = F.min_by("_pr", F.struct(F.abs(F.col("_rc") - 0.5), F.col("_k")))
-    at_half = F.when(F.min(F.abs(F.col("_rc") - 0.5)) < 0.5, near).otherwise(F.max(base))
     area = F.when(pos == 0, 0.0).when(pos == n, 1.0).otherwise(F.sum("_area"))
-    half = F.when(pos == 0, 0.0).when(pos == n, 1.0).otherwise(at_half)
+    half = F.when(pos == n, 1.0).when(pos > 0, near)
     return rows.groupBy(*by).agg(area.alias("pr_auc"), F.max(base).alias("baseline"), half.alias("precision_at_50_recall"), pos.cast("long").alias("n_positive"), n.alias("n_total"))
 
 
