@@ -242,7 +242,7 @@ def forecast_encompassing_test(df: DataFrame, actual: str, forecast_a: str, fore
     """(by, n, lambda, intercept, statistic, p_value, encompasses): regress A's error on the difference of the forecasts;
     A encompasses B if the slope isn't significant, t(n - 2).
 
-    Beyond one step the slope's variance uses the autocorrelation-robust variance of the products of scores.
+    Beyond one step the slope's variance uses the autocorrelation-robust variances of products of scores.
     """
     e, x = F.col(actual) - F.col(forecast_a), F.col(forecast_b) - F.col(forecast_a)
     rows = df.select(*by, *order, e.alias("_e"), x.alias("_x")).where("_e is not null and _x is not null")
@@ -256,14 +256,14 @@ def forecast_encompassing_test(df: DataFrame, actual: str, forecast_a: str, fore
         from foldwise.operators.metrics import with_group_values
 
         u = with_group_values(rows, fit.select(*by, "lambda", "intercept", "sxx", "mx"), by)
-        # the slope's influence is u (x - mean) / sxx, so its sandwich needs one long-run variance
-        u = u.withColumn("_s", (F.col("_e") - F.col("intercept") - F.col("lambda") * F.col("_x")) * (F.col("_x") - F.col("mx")))
-        w = ordered(by, order)
-        u = u.select("*", *[F.lag("_s", j).over(w).alias(f"_s{j}") for j in range(1, h)])
-        total = F.sum(F.col("_s") * F.col("_s"))
-        for j in range(1, h):
-            total = total + 2 * bartlett_kernel(j, h - 1) * F.coalesce(F.sum(F.col("_s") * F.col(f"_s{j}")), F.lit(0.0))
-        lrv = u.groupBy(*by).agg((total / F.pow(F.max("sxx"), 2)).alias("variance"))
+        # this test's middle matrix holds the robust variances of the sums of u^2, u^2 x and u^2 x^2
+        resid = F.col("_e") - F.col("intercept") - F.col("lambda") * F.col("_x")
+        for i in range(3):
+            u = demeaned_lags(u.withColumn(f"_p{i}", resid * resid * F.pow("_x", F.lit(float(i)))), f"_p{i}", by, order, h - 1, f"_q{i}")
+        var = [hac_mean_variance(h - 1, f"_q{i}") * F.count("_e") for i in range(3)]
+        n, sx, raw = F.count("_e"), F.sum("_x"), F.sum(F.col("_x") * F.col("_x"))
+        det = n * raw - sx * sx
+        lrv = u.groupBy(*by).agg(((sx * sx * var[0] - 2 * sx * n * var[1] + n * n * var[2]) / (det * det)).alias("variance"))
         out = fit.join(lrv, by) if by else fit.crossJoin(lrv)
     stat = F.when((F.col("variance") > 0) & (F.col("n") >= LEAST_ENCOMPASSING), F.col("lambda") / F.sqrt("variance"))
     out = out.withColumn("statistic", stat).withColumn("p_value", p_value_col(F.col("statistic"), F.col("n") - 2, "two-sided", "t"))
