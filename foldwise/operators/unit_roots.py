@@ -139,14 +139,14 @@ def kpss_test(df: DataFrame, value: str, by: list[str], order: list[str], regres
 
 
 def check_stationarity(df: DataFrame, value: str, by: list[str], order: list[str], alpha: float = 0.05, regression: str = "c") -> DataFrame:
-    """(by, adf_p, kpss_p, conclusion): stationary, difference_stationary, non_stationary or inconclusive, by which tests reject."""
+    """(by, adf_p, kpss_p, conclusion): stationary, difference_stationary, non_stationary or insufficient_evidence, by which tests reject."""
 
     def one(y):
         if len(y) < LEAST:
             return None, None, None
         a, k = adf(y, None, regression)[1], kpss(y, regression)[1]
         reject_root, reject_level = a < alpha, k < alpha
-        word = {(True, False): "stationary", (False, True): "non_stationary", (True, True): "difference_stationary", (False, False): "inconclusive"}
+        word = {(True, False): "stationary", (False, True): "non_stationary", (True, True): "difference_stationary", (False, False): "insufficient_evidence"}
         return a, k, word[reject_root, reject_level]
 
     return _per_series(df, value, by, order, one, "adf_p double, kpss_p double, conclusion string", ["adf_p", "kpss_p", "conclusion"])
