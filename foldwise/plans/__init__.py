@@ -1,0 +1,15 @@
+"""Queries over the driver's tables, by name."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from foldwise.plans import metric_queries, registry  # noqa: F401
+
+    return dict(registry.QUERIES)
+
+
+def all_oracles() -> dict:
+    from foldwise.plans import metric_queries, registry  # noqa: F401
+
+    return dict(registry.ORACLES)
