@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.shared import only
+from foldwise.llm.shared import only, slices
 
 #: Code points of a chunk, and by how many it reaches into the next one.
 CHUNK, OVERLAP = 16384, 512
@@ -125,12 +125,12 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path, pattern).encode_ordinary
-        for b in batches:
+        for b in slices(batches):
             ids = [np.asarray(run(t), np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for doc, of, text in zip(b.column("doc_id"), b.column("of").to_pylist(), b.column("text").to_pylist(), strict=True):
                 parts = chunked(text, size, overlap)
                 yield pa.RecordBatch.from_arrays(
@@ -139,7 +139,7 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap:
                 )
 
     def presplit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ends = [boundaries(t, pattern).astype(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(ends)], [*b.schema.names, "ends"])
 
@@ -173,7 +173,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = token_bytes(path)
-        for b in batches:
+        for b in slices(batches):
             out = [None if ids is None else b"".join([known[i] for i in ids]) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
@@ -186,7 +186,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = token_bytes(path)
         spoken = [b"%d" % i for i in range(len(known))]
-        for b in batches:
+        for b in slices(batches):
             n, of_ids, of_bytes = [], [], []
             for ids in b.column("ids"):
                 each = ids.values.to_pylist()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.shared import only
+from foldwise.llm.shared import only, slices
 
 #: Lengths of the subwords, and the number of hash buckets they share.
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 15, 16
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = None if small is None else Model(*small)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             if m is None or not texts:
                 lang, score, gone = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -244,7 +244,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     small = fit(texts, labels) if texts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if small is None or not b.num_rows:
                 continue
             p, letters = probabilities(small, [t or "" for t in b.column("text").to_pylist()])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foldwise.llm.shared import only
+from foldwise.llm.shared import only, slices
 
 #: Kinds in the order of the digests; the field may find the last one too, for which there is no rule.
 BASE = ("email", "ip", "card", "phone")
@@ -363,7 +363,7 @@ def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     row = lambda spans: [{"start": a, "stop": b, "kind": k} for a, b, k in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             base = [base_spans(t or "") for t in b.column("text").to_pylist()]
             full = [all_spans(t or "", w, s) for t, s in zip(b.column("text").to_pylist(), base, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([row(s) for s in base], shape), pa.array([row(s) for s in full], shape)], ["doc_id", "base", "spans"])

@@ -12,7 +12,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.llm.shared import only
+from foldwise.llm.shared import only, slices
 
 #: The date of records made from tables that have none.
 DATE = "2024-01-01T00:00:00Z"
@@ -81,7 +81,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records of fetched pages (page_id, url, html); a null page or address counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, url, page in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
                 body = (page or "").encode("utf-8", "surrogatepass")
@@ -118,7 +118,7 @@ def derive(source: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for r in b.to_pylist():
                 head, payload, url = r["http_head"] or "", r["payload"] or b"", r["target_uri"] or ""
@@ -177,7 +177,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
-        for b in batches:
+        for b in slices(batches):
             for content in b.column("content").to_pylist():
                 data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
                 rows = []
