@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.shared import cut, only
+from foldwise.llm.shared import cut, only, slices
 from foldwise.llm.shingles import draws, mix
 
 #: Tokens of a sequence, records of a shard, and shards at most (beyond them, shards take more records).
@@ -144,34 +144,48 @@ def materialise(tokens: DataFrame, path: str, length: int = LENGTH, width: int =
         tokens = cut(tokens.dropDuplicates(["doc_id"]))
     starts, n = number(tokens, size)
     layout = Layout(n, length, width, max(shard_rows, -(-n // MOST_SHARDS)), key)
-    fill = np.frombuffer(int(pad).to_bytes(width, "little") * length, np.uint8)
     row_size, rows_each = layout.stride - 1, layout.shard_rows
+    filler = np.frombuffer(int(pad).to_bytes(width, "little"), np.uint8)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        """Records of some documents at a time, those of one shard together as one compressed row."""
+        for b in slices(batches, 1024):
             docs, firsts = b.column("doc_id").to_numpy(), b.column("first").to_numpy()
-            for i, ids in enumerate(b.column("ids")):
-                data = np.frombuffer(ids.as_buffer(), np.uint8)
-                k = -(-len(data) // size)
-                for at in range(0, k, 1 << 12):
-                    m = min(1 << 12, k - at)
-                    part = data[at * size : (at + m) * size]
-                    out = np.empty((m, row_size), np.uint8)
-                    body = np.concatenate([part, fill[: m * size - len(part)]]) if len(part) < m * size else part
-                    out[:, HEAD.itemsize :] = body.reshape(m, size)
-                    head = np.empty(m, HEAD)
-                    head["doc_id"], head["seq_no"] = docs[i], np.arange(at, at + m)
-                    head["n"] = np.minimum(length, (len(data) - np.arange(at, at + m) * size) // width)
-                    out[:, : HEAD.itemsize] = head.view(np.uint8).reshape(m, -1)
-                    slot = permute(firsts[i] + np.arange(at, at + m), n, key)
-                    offsets = pa.py_buffer(np.arange(m + 1, dtype=np.int32) * row_size)
-                    record = pa.Array.from_buffers(pa.binary(), m, [None, offsets, pa.py_buffer(np.ascontiguousarray(out))])
-                    yield pa.RecordBatch.from_arrays([pa.array((slot // rows_each).astype(np.int32)), pa.array(slot), record], ["shard", "slot", "record"])
+            data = [np.frombuffer(ids.as_buffer(), np.uint8) for ids in b.column("ids")]
+            sizes = np.array([len(d) for d in data], np.int64)
+            k = -(-sizes // size)
+            ends = np.cumsum(k)
+            seq = np.arange(ends[-1]) - np.repeat(ends - k, k)
+            body = np.tile(filler, int(ends[-1]) * length)
+            for d, at in zip(data, (ends - k) * size, strict=True):
+                body[at : at + len(d)] = d
+            head = np.empty(len(seq), HEAD)
+            head["doc_id"], head["seq_no"] = np.repeat(docs, k), seq
+            head["n"] = np.minimum(length, (np.repeat(sizes, k) - seq * size) // width)
+            out = np.concatenate([head.view(np.uint8).reshape(len(seq), -1), body.reshape(len(seq), size)], axis=1)
+            slot = permute(np.repeat(firsts, k) + seq, n, key)
+            order = np.argsort(slot)
+            shard = slot[order] // rows_each
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            parts = [(int(shard[x]), order[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in parts], pa.int32()), pa.array([slot[i].tobytes() for _, i in parts], pa.binary()), pa.array([zlib.compress(out[i].tobytes(), 1) for _, i in parts], pa.binary())],
+                ["shard", "slots", "records"],
+            )
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 16):
+            for shard, slots, records in zip(b.column("shard").to_pylist(), b.column("slots").to_pylist(), b.column("records").to_pylist(), strict=True):
+                at, raw = np.frombuffer(slots, np.int64), zlib.decompress(records)
+                offsets = pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * row_size)
+                record = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(at), record], ["shard", "slot", "record"])
 
     if n:
         met = tokens.join(F.broadcast(starts) if starts.count() <= SMALL else starts, "doc_id")
-        placed = met.select("doc_id", "first", "ids").mapInArrow(_gathered(place), "shard int, slot long, record binary")
-        placed = placed.repartitionById(layout.shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+        placed = met.select("doc_id", "first", "ids").mapInArrow(place, "shard int, slots binary, records binary")
+        placed = placed.repartitionById(layout.shards, F.col("shard")).mapInArrow(_gathered(unpack), "shard int, slot long, record binary")
+        placed = placed.sortWithinPartitions("shard", "slot")
         placed.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/data")
     spark.createDataFrame([tuple(asdict(layout).values())], "n long, length int, width int, shard_rows long, key long").coalesce(1).write.json(f"{path}/layout")
     return layout
