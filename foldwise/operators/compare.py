@@ -79,14 +79,18 @@ class KernelAdapter(ForecastAdapter):
         f, kind = self.f, dict(train.dtypes)["series_id"]
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values("idx")[["series_id", "idx"]]
+            if not len(b):
+                return pd.DataFrame({"series_id": [], "idx": [], "prediction": []})
+            b = b.sort_values("at").rename(columns={"key": "series_id", "at": "idx"})[["series_id", "idx"]]
             try:
-                p = np.asarray(f(a.sort_values("idx")["y"].to_numpy(float), len(b)), float) if len(a) and len(b) else np.full(len(b), np.nan)
+                p = np.asarray(f(a.sort_values("idx")["y"].to_numpy(float), len(b)), float) if len(a) else np.full(len(b), np.nan)
             except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError):
                 p = np.full(len(b), np.nan)
             return b.assign(prediction=p)
 
-        both = train.select("series_id", "idx", "y").groupBy("series_id").cogroup(test.select("series_id", "idx").groupBy("series_id"))
+        # both come from one panel, so the right side's columns get names and identities of their own
+        right = test.select(F.col("series_id").alias("key"), F.col("idx").alias("at"))
+        both = train.select("series_id", "idx", "y").groupBy("series_id").cogroup(right.groupBy("key"))
         out = both.applyInPandas(run, f"series_id {kind}, idx long, prediction double")
         return out.select("series_id", "idx", F.when(~F.isnan("prediction"), F.col("prediction")).alias("prediction"))
 

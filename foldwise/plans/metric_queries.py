@@ -163,9 +163,9 @@ c as (select event_type, quantile_cont(vol, 0.3333) as a, quantile_cont(vol, 0.6
 select event_type, round(avg(abs(p_mean7 - y)) filter (where vol <= a), 6) as low_mae, round(avg(abs(p_mean7 - y)) filter (where vol > a and vol <= b), 6) as med_mae, round(avg(abs(p_mean7 - y)) filter (where vol > b), 6) as high_mae,
   count(*) filter (where vol <= a) as n_low, count(*) filter (where vol > a and vol <= b) as n_med, count(*) filter (where vol > b) as n_high, round(avg(abs(p_mean7 - y)), 6) as overall_mae, round(avg(abs(p_mean7 - y) / (vol + 1e-8)), 6) as vn_mae
 from v join c using (event_type) group by event_type""")
-add("ewma_volatility", lambda s, d: rounded(regimes.ewma_volatility(panel(s, d).select("series_id", "idx", "y"), "y", BY, ["idx"]).select("series_id", "idx", "volatility"), "volatility"), f"""with recursive {PANEL}, z as (select series_id, idx, pow(y - avg(y) over (partition by series_id), 2) as v from s),
+add("ewma_volatility", lambda s, d: rounded(regimes.ewma_volatility(panel(s, d).select("series_id", "idx", "y"), "y", BY, ["idx"]).select("series_id", "idx", "volatility"), "volatility", digits=4), f"""with recursive {PANEL}, z as (select series_id, idx, pow(y - avg(y) over (partition by series_id), 2) as v from s),
 w(series_id, idx, v) as (select series_id, idx, v from z where idx = 0 union all select z.series_id, z.idx, 2.0 / 14 * z.v + (1 - 2.0 / 14) * w.v from w join z on z.series_id = w.series_id and z.idx = w.idx + 1)
-select series_id, idx, round(sqrt(v), 6) as volatility from w""")
+select series_id, idx, round(sqrt(v), 4) as volatility from w""")
 add("garch_volatility", lambda s, d: regimes.garch_volatility(panel(s, d).select("series_id", "idx", "y"), "y", BY, ["idx"]).select("series_id", "idx", "volatility"), None)
 
 CHANGES = f"{FC}, c as (select *, y - p_last as a, p_mean7 - p_last as b from f)"
@@ -223,7 +223,7 @@ SEGMENTS = f"{SPACED}, g as (select s.idx, s.y, sum((sp.idx is not null)::int) o
 add("segment_boundaries", lambda s, d: regimes.get_segment_boundaries(daily(s, d), BY, ["idx"], changepoints(s, d)).withColumn("segment", F.col("segment").cast("long")), f"{SEGMENTS} select 'all' as series_id, segment::bigint as segment, a as start, b as stop from vs")
 add("segment_regimes", lambda s, d: rounded(regimes.create_regime_indicators(daily(s, d), "y", BY, ["idx"], changepoints(s, d)).select("idx", "segment_value", "regime", F.col("periods_since_change").cast("long").alias("periods_since_change"), F.col("is_regime_change").cast("long").alias("is_regime_change")), "segment_value", digits=3),
     f"{SEGMENTS} select g.idx, round(v, 3) as segment_value, case when v < lo then 'LOW' when v > hi then 'HIGH' else 'MEDIUM' end as regime, g.idx - vs.a as periods_since_change, (g.idx - vs.a between 1 and 4)::bigint as is_regime_change from g join vs using (segment), cu")
-add("changepoints_pelt", lambda s, d: rounded(regimes.detect_changepoints_pelt(panel(s, d), "y", BY, ["idx"], penalty=50_000.0, min_size=5), "cost_reduction"), None)
+add("changepoints_pelt", lambda s, d: rounded(regimes.detect_changepoints_pelt(panel(s, d), "y", BY, ["idx"], penalty=9_000.0, min_size=5), "cost_reduction"), None)
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
