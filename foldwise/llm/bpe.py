@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.shared import only, slices
+from foldwise.llm.shared import bounded_batches, only, slices
 
 #: Code points of a chunk, and by how many it reaches into the next one.
 CHUNK, OVERLAP = 16384, 512
@@ -121,7 +121,7 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap:
     Null texts count as empty and give no ids. Repeated rows are each encoded. A null doc_id is a
     doc_id like others. Other columns are ignored. An empty table gives no rows.
     """
-    rows = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = only(bounded_batches(docs), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path, pattern).encode_ordinary

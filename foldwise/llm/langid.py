@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.shared import only, slices
+from foldwise.llm.shared import bounded_batches, only, slices
 
 #: Lengths of the subwords, and the number of hash buckets they share.
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 15, 16
@@ -221,7 +221,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 score, gone = np.where(letters, top, 0.0), ~letters | (top < m.threshold)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return only(bounded_batches(docs), "doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def fold(name: str = "doc_id") -> Column:
@@ -250,4 +250,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             p, letters = probabilities(small, [t or "" for t in b.column("text").to_pylist()])
             yield b.filter(pa.array(letters & (p.max(axis=1) >= small.threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

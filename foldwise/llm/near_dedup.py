@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.graph import components
-from foldwise.llm.shared import cut, only
+from foldwise.llm.shared import bounded_batches, cut, only
 from foldwise.llm.shingles import fingerprint, minhashes, mix, shingle_set, word_lists
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -244,7 +244,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     one decides. Other columns are ignored. An empty table gives no rows. Memory follows one text or
     one batch.
     """
-    docs = only(docs, "doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = only(bounded_batches(docs), "doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = cut(signatures(docs, words).dropDuplicates(["doc_id"]))
     full = signed.where("n > 0")
     heads = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))

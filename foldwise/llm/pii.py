@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foldwise.llm.shared import only, slices
+from foldwise.llm.shared import bounded_batches, only, slices
 
 #: Kinds in the order of the digests; the field may find the last one too, for which there is no rule.
 BASE = ("email", "ip", "card", "phone")
@@ -369,4 +369,4 @@ def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([row(s) for s in base], shape), pa.array([row(s) for s in full], shape)], ["doc_id", "base", "spans"])
 
     spans = "array<struct<start:int,stop:int,kind:string>>"
-    return only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {spans}, spans {spans}")
+    return only(bounded_batches(docs), "doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {spans}, spans {spans}")

@@ -49,6 +49,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+#: Rows of an Arrow batch between Spark and its Python workers; whole texts come in it, so memory follows it.
+BATCH_ROWS = "1000"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from here on the session hands them to Python in batches of BATCH_ROWS at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > int(BATCH_ROWS) or int(df.sparkSession.conf.get(name)) <= 0:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.shared import cut, only, slices
+from foldwise.llm.shared import bounded_batches, cut, only, slices
 from foldwise.llm.shingles import draws, mix
 
 #: Tokens of a sequence, records of a shard, and shards at most (beyond them, shards take more records).
@@ -138,7 +138,7 @@ def materialise(tokens: DataFrame, path: str, length: int = LENGTH, width: int =
     of rows that share a doc_id one is written. An empty table makes a layout without shards.
     """
     spark, size = tokens.sparkSession, length * width
-    tokens = tokens.where("doc_id is not null and octet_length(ids) > 0").select(F.col("doc_id").cast("long"), "ids")
+    tokens = bounded_batches(tokens).where("doc_id is not null and octet_length(ids) > 0").select(F.col("doc_id").cast("long"), "ids")
     twice = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
     if twice:
         tokens = cut(tokens.dropDuplicates(["doc_id"]))

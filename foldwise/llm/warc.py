@@ -12,7 +12,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.llm.shared import only, slices
+from foldwise.llm.shared import bounded_batches, only, slices
 
 #: The date of records made from tables that have none.
 DATE = "2024-01-01T00:00:00Z"
@@ -89,7 +89,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
                 rows.append((i, record_id("response", i, url, date), url or "", date, head, body, digest(body), digest(head.encode() + body)))
             yield _batch(rows, RESPONSE)
 
-    return only(pages, "page_id", "url", "html").selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(run, RESPONSE)
+    return only(bounded_batches(pages), "page_id", "url", "html").selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(run, RESPONSE)
 
 
 _ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
