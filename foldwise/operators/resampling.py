@@ -1,6 +1,6 @@
 """Block, stationary and wild bootstraps, and bagging over them; replicates are dealt over the cluster.
 
-Every replicate has its own generator seeded by (seed, replicate), so results don't depend on partitions.
+Draws depend on the seed and the number of rows alone, so results don't depend on partitions, and series of one length share them.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import copy
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,22 @@ def block_indices(n: int, length: int, rng: np.random.Generator) -> np.ndarray:
     return (starts[:, None] + np.arange(length)).ravel()[:n]
 
 
+@lru_cache(64)
+def block_draws(n: int, length: int, n_bootstrap: int, seed: int) -> np.ndarray:
+    """Replicate by row: the positions of all resamples of n rows."""
+    rng = np.random.default_rng([seed, n, length])
+    length = min(length, n)
+    starts = rng.integers(0, n - length + 1, (n_bootstrap, -(-n // length)))
+    return (starts[:, :, None] + np.arange(length)).reshape(n_bootstrap, -1)[:, :n]
+
+
+@lru_cache(64)
+def wild_weights(n: int, kind: str, n_bootstrap: int, seed: int) -> np.ndarray:
+    """Replicate by fold: random signs, or the six-point weights."""
+    values = np.array({"webb": SIX_POINT, "rademacher": (-1.0, 1.0)}[kind])
+    return values[np.random.default_rng([seed, n]).integers(0, len(values), (n_bootstrap, n))]
+
+
 def moving_block_bootstrap(df: DataFrame, value: str, by: list[str], order: list[str], statistic: Callable[[np.ndarray], float] = np.mean, n_bootstrap: int = 100, block_length: int | str = "auto", alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(by, estimate, ci_lower, ci_upper, std_error, n_valid, block_length): any statistic of a series on moving-block resamples; failing draws are left out.
 
@@ -44,9 +61,9 @@ def moving_block_bootstrap(df: DataFrame, value: str, by: list[str], order: list
         n = len(y)
         length = compute_block_length(n) if block_length == "auto" else int(block_length)
         draws = []
-        for b in range(n_bootstrap if n > 1 else 0):
+        for at in block_draws(n, length, n_bootstrap, seed) if n > 1 else ():
             try:
-                draws.append(float(statistic(y[block_indices(n, length, np.random.default_rng([seed, b]))])))
+                draws.append(float(statistic(y[at])))
             except (ValueError, ZeroDivisionError, FloatingPointError):
                 continue
         d = np.array([v for v in draws if np.isfinite(v)])
@@ -80,11 +97,10 @@ def wild_cluster_bootstrap(df: DataFrame, statistic: str, fold: str, by: list[st
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(fold)[statistic].dropna().to_numpy(float)
         kind = ("webb" if len(x) < FEW_FOLDS else "rademacher") if weight_type == "auto" else weight_type
-        values = np.array(SIX_POINT if kind == "webb" else (-1.0, 1.0))
         est = float(x.mean()) if len(x) else None
         row = [*key, est, None, None, None, None, len(x), kind]
         if len(x) > 1:
-            d = np.array([(values[np.random.default_rng([seed, b]).integers(0, len(values), len(x))] * x).mean() for b in range(n_bootstrap)])
+            d = wild_weights(len(x), kind, n_bootstrap, seed) @ x / len(x)
             lo, hi = np.percentile(d, [50 * alpha, 100 - 50 * alpha])
             p = 1.0 if abs(est) < 1e-15 else float((np.abs(d - d.mean()) >= abs(est)).mean())
             row = [*key, est, float(d.std(ddof=1)), lo, hi, p, len(x), kind]
