@@ -222,6 +222,13 @@ def calibration(df: DataFrame, p: str, outcome: str, n_bins: int = 10, by: list[
     return grid.join(got, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def compute_calibrated_direction_brier(df: DataFrame, p: str, outcome: str, n_bins: int = 10, by: list[str] | None = None) -> DataFrame:
+    """calibration's rows with the group's Brier score beside them."""
+    by = by or []
+    score = df.groupBy(*by).agg(compute_direction_brier(p, F.col(outcome).cast("double")).alias("brier"))
+    return with_group_values(calibration(df, p, outcome, n_bins, by), score, by)
+
+
 def brier_decomposition(df: DataFrame, p: str, outcome: str, n_bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """(by, brier, reliability, resolution, uncertainty, skill_score, n): Murphy's decomposition over equal bins; two-level aggregation."""
     by = by or []

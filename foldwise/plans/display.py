@@ -33,3 +33,10 @@ def metric_bars(results: DataFrame, model: str, metrics: list[str], baseline: st
         return long.withColumn("relative", F.lit(None).cast("double"))
     base = long.where(F.col(model) == baseline).select("metric", F.col("value").alias("_b"))
     return long.join(F.broadcast(base), "metric").select(model, "metric", "value", F.when(F.col("_b") != 0, F.col("value") / F.col("_b")).alias("relative"))
+
+
+# The names under which users look for these charts; there is no drawing library here, so each gives the chart's frame.
+plot_cv_folds = CVFoldsDisplay = cv_folds
+plot_gate_result = plot_gate_comparison = GateResultDisplay = GateComparisonDisplay = gate_gauge
+plot_prediction_intervals = plot_interval_width = PredictionIntervalDisplay = interval_band
+plot_metric_comparison = MetricComparisonDisplay = metric_bars
