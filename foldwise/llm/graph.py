@@ -9,6 +9,10 @@ from foldwise.llm.shared import cut
 
 #: A guard against a bug only: label distances at least halve each round.
 MOST_ROUNDS = 100
+#: Label tables of at most so many rows of two numbers are broadcast (after they were counted); larger ones are joined by shuffle.
+SMALL = 200_000
+#: Edges of a partition of the written edge table.
+EDGES = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,16 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a is not null and b is not null").select("a", "b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    n = both.count()
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    few = labels.count() <= SMALL
+    side = F.broadcast if few else (lambda df: df)
+    if few:  # empty and tiny partitions would cost a task each in every round
+        both = cut(both.coalesce(max(1, n // EDGES)))
     for _ in range(MOST_ROUNDS):
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("m"))
-        )
-        lower = labels.join(near, "id").select("id", F.least("component", "m").alias("l"), F.col("component").alias("was"))
+        near = both.join(side(labels.select(F.col("id").alias("b"), "component")), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        lower = near.join(side(labels), "id").select("id", F.least("component", "m").alias("l"), F.col("component").alias("was"))
         hop = labels.select(F.col("id").alias("l"), F.col("component").alias("c"))
-        step = cut(lower.join(hop, "l", "left").select("id", F.least("l", "c").alias("component"), "was"))
+        step = lower.join(side(hop), "l", "left").select("id", F.least("l", "c").alias("component"), "was")
+        step = cut(step.coalesce(max(1, n // EDGES)) if few else step)
         labels = step.select("id", "component")
         if not step.where("component <> was").limit(1).count():
             return labels
