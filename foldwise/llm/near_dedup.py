@@ -20,8 +20,10 @@ WORDS, PERCENT = 5, 80
 SIDE, TUPLE = 10, 2
 #: A candidate needs so many equal minhashes of 2 * SIDE * TUPLE to be confirmed; fewer have probability 1e-5 at 0.8.
 LEAST_EQUAL = 20
-#: Buckets of more rows make dense clusters, which are compared by blocks of about BLOCK sets; shingles of a block taken at once.
-LARGE, BLOCK, SLAB = 64, 256, 1 << 14
+#: Buckets of more rows make dense clusters. Those are parted by LONG minhashes, of which a pair needs LONG_EQUAL (fewer
+#: have probability 5e-6 at 0.8), in blocks of about WIDE rows; what stays together is compared in blocks of about BLOCK
+#: sets, SLAB shingles at once.
+LARGE, LONG, LONG_EQUAL, WIDE, BLOCK, SLAB = 64, 128, 80, 1024, 256, 1 << 14
 #: Tables of at most so many 16-byte rows are broadcast (after they were counted); larger ones are joined by shuffle.
 SMALL = 1_000_000
 
@@ -84,18 +86,22 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "mh").mapInArrow(run, "key long, id long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, s): the full shingle sets of the documents named in ids, as sorted 64-bit words; written."""
+def _sets(docs: DataFrame, ids: DataFrame, words: int, long: bool = False) -> DataFrame:
+    """(id, s): the full shingle sets of the documents named in ids, as sorted 64-bit words; with m, LONG minhashes, if asked; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             for lists in word_lists(b.column("text")):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(lists)), pa.array([shingle_set(w, words).tobytes() for w in lists], pa.binary())], ["id", "s"])
-                at += len(lists)
+                sets = [shingle_set(w, words) for w in lists]
+                m = mix(minhashes(sets, LONG, 17)).astype(np.uint16) if long else [None] * len(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([None if r is None else r.tobytes() for r in m], pa.binary())], ["id", "s", "m"]
+                )
+                at += len(sets)
 
     rows = _semi(docs.select("doc_id", "text"), ids.select(F.col("id").alias("doc_id")), "doc_id")
-    return cut(rows.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]))
+    return cut(rows.mapInArrow(run, "id long, s binary, m binary").dropDuplicates(["id"]))
 
 
 def _worth(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -188,40 +194,72 @@ def _sparse(mixed: DataFrame, clusters: DataFrame, reps: DataFrame, percent: int
     return cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
 
 
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of (cluster, id, ...) in every pair of blocks (i, j) that their own block is part of."""
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = rows.join(F.broadcast(sizes) if sizes.count() <= SMALL else sizes, "cluster")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def _forest(t: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest of the pairs of different components that many LONG minhashes agree on, between two blocks."""
+    block, ids, part, n = (t.column(c).to_numpy() for c in ("block", "id", "component", "n"))
+    m = np.frombuffer(b"".join(t.column("m").to_pylist()), np.uint16).reshape(len(ids), LONG)
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    tree, edges = np.arange(len(ids)), []
+    for x in left:
+        fits = right[(part[right] != part[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
+        fits = fits[(m[fits] == m[x]).sum(axis=1) >= LONG_EQUAL]
+        other, first = np.unique(tree[fits], return_index=True)
+        for k, y in zip(other, fits[first], strict=True):
+            if k != tree[x]:
+                edges.append((int(ids[x]), int(ids[y])))
+                tree[tree == k] = tree[x]
+    a, b = zip(*edges, strict=True) if edges else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _links(t: pa.Table, percent: int) -> pa.Table:
+    """The links of different components between two blocks: all intersections at once, as products of 0/1 matrices."""
+    block, ids, part = (t.column(c).to_numpy() for c in ("block", "id", "component"))
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    owner, code = owner[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int((count > 1).sum()), SLAB):
+        some = (code >= at) & (code < at + SLAB)
+        m = np.zeros((len(sets), SLAB), np.float32)
+        m[owner[some], code[some] - at] = 1
+        both += m[left] @ m[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    x, y = np.nonzero((100.0 * both >= percent * union) & (part[left][:, None] != part[right][None, :]))
+    a, b = ids[left[x]], ids[right[y]]
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
 def _dense(docs: DataFrame, clusters: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between different components of a dense cluster, confirmed on full sets; written.
 
-    A cluster's sets are dealt into blocks by a hash; each pair of blocks is one task, which gets all
-    the intersections at once as a product of 0/1 matrices. No pair but a link leaves a task.
+    A common passage ties many documents into one cluster that are far from similar. So a cluster is first parted:
+    LONG minhashes, small beside the sets, are compared block by block, each task gives a spanning forest of
+    what may be similar, and the forests' components are the parts. Only their sets are then dealt into blocks and
+    compared in full. No pair but an edge of a forest or a link leaves a task.
     """
-
-    def run(t: pa.Table) -> pa.Table:
-        block, ids, part = (t.column(c).to_numpy() for c in ("block", "id", "component"))
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count[code] > 1
-        owner, code = owner[shared], (np.cumsum(count > 1) - 1)[code[shared]]
-        both = np.zeros((len(left), len(right)), np.float32)
-        for at in range(0, int((count > 1).sum()), SLAB):
-            some = (code >= at) & (code < at + SLAB)
-            m = np.zeros((len(sets), SLAB), np.float32)
-            m[owner[some], code[some] - at] = 1
-            both += m[left] @ m[right].T
-        union = sizes[left][:, None] + sizes[right][None, :] - both
-        hit = (100.0 * both >= percent * union) & (part[left][:, None] != part[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
-        x, y = np.nonzero(hit)
-        a, b = ids[left[x]], ids[right[y]]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = clusters.join(sizes, "cluster").join(labels, "id", "left").select("cluster", "id", "blocks", F.coalesce("component", "id").alias("component"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).join(_sets(docs, clusters.select("id"), words), "id")
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return cut(dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long"))
+    if not clusters.limit(1).count():
+        return clusters.selectExpr("id as a", "cluster as b").limit(0)
+    named = clusters.join(labels, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
+    sets = _sets(docs, clusters.select("id"), words, long=True)
+    rows = named.join(sets.select("id", "m", (F.octet_length("s") / 8).cast("long").alias("n")), "id")
+    forest = _dealt(cut(rows), WIDE).groupBy("cluster", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long")
+    parts = components(forest).withColumnRenamed("component", "cluster")
+    rows = cut(named.drop("cluster").join(parts, "id").join(sets.select("id", "s"), "id"))
+    return cut(_dealt(rows, BLOCK).groupBy("cluster", "i", "j").applyInArrow(lambda t: _links(t, percent), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -236,7 +274,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     of the one collection and one of the other. Every member of a bucket is set against the bucket's
     first, and the links that full sets confirm form components. Then members of one bucket that are
     still in different components are set against each other: those of small buckets pair by pair (see
-    _sparse), those of large ones by blocks (see _dense). Links within a component change nothing and
+    _sparse), those of large ones in blocks (see _dense). Links within a component change nothing and
     aren't looked for, so a large group of near copies costs a link each and not a pair each.
 
     A null or empty text, or one of white space, has no shingles, is linked with nothing and kept. Rows

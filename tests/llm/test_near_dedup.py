@@ -84,6 +84,7 @@ def test_a_large_group_around_one_text(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "LARGE", large)
         monkeypatch.setattr(near_dedup, "BLOCK", block)
         monkeypatch.setattr(near_dedup, "SLAB", slab)
+        monkeypatch.setattr(near_dedup, "WIDE", block + 7)
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_groups(docs, 2).collect()} == got
 
 
