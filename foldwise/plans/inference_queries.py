@@ -116,7 +116,10 @@ add("gw_test", lambda s, d: at.gw_test(differences(s, d), "e1", "e2", BY, ["idx"
 PT = """u as (select event_type, count(*) as n, avg((sign(a) = sign(b))::int) as hit, avg((a > 0)::int) as py, avg((b > 0)::int) as px from c where a <> 0 group by event_type),
 v as (select *, py * px + (1 - py) * (1 - px) as st from u), w as (select *, st * (1 - st) / n + pow(2 * py - 1, 2) * px * (1 - px) / n + pow(2 * px - 1, 2) * py * (1 - py) / n + 4 * py * px * (1 - py) * (1 - px) / n as var from v)"""
 add("pt_stat", lambda s, d: rounded(at.pt_test(differences(s, d).withColumn("a", F.col("y") - F.col("p_last")).withColumn("b", F.col("p_mean7") - F.col("p_last")), "a", "b", ["event_type"]).drop("p_value"), "accuracy", "expected", "statistic"), f"with {FC}, c as (select event_type, y - p_last as a, p_mean7 - p_last as b from f), {PT} select event_type, n, round(hit, 6) as accuracy, round(st, 6) as expected, round((hit - st) / sqrt(var), 6) as statistic from w")
-add("pt_three_class", lambda s, d: at.pt_test(differences(s, d).withColumn("a", F.col("y") - F.col("p_last")).withColumn("b", F.col("p_mean7") - F.col("p_last")), "a", "b", ["event_type"], 15.0), None)
+CLASSES = "case when {0} > 15 then 1 when {0} < -15 then -1 else 0 end"
+add("pt_three_class", lambda s, d: rounded(at.pt_test(differences(s, d).withColumn("a", F.col("y") - F.col("p_last")).withColumn("b", F.col("p_mean7") - F.col("p_last")), "a", "b", ["event_type"], 15.0).drop("p_value"), "accuracy", "expected", "statistic"), f"""with {FC}, c as (select event_type, {CLASSES.format("(y - p_last)")} as a, {CLASSES.format("(p_mean7 - p_last)")} as b from f),
+v as (select event_type, count(*) as n, avg((a = b)::int) as hit, avg((a = -1)::int) * avg((b = -1)::int) + avg((a = 0)::int) * avg((b = 0)::int) + avg((a = 1)::int) * avg((b = 1)::int) as st from c group by event_type)
+select event_type, n, round(hit, 6) as accuracy, round(st, 6) as expected, round((hit - st) / sqrt(5 * st * (1 - st) / n), 6) as statistic from v""")
 
 ERRORS = f"{FC}, e as (unpivot (select series_id, idx, y, p_last, p_week, p_mean7, p_all from f) on p_last, p_week, p_mean7, p_all into name model value p), el as (select series_id, idx, model, p - y as e from e)"
 
@@ -196,7 +199,8 @@ add("regime_gate_metrics", lambda s, d: rounded(gates.regime_metrics(regime_rows
 g as (select idx, y, p, case when sd <= lo then 'LOW' when sd > hi then 'HIGH' else 'MED' end as regime from v, q where p is not null), st as (select *, abs(y - lag(y) over (partition by regime order by idx)) as step from g)
 select regime, count(*) as n, round(avg(abs(p - y)), 3) as model_mae, round(avg(step), 3) as persistence_mae from st group by regime having count(*) >= 10""")
 add("stratified_gates", lambda s, d: gates.run_gates_stratified(regime_rows(s, d), "p_last", "y", "vol_regime", ["idx"]).drop("details"), None)
-add("gate_report", lambda s, d: gates.report_status(gates.run_gates(gates.gate_suspicious_improvement(improvements(s, d), "model", "base"), gates.gate_temporal_boundary(splits.WalkForwardCV(5, 2).folds(s, 100), 2))), None)
+add("gate_report", lambda s, d: gates.report_status(gates.run_gates(gates.gate_suspicious_improvement(improvements(s, d), "model", "base"), gates.gate_temporal_boundary(splits.WalkForwardCV(5, 2).folds(s, 100), 2))), f"""with {FC}, c as (select 1 - avg(abs(p_mean7 - y)) / avg(abs(p_last - y)) as g from f group by event_type), k as (select count(*) as n, count(*) filter (where g > 0.2) as h, count(*) filter (where g > 0.1 and g <= 0.2) as w from c)
+select case when h > 0 then 'HALT' when w > 0 then 'WARN' else 'PASS' end as status, n + 5 as n_gates, h as n_halt, w as n_warn from k""")
 add("residual_autocorrelation", lambda s, d: rounded(gates.check_residual_autocorrelation(differences(s, d), "e2", BY, ["idx"], 3), "r"), f"""with {FC}, l as (select series_id, p_mean7 - y as r, lag(p_mean7 - y, 1) over w as r1, lag(p_mean7 - y, 2) over w as r2, lag(p_mean7 - y, 3) over w as r3 from f window w as (partition by series_id order by idx)),
 c as (select series_id, corr(r, r1) as c1, corr(r, r2) as c2, corr(r, r3) as c3 from l group by series_id)
 select series_id, 1 as lag, round(c1, 6) as r, abs(c1) > 0.2 as high from c union all select series_id, 2, round(c2, 6), abs(c2) > 0.2 from c union all select series_id, 3, round(c3, 6), abs(c3) > 0.2 from c""")
@@ -304,5 +308,8 @@ def suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.comparison_report(compare.run_benchmark_suite(sets, ADAPTERS))
 
 
-add("benchmark_suite", suite, None)
-add("returns_volatility", lambda s, d: rounded(hac.compute_hac_variance(returns(s, d), "r", BY, ["idx"], hac.test_bandwidth(2000)), "hac_variance"), None)
+add("benchmark_suite", lambda s, d: rounded(suite(s, d), "mean_mae", "mean_rmse"), f"""with {FORECASTS}, c as (select series_id % 2 as ds, model, avg(abs(prediction - actual)) as mae, sqrt(avg(pow(prediction - actual, 2))) as rmse from fc group by all), r as (select *, row_number() over (partition by ds order by mae, model) as rank from c)
+select model, count(*) filter (where rank = 1) as wins, count(*) as n_datasets, round(avg(mae), 6) as mean_mae, round(avg(rmse), 6) as mean_rmse from r group by model""")
+RLAGS = ", ".join(f"lag(u, {j}) over (order by idx) as u{j}" for j in range(1, 8))
+add("returns_volatility", lambda s, d: rounded(hac.compute_hac_variance(returns(s, d), "r", BY, ["idx"], hac.test_bandwidth(2000)), "hac_variance"), f"""with {DAILY}, r as (select idx, y / lag(y) over (order by idx) - 1 as r from s), u as (select idx, r - avg(r) over () as u from r where r is not null), l as (select *, {RLAGS} from u)
+select 'all' as series_id, count(u) as n, round({hac_sql(7)}, 6) as hac_variance from l""")
