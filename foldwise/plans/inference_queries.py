@@ -141,7 +141,12 @@ add("pairwise_horizon_dm", lambda s, d: rounded(at.compare_models_horizons(panel
 select model_a, model_b, 1 as h, n, round(md / sqrt(v1) * sqrt((n - 1) / n), 4) as statistic from c union all select model_a, model_b, 3, n, round(md / sqrt(v3) * sqrt((n + 1 - 6 + 6.0 / n) / n), 4) from c""")
 add("encompassing_ols", lambda s, d: rounded(at.forecast_encompassing_test(forecasts(s, d), "y", "p_mean7", "p_all", ["event_type"], ["series_id", "idx"]).select("event_type", "n", "lambda", "intercept", "statistic"), "lambda", "intercept", "statistic"), f"""with {FC}, x as (select event_type, y - p_mean7 as e, p_all - p_mean7 as x from f), c as (select event_type, count(*) as n, regr_slope(e, x) as l, regr_intercept(e, x) as a, regr_sxx(e, x) as sxx, regr_syy(e, x) as syy, regr_sxy(e, x) as sxy from x group by event_type)
 select event_type, n, round(l, 6) as lambda, round(a, 6) as intercept, round(l / sqrt((syy - l * sxy) / (n - 2) / sxx), 6) as statistic from c""")
-add("encompassing_hac", lambda s, d: at.forecast_encompassing_test(forecasts(s, d), "y", "p_mean7", "p_all", ["event_type"], ["series_id", "idx"], h=3), None)
+HACS = [f"((avg(q{i} * q{i}) + 2 * {2 / 3!r} * avg(q{i} * lag1_{i}) + 2 * {1 / 3!r} * avg(q{i} * lag2_{i})))" for i in range(3)]
+add("encompassing_hac", lambda s, d: rounded(at.forecast_encompassing_test(forecasts(s, d), "y", "p_mean7", "p_all", ["event_type"], ["series_id", "idx"], h=3).select("event_type", "n", "lambda", "statistic"), "lambda", "statistic"), f"""with {FC}, x as (select event_type, series_id, idx, y - p_mean7 as e, p_all - p_mean7 as x from f), c as (select event_type, regr_slope(e, x) as l, regr_intercept(e, x) as a from x group by event_type),
+p as (select x.*, l, pow(e - a - l * x, 2) as p0, pow(e - a - l * x, 2) * x as p1, pow(e - a - l * x, 2) * x * x as p2 from x join c using (event_type)), q as (select *, {", ".join(f"p{i} - avg(p{i}) over (partition by event_type) as q{i}" for i in range(3))} from p),
+g as (select *, {", ".join(f"lag(q{i}, {j}) over (partition by event_type order by series_id, idx) as lag{j}_{i}" for i in range(3) for j in (1, 2))} from q),
+v as (select event_type, count(*) as n, any_value(l) as l, sum(x) as sx, sum(x * x) as sxx, {", ".join(f"{h} as v{i}" for i, h in enumerate(HACS))} from g group by event_type)
+select event_type, n, round(l, 6) as lambda, round(l / sqrt((sx * sx * v0 - 2 * sx * n * v1 + n * n * v2) / pow(n * sxx - sx * sx, 2)), 6) as statistic from v""")
 add("encompassing_bidirectional", lambda s, d: at.forecast_encompassing_bidirectional(forecasts(s, d), "y", "p_mean7", "p_all", ["event_type"], ["series_id", "idx"]), None)
 add("dm_influence", lambda s, d: rounded(at.compute_dm_influence(differences(s, d), "e1", "e2", BY, ["idx"], 60, h=3).select("series_id", "idx", "influence", "high", F.coalesce(F.col("block").cast("long"), F.lit(-1)).alias("block"), "block_influence"), "influence", "block_influence", digits=4), f"""with {D}, {LAGS}, c as (select series_id, count(*) as n, sum(d) as t, {hac_sql(2)} as v from l group by series_id),
 i as (select u.*, n, t, case when v > 0 then u / sqrt(v * n) else 0.0 end as inf, (row_number() over (partition by series_id order by idx) - 1) // 3 as b from u join c using (series_id)),
@@ -290,7 +295,9 @@ def dm_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.dm_against_best(f, compare.compare_forecasts(f))
 
 
-add("dm_against_best", dm_best, None)
+add("dm_against_best", lambda s, d: rounded(dm_best(s, d).drop("p_value"), "statistic", digits=5), f"""with {FORECASTS}, m as (select model, avg(abs(prediction - actual)) as mae from fc group by model), best as (select model from m order by mae, model limit 1),
+b as (select series_id, idx, abs(actual - prediction) as e from fc where model = (select model from best)), x as (select f.model, b.e - abs(f.actual - f.prediction) as d from fc f join b using (series_id, idx) where f.model <> (select model from best))
+select model, count(*) as n, round(avg(d) / sqrt(var_pop(d) / count(*)) * sqrt((count(*) - 1) / count(*)), 5) as statistic from x group by model""")
 
 
 def kernel_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
