@@ -85,8 +85,8 @@ class KernelAdapter(ForecastAdapter):
             try:
                 p = np.asarray(f(a.sort_values("idx")["y"].to_numpy(float), len(b)), float) if len(a) else np.full(len(b), np.nan)
             except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError):
-                p = np.full(len(b), np.nan)
-            return b.assign(prediction=p)
+                p = np.empty(0)
+            return b.assign(prediction=p if p.shape == (len(b),) else np.nan)
 
         # both come from one panel, so the right side's columns get names and identities of their own
         right = test.select(F.col("series_id").alias("key"), F.col("idx").alias("at"))
