@@ -25,7 +25,7 @@ LEAST_EQUAL = 20
 #: sets, SLAB shingles at once.
 LARGE, LONG, LONG_EQUAL, WIDE, BLOCK, SLAB = 64, 128, 80, 1024, 256, 1 << 14
 #: Tables of at most so many 16-byte rows are broadcast (after they were counted); larger ones are joined by shuffle.
-SMALL = 1_000_000
+SMALL = 200_000
 
 def _semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """df's rows whose key is in ids, which has been written already; broadcast only if its counted size allows it."""
