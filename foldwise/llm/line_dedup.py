@@ -62,23 +62,23 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     Lines are parted by newlines and equal if they are the same code points. Blank lines stay. A
     document that would lose more than `max_loss` of its characters is no page with boilerplate but a copy or
     mostly boilerplate itself, and stays as it is. Null sites count as no site. Null texts stay null,
-    with no lines. Repeated rows are treated alike. An empty table gives no rows. Columns n_lines and n_removed of the input
+    with no lines; texts of a null doc_id stay as they are. Repeated rows are treated alike. An empty table gives no rows. Columns n_lines and n_removed of the input
     are replaced. The text is moved once, to meet the lines that its document loses.
     """
     plate = boilerplate(docs, site, min_sites)
-    lost = _among(line_sites(docs, site), plate).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct(*KEY)).alias("_gone"))
+    lost = _among(line_sites(docs, site), plate).groupBy(F.col("doc_id").alias("_foldwise_doc")).agg(F.collect_set(F.struct(*KEY)).alias("_foldwise_gone"))
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    met = docs.join(lost, F.col("doc_id") == F.col("_doc"), "left")
-    kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains("_gone", F.struct(*_key(x))))
-    met = met.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    met = met.withColumn("_rest", F.array_join("_kept", "\n"))
-    clean = F.coalesce(F.length("_rest") >= F.length("text") * (1 - max_loss), F.lit(False))
+    met = docs.join(lost, F.col("doc_id") == F.col("_foldwise_doc"), "left")
+    kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains("_foldwise_gone", F.struct(*_key(x))))
+    met = met.withColumn("_foldwise_kept", F.when(F.col("_foldwise_gone").isNotNull(), kept))
+    met = met.withColumn("_foldwise_rest", F.array_join("_foldwise_kept", "\n"))
+    clean = F.coalesce(F.length("_foldwise_rest") >= F.length("text") * (1 - max_loss), F.lit(False))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
     return met.select(
         *[F.col(f"`{c}`") for c in names],
-        F.when(clean, F.col("_rest")).otherwise(F.col("text")).alias("text"),
+        F.when(clean, F.col("_foldwise_rest")).otherwise(F.col("text")).alias("text"),
         n.cast("long").alias("n_lines"),
-        F.when(clean, n - F.size("_kept")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(clean, n - F.size("_foldwise_kept")).otherwise(0).cast("long").alias("n_removed"),
     )
 
 

@@ -131,12 +131,12 @@ def mix(docs: DataFrame, tokens: Column | None = None, budget: int | None = None
     share a place and come together. An empty table gives no rows. Columns epoch and order_key of the input are replaced.
     A row's copies are made where it is read; nothing but the plan is moved.
     """
-    made = plan(docs, tokens, budget, lift, max_repeats, seed).select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("last_key").alias("_last"))
+    made = plan(docs, tokens, budget, lift, max_repeats, seed).select(F.col("source").alias("_foldwise_source"), F.col("epochs").alias("_foldwise_epochs"), F.col("last_key").alias("_foldwise_last"))
     few = F.broadcast(made) if made.count() <= SMALL else made
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("epoch", "order_key")]
-    met = docs.select(*names, F.coalesce("source", F.lit("")).alias("_key")).join(few, F.col("_key") == F.col("_source"))
-    more = F.coalesce((_order(seed, F.col("_epochs")) <= F.col("_last")).cast("long"), F.lit(0))
-    copies = F.col("_epochs") + more
+    met = docs.select(*names, F.coalesce("source", F.lit("")).alias("_foldwise_key")).join(few, F.col("_foldwise_key") == F.col("_foldwise_source"))
+    more = F.coalesce((_order(seed, F.col("_foldwise_epochs")) <= F.col("_foldwise_last")).cast("long"), F.lit(0))
+    copies = F.col("_foldwise_epochs") + more
     met = met.where(copies > 0).select(*names, F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))).alias("epoch"))
     return met.withColumn("order_key", _order(seed, F.col("epoch")))
 
