@@ -9,6 +9,8 @@ from foldwise.llm.shared import cut
 
 #: A guard against a bug only: label distances at least halve each round.
 MOST_ROUNDS = 100
+#: Graphs of at most so many edges (32 bytes each; they are counted) are one partition, whose rounds need no exchange.
+SMALL = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,11 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every id takes the smallest label among its neighbours, then the label of that label,
     so rounds grow with the logarithm of the longest path. Labels are written to the shared folder
-    each round. An id with very many edges is met by partial aggregation and by joins that adaptive
-    execution can split. Nulls and self-loops are ignored; an empty table gives no rows.
+    each round. A small graph is a single partition, joined within one task. In a larger one an id with
+    very many edges is met by partial aggregation and by joins that adaptive execution can split. Nulls and self-loops are ignored; an empty table gives no rows.
     """
     both = edges.where("a is not null and b is not null").select("a", "b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    together = (lambda df: df.coalesce(1)) if both.count() <= SMALL else (lambda df: df)
+    both = cut(together(both))
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(MOST_ROUNDS):
         near = (
