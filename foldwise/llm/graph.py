@@ -24,9 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.where("a is not null and b is not null").select("a", "b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     together = (lambda df: df.coalesce(1)) if both.count() <= SMALL else (lambda df: df)
-    both = cut(together(both))
+    both = together(cut(together(both)))
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(MOST_ROUNDS):
+        labels = together(labels)
         near = (
             both.join(labels.select(F.col("id").alias("b"), "component"), "b")
             .groupBy(F.col("a").alias("id"))
