@@ -20,9 +20,9 @@ WORDS, PERCENT = 5, 80
 SIDE, TUPLE = 10, 2
 #: A candidate needs so many equal minhashes of 2 * SIDE * TUPLE to be confirmed; fewer have probability 1e-5 at 0.8.
 LEAST_EQUAL = 20
-#: Buckets of more rows make dense clusters. Those are parted by LONG minhashes, of which a pair needs LONG_EQUAL (fewer
-#: have probability 5e-6 at 0.8), in blocks of about WIDE rows; what stays together is compared in blocks of about BLOCK
-#: sets, SLAB shingles at once.
+#: Buckets of more rows make dense clusters. There a pair needs LONG_EQUAL of LONG minhashes (fewer have probability 5e-6
+#: at 0.8), compared in blocks of about WIDE rows; documents with such a partner are compared in blocks of about BLOCK sets,
+#: SLAB shingles at once.
 LARGE, LONG, LONG_EQUAL, WIDE, BLOCK, SLAB = 64, 128, 80, 1024, 256, 1 << 14
 #: Tables of at most so many 16-byte rows are broadcast (after they were counted); larger ones are joined by shuffle.
 SMALL = 200_000
@@ -246,19 +246,20 @@ def _links(t: pa.Table, percent: int) -> pa.Table:
 def _dense(docs: DataFrame, clusters: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between different components of a dense cluster, confirmed on full sets; written.
 
-    A common passage ties many documents into one cluster that are far from similar. So a cluster is first parted:
-    LONG minhashes, small beside the sets, are compared block by block, each task gives a spanning forest of
-    what may be similar, and the forests' components are the parts. Only their sets are then dealt into blocks and
-    compared in full. No pair but an edge of a forest or a link leaves a task.
+    A common passage ties many documents into one cluster that are far from similar. So LONG
+    minhashes, small beside the sets, are compared first, block by block; each task gives a spanning
+    forest of what may be similar, which names every document that has a possible partner. Only the
+    sets of those are then dealt into blocks and compared in full. No pair but an edge of a forest or
+    a link leaves a task.
     """
     if not clusters.limit(1).count():
         return clusters.selectExpr("id as a", "cluster as b").limit(0)
     named = clusters.join(labels, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
     sets = _sets(docs, clusters.select("id"), words, long=True)
     rows = named.join(sets.select("id", "m", (F.octet_length("s") / 8).cast("long").alias("n")), "id")
-    forest = _dealt(cut(rows), WIDE).groupBy("cluster", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long")
-    parts = components(forest).withColumnRenamed("component", "cluster")
-    rows = cut(named.drop("cluster").join(parts, "id").join(sets.select("id", "s"), "id"))
+    forest = cut(_dealt(cut(rows), WIDE).groupBy("cluster", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long"))
+    met = forest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = cut(named.join(met, "id", "left_semi").join(sets.select("id", "s"), "id"))
     return cut(_dealt(rows, BLOCK).groupBy("cluster", "i", "j").applyInArrow(lambda t: _links(t, percent), "a long, b long"))
 
 
