@@ -13,6 +13,8 @@ from foldwise.operators.metrics import col, compute_interval_score, compute_quan
 
 #: Calibration rows that a quantile needs.
 LEAST = 10
+#: Buckets that part residuals for numbering, and log2 of the residuals in a block.
+BUCKETS, BLOCK_BITS = 256, 10
 
 
 def conformal_quantile(df: DataFrame, score: Column, by: list[str], alpha: float = 0.05, name: str = "q") -> DataFrame:
@@ -191,23 +193,60 @@ def bellman_conformal(df: DataFrame, error: str, by: list[str], order: list[str]
     return df.select(*by, *order, error).groupBy(*by).applyInPandas(run, schema)
 
 
+def _residual_blocks(counted: DataFrame, marks: list[float]) -> DataFrame:
+    """(block, values): all residuals in order, 2**BLOCK_BITS to a block, from the distinct ones and their counts.
+
+    Values are parted at `marks` into buckets, whose counts are summed up on the driver, and ordered within a bucket alone.
+    A hot residual is one row until it is dealt to the blocks that it fills. Marks change the work, never the numbers.
+    """
+    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in marks]), lambda x: x < F.col("r"))) if marks else F.lit(0)
+    rows = counted.withColumn("b", bucket)
+    sums = {x["b"]: x["c"] for x in rows.groupBy("b").agg(F.sum("c").alias("c")).collect()}
+    before, at = [], 0
+    for b in sorted(sums):
+        before.append((b, at))
+        at += sums[b]
+    offsets = counted.sparkSession.createDataFrame(before, "b int, before long")
+    above = F.coalesce(F.sum("c").over(Window.partitionBy("b").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("above", above).join(F.broadcast(offsets), "b").select("r", "c", (F.col("before") + F.col("above")).alias("start"))
+    end = F.col("start") + F.col("c")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.shiftright("start", BLOCK_BITS), F.shiftright(end - 1, BLOCK_BITS))))
+    lo = F.greatest("start", F.shiftleft("block", BLOCK_BITS))
+    times = (F.least(end, F.shiftleft(F.col("block") + 1, BLOCK_BITS)) - lo).cast("int")
+    held = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(lo.alias("lo"), "r", times.alias("times")))).alias("held"))
+    return held.select("block", F.flatten(F.transform("held", lambda x: F.array_repeat(x["r"], x["times"]))).alias("values"))
+
+
 def bootstrap_uncertainty(df: DataFrame, predictions: str, residuals: DataFrame, residual: str, key: list[str], n_bootstrap: int = 100, alpha: float = 0.05, seed: int = 42, most: int = 100_000) -> DataFrame:
     """Adds lower and upper: percentiles of the prediction plus resampled residuals.
 
-    Residuals are numbered and drawn by a hash of the row's key and the replicate, so intervals don't depend on partitions. At most
-    `most` residuals are taken, those of smallest hash, as one array.
+    All residuals are numbered by value, and numbers are drawn by a hash of the row's key and the replicate, so intervals don't depend
+    on partitions. As values rise with their numbers, only the drawn numbers beside the two percentiles are looked up.
+    At most `most` residuals are broadcast as one array (after they were counted); more are joined by number, with the same result.
     """
-    pool = residuals.where(F.col(residual).isNotNull()).select(F.col(residual).cast("double").alias("r")).withColumn("h", F.xxhash64("r", F.lit(seed))).orderBy("h").limit(most).agg(F.array_sort(F.collect_list("r")).alias("_pool"))
-    draw = F.transform(
-        F.sequence(F.lit(0), F.lit(n_bootstrap - 1)),
-        lambda b: F.element_at("_pool", (F.pmod(F.xxhash64(F.lit(seed), b, *key), F.size("_pool")) + 1).cast("int")),
-    )
-    rows = df.crossJoin(F.broadcast(pool)).withColumn("_d", F.array_sort(draw)).drop("_pool")
+    counted = residuals.where(F.col(residual).isNotNull()).select(F.col(residual).cast("double").alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("c"))
+    n, marks = counted.agg(F.sum("c"), F.percentile_approx("r", [k / BUCKETS for k in range(1, BUCKETS)])).first()
+    draw = lambda names: F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, *names), F.lit(n).cast("long"))))
+    at = {p: p * (n_bootstrap - 1) for p in (alpha / 2, 1 - alpha / 2)}
+    places = {p: (math.floor(x) + 1, min(math.floor(x) + 2, n_bootstrap)) for p, x in at.items()}
+    wanted = sorted({i for pair in places.values() for i in pair})
+
+    if (n or 0) <= most:
+        pool = counted.agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("r", F.col("c").cast("int"))))).alias("_pool"))
+        rows = df.crossJoin(F.broadcast(pool)).withColumn("_d", draw(key))
+        rows = rows.withColumns({f"_v{i}": F.element_at("_pool", (F.element_at("_d", i) + 1).cast("int")) for i in wanted}).drop("_pool", "_d")
+    else:
+        blocks = _residual_blocks(counted, sorted({x for x in marks if not math.isnan(x)}))
+        named = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)])
+        asked = df.select(named.alias("_key")).distinct().withColumn("_d", draw([f"_key.k{i}" for i in range(len(key))]))
+        asked = asked.select("_key", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("_d", i).alias("at")) for i in wanted])))
+        met = asked.withColumn("block", F.shiftright("at", BLOCK_BITS)).join(blocks, "block")
+        met = met.select("_key", "i", F.element_at("values", (F.col("at") - F.shiftleft("block", BLOCK_BITS) + 1).cast("int")).alias("v"))
+        found = met.groupBy("_key").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"_v{i}") for i in wanted])
+        rows = df.withColumn("_key", named).join(found, "_key", "left").drop("_key")
 
     def pct(p: float) -> Column:
-        at = p * (n_bootstrap - 1)
-        lo = math.floor(at)
-        a, b = F.element_at("_d", lo + 1), F.element_at("_d", min(lo + 2, n_bootstrap))
-        return F.col(predictions) + a + (b - a) * (at - lo)
+        a, b = (F.col(f"_v{i}") for i in places[p])
+        return F.col(predictions) + a + (b - a) * (at[p] - math.floor(at[p]))
 
-    return rows.withColumn("lower", pct(alpha / 2)).withColumn("upper", pct(1 - alpha / 2)).drop("_d")
+    return rows.withColumn("lower", pct(alpha / 2)).withColumn("upper", pct(1 - alpha / 2)).drop(*[f"_v{i}" for i in wanted])

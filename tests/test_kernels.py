@@ -216,3 +216,17 @@ def test_rows_as_json(spark):
     assert result_to_dict(row) == {"schema_version": 1, "n": 1, "d": {"a": "b"}, "x": [1.5]}
     with pytest.raises(TypeError):
         jsonify_key((1, 2))
+
+
+def test_bootstrap_draws_from_all_residuals(spark):
+    # a third of the residuals are one value; few are broadcast at most
+    values = [7.5] * 2000 + np.random.default_rng(4).normal(0, 3, 4000).tolist()
+    residuals = spark.createDataFrame([(v,) for v in [*values, None]], "r double").repartition(3)
+    rows = spark.createDataFrame([(i if i else None, i % 3, float(i)) for i in range(80)] + [(5, 2, 9.0)], "i long, j int, p double")
+    run = lambda most: sorted(map(tuple, conformal.bootstrap_uncertainty(rows, "p", residuals, "r", ["i", "j"], most=most).collect()), key=str)
+    whole, joined = run(100_000), run(10)
+    assert joined == whole and len(whole) == 81
+    pool = np.sort(values)
+    drawn = rows.select("i", "j", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda b: F.pmod(F.xxhash64(F.lit(42), b, "i", "j"), F.lit(6000))).alias("at")).collect()
+    want = {(r.i, r.j): np.percentile(pool[r.at], [2.5, 97.5]) for r in drawn}
+    assert all(np.allclose((lower - p, upper - p), want[i, j]) for i, j, p, lower, upper in joined)
