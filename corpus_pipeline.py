@@ -16,8 +16,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sources carry; n_chars follows the text."""
-    out = line_dedup.remove_boilerplate(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """Documents without the lines that many sources carry; n_chars follows the text.
+
+    Every document loses them, however much of it they are; one that has no other lines stays as an empty text.
+    """
+    out = line_dedup.remove_boilerplate(docs, max_loss=1.0).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -66,3 +66,13 @@ def test_every_stage_equals_brute_force(spark, sf_dir, tmp_path):
             assert Counter((x.doc_id, tuple(x.ids)) for x in after) == texts and all(x.n_tokens == len(x.ids) for x in after)
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter(x.doc_id for x in whole) == kept["bpe"]
+
+
+def test_documents_of_mostly_boilerplate_lose_it_too(spark):
+    plate = [f"shared boilerplate {k} for all of the sites" for k in range(3)]
+    rows = [(i, "\n".join([f"own text {i} " + "word " * 40, *plate]), f"s{i % 12}") for i in range(24)]
+    rows += [(100, "\n".join([*plate, "short own line"]), "s1"), (101, "\n".join(plate), "s2")]
+    docs = spark.createDataFrame([(*x[:2], "aa", x[2], len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert len(out) == len(rows) and not any(p in r.text for r in out.values() for p in plate)
+    assert out[100].text == "short own line" and out[100].n_chars == 14 and (out[101].text, out[101].n_chars) == ("", 0)
