@@ -193,8 +193,8 @@ def auto_arima(y: np.ndarray, steps: int) -> np.ndarray:
 
 
 def statsforecast_adapter(model: str, season_length: int = 1, window: int = 3) -> ForecastAdapter:
-    """An adapter by the usual name of its model."""
-    kernels = {"AutoTheta": theta, "CrostonClassic": croston, "ADIDA": adida, "IMAPA": imapa, "AutoARIMA": auto_arima, "AutoETS": lambda y, h: auto_ets(y, h, season_length)}
+    """An adapter by the usual name of its model. GridETS and AutoAR are smaller than the library's AutoETS and AutoARIMA, which aren't offered."""
+    kernels = {"AutoTheta": theta, "CrostonClassic": croston, "ADIDA": adida, "IMAPA": imapa, "AutoAR": auto_arima, "GridETS": lambda y, h: auto_ets(y, h, season_length)}
     if model in kernels:
         return KernelAdapter(model, kernels[model])
     simple = {"Naive": NaiveAdapter, "SeasonalNaive": lambda: SeasonalNaiveAdapter(season_length), "HistoricAverage": HistoricAverageAdapter, "WindowAverage": lambda: HistoricAverageAdapter(window)}

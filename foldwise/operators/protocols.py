@@ -174,5 +174,5 @@ class ProgressAdapter(MultiSeriesAdapter):
         return out
 
 
-def StatsforecastAdapter(model: str = "AutoARIMA", season_length: int = 1, **options) -> compare.ForecastAdapter:  # noqa: N802
+def StatsforecastAdapter(model: str = "AutoAR", season_length: int = 1, **options) -> compare.ForecastAdapter:  # noqa: N802
     return compare.statsforecast_adapter(model, season_length, **options)

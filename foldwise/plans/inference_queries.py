@@ -302,7 +302,7 @@ select model, count(*) as n, round(avg(d) / sqrt(var_pop(d) / count(*)) * sqrt((
 
 def kernel_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = compare.split_panel(panel(spark, sf_dir).select("series_id", "idx", "y"), 6)
-    names = ("AutoARIMA", "AutoETS", "AutoTheta", "CrostonClassic", "ADIDA", "IMAPA")
+    names = ("AutoAR", "GridETS", "AutoTheta", "CrostonClassic", "ADIDA", "IMAPA")
     return compare.run_forecasts(train, test, [compare.statsforecast_adapter(n) for n in names])
 
 

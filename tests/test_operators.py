@@ -190,3 +190,11 @@ def test_regimes_on_a_short_series(spark):
         assert est.estimate(df, "y", ["s"], ["i"]).where("volatility is not null").count() == 10
     assert errors_long(df.selectExpr("i", "y", "y as p_last", "y as p_week", "y as p_mean7", "y as p_all"), ["i"]).count() == 40
     assert "lambda" in schema_of("EncompassingTestResult").names
+
+
+def test_smaller_models_do_not_stand_under_the_library_names():
+    for name in ("AutoARIMA", "AutoETS"):
+        with pytest.raises(ValueError, match=name):
+            compare.statsforecast_adapter(name, 7)
+    assert [compare.statsforecast_adapter(n, 7).name for n in ("AutoAR", "GridETS")] == ["AutoAR", "GridETS"]
+    assert protocols.StatsforecastAdapter().name == "AutoAR"
