@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import pytest
@@ -76,3 +77,10 @@ def test_documents_of_mostly_boilerplate_lose_it_too(spark):
     out = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
     assert len(out) == len(rows) and not any(p in r.text for r in out.values() for p in plate)
     assert out[100].text == "short own line" and out[100].n_chars == 14 and (out[101].text, out[101].n_chars) == ("", 0)
+
+
+def test_last_stage_decodes_to_the_text(spark):
+    texts = ["plain words, 12 of them", "é\t| 多语 🙂\n\nend", ""]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    out = corpus_pipeline.encode(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in out) == Counter((i, hashlib.sha256(texts[i].encode()).hexdigest()) for i in (0, 0, 1, 2))
