@@ -152,8 +152,8 @@ add("dm_influence", lambda s, d: rounded(at.compute_dm_influence(differences(s,
 i as (select u.*, n, t, case when v > 0 then u / sqrt(v * n) else 0.0 end as inf, (row_number() over (partition by series_id order by idx) - 1) // 3 as b from u join c using (series_id)),
 j as (select *, case when b < n // 3 then b end as block, stddev_pop(inf) over (partition by series_id) as sd from i)
 select series_id, idx, round(inf, 4) as influence, sd > 0 and abs(inf) > 2 * sd as high, coalesce(block, -1) as block, round(case when block is not null then (t / n - (t - sum(d) over (partition by series_id, block)) / (n - count(d) over (partition by series_id, block))) * sqrt(n) end, 4) as block_influence from j""")
-add("reality_check", lambda s, d: at.reality_check_test(errors_long(daily_forecasts(s, d), ["idx"]), "p_last", ["idx"], n_bootstrap=200), None)
-add("spa", lambda s, d: at.spa_test(errors_long(daily_forecasts(s, d), ["idx"]), "p_last", ["idx"], n_bootstrap=200), None)
+add("reality_check", lambda s, d: at.reality_check_test(errors_long(daily_forecasts(s, d), ["idx"]), "p_last", ["idx"]), None)
+add("spa", lambda s, d: at.spa_test(errors_long(daily_forecasts(s, d), ["idx"]), "p_last", ["idx"]), None)
 
 # --- intervals ---
 
@@ -237,7 +237,7 @@ select a.series_id, a.position, round(avg(b.y), 9) as prediction, round(any_valu
 add("cross_fit_residualize", lambda s, d: models.cross_fit_residualize(supervised(s, d).withColumn("b", F.log1p("y")), models.Ridge(1.0), models.Ridge(1.0), LAGS3, "y", "b", BY, ["idx"]), None)
 add("nested_cv", lambda s, d: models.nested_walk_forward(supervised(s, d), models.Ridge, {"alpha": [0.1, 10.0, 1000.0]}, LAGS3, "y", BY, ["idx"], 2, 3), None)
 add("gap_sensitivity", lambda s, d: models.gap_summary(models.gap_sensitivity_analysis(supervised(s, d), models.Ridge(1.0), LAGS3, "y", BY, ["idx"], range(5)), BY), None)
-add("signal_verification_gate", lambda s, d: gates.gate_signal_verification(one_series(s, d), models.Ridge(1.0), LAGS3, "y", ["idx"], 50), None)
+add("signal_verification_gate", lambda s, d: gates.gate_signal_verification(one_series(s, d), models.Ridge(1.0), LAGS3, "y", ["idx"]), None)
 add("synthetic_ar1_gate", lambda s, d: gates.gate_synthetic_ar1(s, models.Ridge(1.0)), None)
 add("bootstrap_mean", lambda s, d: resampling.bootstrap_ci_mean(panel(s, d), "y", BY, ["idx"]), None)
 add("bootstrap_mae", lambda s, d: resampling.bootstrap_ci_mae(differences(s, d), "e2", BY, ["idx"]), None)
@@ -254,10 +254,10 @@ def bagged(make):
     return run
 
 
-add("block_bagging", bagged(lambda b: resampling.create_block_bagger(b, 10)), None)
-add("stationary_bagging", bagged(lambda b: resampling.create_stationary_bagger(b, 10)), None)
-add("feature_bagging", bagged(lambda b: resampling.create_feature_bagger(b, 10)), None)
-add("residual_bagging", bagged(lambda b: resampling.create_residual_bagger(b, 7, n_estimators=3, robust=False)), None)
+add("block_bagging", bagged(lambda b: resampling.create_block_bagger(b)), None)
+add("stationary_bagging", bagged(lambda b: resampling.create_stationary_bagger(b)), None)
+add("feature_bagging", bagged(lambda b: resampling.create_feature_bagger(b)), None)
+add("residual_bagging", bagged(lambda b: resampling.create_residual_bagger(b, 7)), None)
 add("adf_test", lambda s, d: unit_roots.adf_test(panel(s, d), "y", BY, ["idx"]), None)
 add("kpss_test", lambda s, d: unit_roots.kpss_test(panel(s, d), "y", BY, ["idx"]), None)
 add("pp_test", lambda s, d: unit_roots.pp_test(panel(s, d), "y", BY, ["idx"]).select("series_id", F.round("statistic", 5).alias("statistic")), f"""with {PANEL}, x as (select series_id, y - lag(y) over (partition by series_id order by idx) as d, lag(y) over (partition by series_id order by idx) as l from s), c as (select series_id, count(d) as n, regr_slope(d, l) as b, regr_sxx(d, l) as sxx, regr_syy(d, l) as syy, regr_sxy(d, l) as sxy from x where l is not null group by series_id)

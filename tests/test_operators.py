@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.results import conforms, schema_of
 from foldwise.operators import accuracy_tests, compare, gates, metrics, models, protocols, regimes, resampling, simulate, splits
-from foldwise.plans import display
+from foldwise.plans import all_queries, display
 from foldwise.sources import datasets, results
 from foldwise.sources.tables import errors_long
 
@@ -198,3 +199,28 @@ def test_smaller_models_do_not_stand_under_the_library_names():
             compare.statsforecast_adapter(name, 7)
     assert [compare.statsforecast_adapter(n, 7).name for n in ("AutoAR", "GridETS")] == ["AutoAR", "GridETS"]
     assert protocols.StatsforecastAdapter().name == "AutoAR"
+
+
+@pytest.mark.parametrize(
+    ("query", "module", "name", "given"),
+    [
+        ("residual_bagging", resampling, "create_residual_bagger", {"n_estimators", "robust"}),
+        ("block_bagging", resampling, "create_block_bagger", {"n_estimators"}),
+        ("stationary_bagging", resampling, "create_stationary_bagger", {"n_estimators"}),
+        ("feature_bagging", resampling, "create_feature_bagger", {"n_estimators"}),
+        ("reality_check", accuracy_tests, "reality_check_test", {"n_bootstrap"}),
+        ("spa", accuracy_tests, "spa_test", {"n_bootstrap"}),
+        ("signal_verification_gate", gates, "gate_signal_verification", {"n_shuffles"}),
+    ],
+)
+def test_queries_take_the_default_replicates(spark, monkeypatch, query, module, name, given):
+    real, seen = inspect.signature(getattr(module, name)), []
+
+    def stop(*args, **kwargs):
+        seen.append(set(real.bind(*args, **kwargs).arguments))
+        raise InterruptedError
+
+    monkeypatch.setattr(module, name, stop)
+    with pytest.raises(InterruptedError):
+        all_queries()[query](spark, "/root/testdata/sf0.001")
+    assert not seen[0] & given
