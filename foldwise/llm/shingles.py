@@ -15,6 +15,8 @@ BLOCK = 1 << 20
 TOP = 1 << 21
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Words of so many bytes are hashed by blake2b: for long ones polynomials modulo 2**64 can be made to agree on purpose.
+LONG_WORD = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,17 +66,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[low] * _powers(TOP)[: len(low)], dtype=np.uint64)])
         h = (sums[b] - sums[a]) * _powers(TOP)[TOP - 1 - a]
     else:
-        h = np.array([_long(low[x:y]) for x, y in zip(a, b, strict=True)], np.uint64)
+        h = np.array([_polynomial(low[x : min(y, x + LONG_WORD)]) for x, y in zip(a, b, strict=True)], np.uint64)
+    for k in np.flatnonzero(b - a >= LONG_WORD):
+        h[k] = np.frombuffer(hashlib.blake2b(low[a[k] : b[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     return mix(h ^ ((b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), np.searchsorted(a, starts)
 
 
-def _long(word: np.ndarray) -> int:
-    """The same hash of a word of any length, by parts."""
-    h = 0
-    for at in range(0, len(word), BLOCK):
-        part = word[at : at + BLOCK]
-        h += int((_BYTE[part] * _powers(TOP)[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
-    return h * pow(_BASE, TOP - 1, 1 << 64) & 0xFFFFFFFFFFFFFFFF
+def _polynomial(word: np.ndarray) -> int:
+    """The same sum for one short word."""
+    return int((_BYTE[word] * _powers(TOP)[: len(word)]).sum(dtype=np.uint64)) * int(_powers(TOP)[TOP - 1]) & 0xFFFFFFFFFFFFFFFF
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:

@@ -57,7 +57,7 @@ def test_equals_brute_force(spark, words):
     texts = [*corpus(words, 240), None, "", " \n\t ", "one", "ONE", "two words", "\x0bone\x0c", "é È", "É È", "x" * 5000]
     rows = list(enumerate(texts, start=10))
     docs = spark.createDataFrame([(i, t, "k", 0) for i, t in rows] + [(None, "one", "k", 0), (*rows[0], "k", 0)], "doc_id long, text string, key string, n int").repartition(5)
-    got = near_dedup.near_groups(docs, words).collect()
+    got = [x for x in near_dedup.near_groups(docs, words).collect() if x.doc_id is not None]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, words) and len(got) == len(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     kept = near_dedup.drop_near_copies(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), words)
@@ -126,8 +126,89 @@ def test_word_hashes_do_not_depend_on_the_batch(monkeypatch, block):
     assert all((a == b).all() for a, b in zip(part, flat[3:7], strict=True))
 
 
-def test_long_words_hash_alike():
+def test_long_words():
     word = np.frombuffer(b"abc" * 1000, np.uint8)
-    h, _ = shingles.word_hashes(word, np.array([0, len(word)]))
-    raw = shingles._long(word)
-    assert h[0] == shingles.mix(np.array([raw], np.uint64) ^ (np.array([len(word)], np.uint64) * np.uint64(0xD6E8FEB86659FD93)))[0]
+    text = np.concatenate([word, np.frombuffer(b" short", np.uint8)])
+    h, _ = shingles.word_hashes(text, np.array([0, len(text)]))
+    alone, _ = shingles.word_hashes(np.frombuffer(b"short", np.uint8), np.array([0, 5]))
+    assert h[0] == shingles.word_hashes(word, np.array([0, len(word)]))[0][0] and h[1] == alone[0]
+    # beside a word beyond TOP, short words are hashed one by one
+    huge = np.concatenate([np.full(shingles.TOP, 97, np.uint8), np.frombuffer(b" short", np.uint8)])
+    assert shingles.word_hashes(huge, np.array([0, len(huge)]))[0][1] == alone[0]
+    # strings on which every polynomial modulo 2**64 agrees
+    one = b"a"
+    for _ in range(11):
+        one += bytes(195 - c for c in one)
+    pair = [np.frombuffer(x, np.uint8) for x in (one, bytes(195 - c for c in one))]
+    assert len({int(shingles.word_hashes(w, np.array([0, len(w)]))[0][0]) for w in pair}) == 2
+
+
+def _dispersed(n: int) -> list[tuple[int, str]]:
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randrange(1, 6)):
+            w[r.randrange(len(w))] = f"u{r.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_links_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    monkeypatch.setattr(near_dedup, "WIDE", 150)
+    made = []
+    real = near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges: made.append(edges.count()) or real(edges))
+    most = []
+    for n in (300, 600):
+        rows = _dispersed(n)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+        assert got == brute(rows, 2)
+        most.append(made[-1])
+        made.clear()
+    assert most[1] <= 2.5 * most[0] and most[1] <= 2 * 600
+
+
+def test_members_tie_every_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GATHER", 7)
+    monkeypatch.setattr(near_dedup, "SMALL_ROWS", 11)
+    r = np.random.default_rng(3)
+    mh = r.integers(0, 2, (60, 40)).astype(np.uint16)
+    reps = spark.createDataFrame([(int(i), m.tobytes()) for i, m in enumerate(mh)], "id long, mh binary").repartition(3)
+    got = near_dedup.members(reps).collect()
+    keys = near_dedup.table_keys(mh)
+    want: dict[int, set] = {}
+    for i, row in enumerate(keys.tolist()):
+        for k in row:
+            want.setdefault(k, set()).add(i)
+    want = {k: v for k, v in want.items() if len(v) > 1}
+    assert len({(x.key, x.id) for x in got}) == len(got)
+    found: dict[int, dict] = {}
+    for x in got:
+        found.setdefault(x.key, {})[x.id] = x.first
+    assert {k: set(v) for k, v in found.items()} == want
+    for ties in found.values():
+        # every member leads to one head
+        heads = set()
+        for i in ties:
+            while ties[i] != i:
+                i = ties[i]
+            heads.add(i)
+        assert len(heads) == 1
+
+
+def test_rows_of_one_document_and_rows_without_id(spark):
+    a, b, c = ("one two three four five six", "red green blue black white", "up down left right in out")
+    rows = [(5, a), (3, a), (5, b), (9, b), (8, c), (8, c), (None, a), (None, None), (7, None)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got if x.doc_id is not None) == [(3, 5, 3, True), (5, 5, 3, False), (7, 0, 7, True), (8, 5, 8, True), (9, 4, 3, False)]
+    assert sorted((x.n_shingles, x.component_id, x.kept) for x in got if x.doc_id is None) == [(0, None, True), (5, None, True)]
+
+
+def test_components_by_joins(spark, monkeypatch):
+    from foldwise.llm import graph
+
+    monkeypatch.setattr(graph, "SMALL", 0)
+    test_components(spark)
