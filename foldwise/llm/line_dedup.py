@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.shared import cut, only
 
-#: Sites from which on a line is boilerplate; the share of a document that it may lose.
-MIN_SITES, MAX_LOSS = 10, 0.5
+#: Sites from which on a line is boilerplate.
+MIN_SITES = 10
 #: log2 of a sketch's registers, and the standard errors that count as near the threshold.
 LG_K, ERRORS = 12, 3.0
 #: Tables of at most so many rows of two numbers are broadcast (after they were counted); larger ones are joined by shuffle.
@@ -32,9 +32,9 @@ def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def line_sites(docs: DataFrame, site: str = "source") -> DataFrame:
-    """(doc_id, site, h, g, size): every line that isn't blank."""
-    rows = only(docs, "doc_id", "text", site).select("doc_id", F.col(f"`{site}`").alias("site"), F.explode(_lines(F.col("text"))).alias("line"))
-    return rows.where(F.trim("line") != "").select("doc_id", "site", *_key(F.col("line")))
+    """(doc_id, whole, site, pos, h, g): every line that isn't blank, with its place and a hash of its text."""
+    rows = only(docs, "doc_id", "text", site).select("doc_id", F.xxhash64("text").alias("whole"), F.col(f"`{site}`").alias("site"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    return rows.where(F.trim("line") != "").select("doc_id", "whole", "site", "pos", *_key(F.col("line")))
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -56,29 +56,29 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return cut(spread.where(F.col("sites") > min_sites + slack).select(*KEY).unionByName(exact))
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_loss: float = MAX_LOSS) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """The documents with all their columns, boilerplate lines taken out of `text`, and n_lines and n_removed.
 
-    Lines are parted by newlines and equal if they are the same code points. Blank lines stay. A
-    document that would lose more than `max_loss` of its characters is no page with boilerplate but a copy or
-    mostly boilerplate itself, and stays as it is. Null sites count as no site. Null texts stay null,
-    with no lines; texts of a null doc_id stay as they are. Repeated rows are treated alike. An empty table gives no rows. Columns n_lines and n_removed of the input
-    are replaced. The text is moved once, to meet the lines that its document loses.
+    Lines are parted by newlines and equal if they are the same code points. Blank lines stay. Every document loses its
+    boilerplate, however much of it that is; one without other lines is left an empty text. Null sites count as no site. Null
+    texts stay null, with no lines. A null doc_id is a doc_id like others, and rows that share one are told apart by their
+    texts. Repeated rows are treated alike. An empty table gives no rows. Columns n_lines and n_removed of the input
+    are replaced. The text is moved once, to meet the places of the lines that its document loses; that takes time
+    linear in its lines.
     """
     plate = boilerplate(docs, site, min_sites)
-    lost = _among(line_sites(docs, site), plate).groupBy(F.col("doc_id").alias("_foldwise_doc")).agg(F.collect_set(F.struct(*KEY)).alias("_foldwise_gone"))
+    lost = _among(line_sites(docs, site), plate).groupBy(F.col("doc_id").alias("_foldwise_doc"), F.col("whole").alias("_foldwise_of")).agg(F.collect_set("pos").alias("_foldwise_gone"))
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    met = docs.join(lost, F.col("doc_id") == F.col("_foldwise_doc"), "left")
-    kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains("_foldwise_gone", F.struct(*_key(x))))
-    met = met.withColumn("_foldwise_kept", F.when(F.col("_foldwise_gone").isNotNull(), kept))
-    met = met.withColumn("_foldwise_rest", F.array_join("_foldwise_kept", "\n"))
-    clean = F.coalesce(F.length("_foldwise_rest") >= F.length("text") * (1 - max_loss), F.lit(False))
+    met = docs.withColumn("_foldwise_whole", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("_foldwise_doc")) & (F.col("_foldwise_whole") == F.col("_foldwise_of")), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
+    met = met.withColumn("_foldwise_lines", F.when(F.col("_foldwise_gone").isNotNull(), _lines(F.col("text"))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_foldwise_lines") - 1), F.col("_foldwise_gone"))
+    rest = F.array_join(F.transform(kept, lambda i: F.get("_foldwise_lines", i)), "\n")
     return met.select(
         *[F.col(f"`{c}`") for c in names],
-        F.when(clean, F.col("_foldwise_rest")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("_foldwise_gone").isNotNull(), rest).otherwise(F.col("text")).alias("text"),
         n.cast("long").alias("n_lines"),
-        F.when(clean, n - F.size("_foldwise_kept")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(F.col("_foldwise_gone").isNotNull(), F.size("_foldwise_gone")).otherwise(0).cast("long").alias("n_removed"),
     )
 
 
@@ -88,7 +88,6 @@ with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line, g
 plate as (select line from l where trim(line) <> '' group by line having count(distinct source) >= {MIN_SITES}),
 k as (select l.doc_id, count(*) as n, count(plate.line) as gone,
         coalesce(string_agg(l.line, chr(10) order by pos) filter (where plate.line is null), '') as rest
-      from l left join plate on l.line = plate.line group by l.doc_id),
-c as (select d.doc_id, d.text, coalesce(k.n, 0) as n, k.gone, k.rest, coalesce(length(rest) >= length(text) * {1 - MAX_LOSS}, false) as clean from documents d left join k using (doc_id))
-select doc_id, case when clean then rest else text end as text, n::bigint as n_lines, case when clean then gone else 0 end::bigint as n_removed from c
+      from l left join plate on l.line = plate.line group by l.doc_id)
+select d.doc_id, k.rest as text, coalesce(k.n, 0)::bigint as n_lines, coalesce(k.gone, 0)::bigint as n_removed from documents d left join k using (doc_id)
 """

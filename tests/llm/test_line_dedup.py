@@ -8,7 +8,7 @@ import pytest
 from foldwise.llm import line_dedup
 
 
-def brute(rows, min_sites, max_loss):
+def brute(rows, min_sites):
     sites = defaultdict(set)
     for _, t, s in rows:
         for line in (t or "").split("\n") if t is not None else []:
@@ -22,9 +22,7 @@ def brute(rows, min_sites, max_loss):
             continue
         parts = t.split("\n")
         kept = [x for x in parts if x not in plate]
-        rest = "\n".join(kept)
-        ok = len(rest) >= len(t) * (1 - max_loss)
-        out.append((i, rest if ok else t, len(parts), len(parts) - len(kept) if ok else 0))
+        out.append((i, "\n".join(kept), len(parts), len(parts) - len(kept)))
     return sorted(out, key=str)
 
 
@@ -38,16 +36,15 @@ def corpus(seed: int, n: int):
     return rows
 
 
-@pytest.mark.parametrize(("min_sites", "max_loss"), [(10, 0.5), (1, 1.0), (2, 0.2), (25, 0.9)])
-def test_equals_brute_force(spark, min_sites, max_loss):
+@pytest.mark.parametrize("min_sites", [10, 1, 2, 25])
+def test_equals_brute_force(spark, min_sites):
     rows = [*corpus(min_sites, 300), (1000, None, "s1"), (1001, "", "s2"), (1002, "\n\n", None), (1003, "long " * 20_000 + "\ncommon line 0", "s3"), (None, "common line 1\nown", "s4")]
-    rows.append(rows[0])
+    # a repeated row, and one doc_id with two texts
+    rows += [rows[0], (1, "own text\ncommon line 0\n\ncommon line 0", "s5")]
     docs = spark.createDataFrame([(*r, 5, "z") for r in rows], "doc_id long, text string, source string, n_removed int, h string").repartition(5)
-    out = line_dedup.remove_boilerplate(docs, min_sites=min_sites, max_loss=max_loss)
+    out = line_dedup.remove_boilerplate(docs, min_sites=min_sites)
     assert out.columns == ["doc_id", "source", "h", "text", "n_lines", "n_removed"]
-    want = brute(rows, min_sites, max_loss)
-    # a null doc_id meets nothing, so it stays as it is
-    want = [w if w[0] is not None else (None, "common line 1\nown", 2, 0) for w in want]
+    want = brute(rows, min_sites)
     assert sorted([(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()], key=str) == sorted(want, key=str)
 
 
@@ -56,7 +53,15 @@ def test_shuffle_joins_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     monkeypatch.setattr(line_dedup, "SMALL", -1)
     got = sorted([(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_boilerplate(docs).collect()], key=str)
-    assert got == brute(rows, 10, 0.5)
+    assert got == brute(rows, 10)
+
+
+def test_a_document_of_nothing_else_and_one_of_very_many_lines(spark):
+    plate = "\n".join(["a license line", "another one"])
+    rows = [(i, plate, f"s{i}") for i in range(12)] + [(50, "\n".join(["a license line", f"x{0}"] * 100_000), "s1")]
+    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[i].text, got[i].n_lines, got[i].n_removed) == ("", 2, 2) for i in range(12))
+    assert (got[50].text, got[50].n_lines, got[50].n_removed) == ("\n".join(["x0"] * 100_000), 200_000, 100_000)
 
 
 def test_plan_is_native_and_empty_tables_work(spark):
