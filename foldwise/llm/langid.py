@@ -16,10 +16,10 @@ from foldwise.llm.shared import bounded_batches, only, slices
 
 #: Lengths of the subwords, and the number of hash buckets they share.
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 15, 16
-#: Bounds of the training sample: labelled rows of a language, code points of a row, languages.
-ROWS_PER_LANG, SNIPPET, MOST_LANGS = 1000, 600, 1000
-#: The share of right answers on the calibration texts that rejection may cost at most.
-FALSE_REJECTION = 0.001
+#: Bounds of the training sample: labelled rows of a language (whole texts), and languages.
+ROWS_PER_LANG, MOST_LANGS = 1000, 1000
+#: The share of right answers on the calibration texts that rejection may cost at most; 200 texts are enough to tell.
+FALSE_REJECTION = 0.005
 #: Code points that are worked on at once.
 SEGMENT = 1 << 19
 UNKNOWN = "und"
@@ -37,12 +37,11 @@ class Model:
 
 
 @lru_cache(1)
-def _folded() -> np.ndarray:
-    """Code point -> itself if it is a letter or a mark, else a space."""
-    out = np.arange(0x110000, dtype=np.uint32)
-    kept = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
-    out[~kept] = 32
-    return out
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> itself if it is a letter or a mark, else a space; and whether it is a letter."""
+    first = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
+    letter = first == "L"
+    return np.where(letter | (first == "M"), np.arange(0x110000), 32).astype(np.uint32), letter
 
 
 def subwords(points: np.ndarray) -> list[np.ndarray]:
@@ -70,7 +69,7 @@ def subwords(points: np.ndarray) -> list[np.ndarray]:
 
 
 def _points(text: str) -> np.ndarray:
-    return _folded()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return _classes()[0][np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def _sums(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +83,7 @@ def _sums(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         points = np.concatenate(parts)
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
         inside = np.concatenate([np.arange(len(p)) < k for p, k in zip(parts, own, strict=True)])
-        np.add.at(letters, owners, np.add.reduceat((points != 32) & inside, starts, dtype=np.int64))
+        np.add.at(letters, owners, np.add.reduceat(_classes()[1][points] & inside, starts, dtype=np.int64))
         for h in subwords(points):
             h = np.concatenate([h, np.full(len(points) - len(h), BUCKETS, np.uint32)])
             h[~inside] = BUCKETS
@@ -120,8 +119,26 @@ def probabilities(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     return p / p.sum(axis=1, keepdims=True), letters > 0
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.5) -> Model:
-    """Train on labelled texts by stochastic gradient descent; every fifth text is kept for calibration.
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: str) -> Bag:
+    """The buckets of a whole text's subwords, and the share of each among them."""
+    points, counts = _points(text), np.zeros(BUCKETS + 1, np.int64)
+    for a in range(0, len(points), SEGMENT):
+        for h in subwords(points[a : a + SEGMENT + max(ORDERS) - 1]):
+            counts += np.bincount(h[:SEGMENT], minlength=BUCKETS + 1)
+    ids = np.flatnonzero(counts[:BUCKETS])
+    return ids.astype(np.uint16), (counts[ids] / max(counts[ids].sum(), 1)).astype(np.float32)
+
+
+def fit(texts: list[str], labels: list[str], **how) -> Model:
+    """fit_bags of texts."""
+    return fit_bags([bag(t) for t in texts], labels, **how)
+
+
+def fit_bags(bags: list[Bag], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.5) -> Model:
+    """Train on the bags of labelled texts by stochastic gradient descent; every fifth one is kept for calibration.
 
     The temperature is the one of least log loss on the calibration texts. The rejection threshold is
     the probability below which FALSE_REJECTION of their right answers fall, and 0.5 at most.
@@ -129,14 +146,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rat
     names = tuple(sorted(set(labels)))
     y = np.array([names.index(v) for v in labels])
     rng = np.random.default_rng(seed)
-    bags = []
-    for text in texts:
-        h = np.concatenate(subwords(_points(text)))
-        ids, counts = np.unique(h[h != BUCKETS], return_counts=True)
-        bags.append((ids, (counts / max(counts.sum(), 1)).astype(np.float32)))
-    order = rng.permutation(len(texts))
-    held = np.zeros(len(texts), bool)
-    held[order[::5]] = len(texts) >= 20
+    order = rng.permutation(len(bags))
+    held = np.zeros(len(bags), bool)
+    held[order[::5]] = len(bags) >= 20
     train = np.flatnonzero(~held)
     emb = (rng.standard_normal((BUCKETS, DIM)) / DIM).astype(np.float32)
     out, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
@@ -157,9 +169,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rat
             emb[ids] -= 20 * step * w[:, None] * back
             done += 1
     table = np.vstack([emb @ out, np.zeros((1, len(names)), np.float32)]).astype(np.float32)
-    model = Model(names, table, bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else train
-    logits = np.log(np.maximum(probabilities(model, [texts[i] for i in check])[0], 1e-12))
+    logits = np.array([bags[i][1].astype(np.float64) @ table[bags[i][0]] for i in check]) + bias
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 5, 60):
         z = logits / t
@@ -175,13 +186,16 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rat
     return Model(names, table, bias, temperature, min(0.5, limit))
 
 
-def training_sample(docs: DataFrame, usable: Column, rows_per_lang: int = ROWS_PER_LANG, snippet: int = SNIPPET) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows for fit: about `rows_per_lang` of each language, chosen by a
-    hash of doc_id, and of each a stretch of `snippet` code points at a hashed place."""
-    rows = only(docs, "doc_id", "text", "lang").where("text is not null and lang is not null").where(usable)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+def training_sample(docs: DataFrame, usable: Column, rows_per_lang: int = ROWS_PER_LANG, most_langs: int = MOST_LANGS) -> tuple[list[Bag], list[str]]:
+    """A bounded sample of labelled rows for fit_bags: about `rows_per_lang` of each language, chosen by a hash of doc_id.
+
+    Texts are read whole; each comes as its bag, of 6 bytes for each of BUCKETS buckets at most. More than `most_langs` languages are an error,
+    as the model has a column for each.
+    """
+    rows = only(bounded_batches(docs), "doc_id", "text", "lang").where("text is not null and lang is not null").where(usable)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     if not counts:
         return [], []
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
@@ -189,12 +203,17 @@ def training_sample(docs: DataFrame, usable: Column, rows_per_lang: int = ROWS_P
     chosen = F.lit(False)
     for lang, n in counts.items():
         chosen = chosen | ((F.col("lang") == lang) & (share < min(1.0, rows_per_lang / n)))
-    room = F.greatest(F.length("text") - snippet + 1, F.lit(1))
-    got = rows.where(chosen).select("lang", draw.alias("k"), F.substring(F.col("text"), F.pmod(F.shiftright(draw, 20), room).cast("int") + 1, F.lit(snippet)).alias("t")).collect()
-    got.sort(key=lambda r: (r["k"], r["t"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            bags = [bag(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("k"), *[pa.array([x[i].tobytes() for x in bags], pa.binary()) for i in (0, 1)]], ["lang", "k", "ids", "w"])
+
+    got = rows.where(chosen).select("lang", draw.alias("k"), "text").mapInArrow(run, "lang string, k long, ids binary, w binary").collect()
+    got.sort(key=lambda r: (r["k"], r["ids"], r["w"]))
     taken: dict[str, int] = {}
     kept = [r for r in got if (taken.update({r["lang"]: taken.get(r["lang"], 0) + 1}) or taken[r["lang"]] <= rows_per_lang)]
-    return [r["t"] for r in kept], [r["lang"] for r in kept]
+    return [(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["w"], np.float32)) for r in kept], [r["lang"] for r in kept]
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -231,8 +250,8 @@ def fold(name: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on labelled documents outside fold 2 and answer for all."""
-    texts, labels = training_sample(docs, fold() != 2)
-    return predict(docs, fit(texts, labels) if texts else None)
+    bags, labels = training_sample(docs, fold() != 2)
+    return predict(docs, fit_bags(bags, labels) if bags else None)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -240,8 +259,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     The answer travels with the row in one narrow pass: nothing is joined or shuffled.
     """
-    texts, labels = training_sample(docs, fold() != 2)
-    small = fit(texts, labels) if texts else None
+    bags, labels = training_sample(docs, fold() != 2)
+    small = fit_bags(bags, labels) if bags else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -66,6 +67,54 @@ def test_nothing_to_learn_from(spark):
     assert langid.keep_identified(docs.limit(0)).count() == 0
 
 
+def test_marks_are_no_letters(spark):
+    rows = sample(5, 100) + [(1000, "\u0301\u0308", None), (1001, "\u0301 1 a", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[1000].lang_pred, got[1000].score) == ("und", 0.0) and got[1001].lang_pred != "und"
+
+
+def test_equals_a_plain_softmax():
+    """Averages, softmax and temperature, subword by subword in Python."""
+    rows = sample(6, 80)
+    model = langid.fit([t for _, t, _ in rows], [v for *_, v in rows])
+
+    def bucket(word: str) -> int:
+        h = len(word) * 0x85EBCA6B & 0xFFFFFFFF
+        for c in word:
+            m = ord(c) * 0x9E3779B1 & 0xFFFFFFFF
+            h = (h * 0x01000193 + (m ^ m >> 15)) & 0xFFFFFFFF
+        return (h ^ h >> 16) & langid.BUCKETS - 1
+
+    texts = [t for _, t, _ in sample(7, 12)] + ["Mora  x1y, ÉÄÜ", "a"]
+    p, _ = langid.probabilities(model, texts)
+    for text, got in zip(texts, p, strict=True):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        found = [bucket(w[i : i + n]) for w in (f" {x} " for x in words) for n in langid.ORDERS for i in range(len(w) - n + 1)]
+        z = [(math.fsum(float(model.table[h, k]) for h in found) / len(found) + float(model.bias[k])) / model.temperature for k in range(len(model.labels))]
+        e = [math.exp(x - max(z)) for x in z]
+        assert np.allclose(got, [x / sum(e) for x in e], atol=1e-5)
+
+
+def test_whole_texts_are_learned_from(monkeypatch):
+    text = "bela mora " * 50 + "xurk"
+    whole = langid.bag(text)
+    monkeypatch.setattr(langid, "SEGMENT", 13)
+    parts = langid.bag(text)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+    assert set(langid.bag("xurk")[0]) <= set(whole[0])
+
+
+def test_junk_is_rejected():
+    rows = sample(8, 600)
+    model = langid.fit([t for _, t, _ in rows], [v for *_, v in rows])
+    rng = random.Random(1)
+    junk = ["".join(rng.choice("ጀክምላሙ漢字仮名дйжщ") for _ in range(60)) + " " for _ in range(50)]
+    p, _ = langid.probabilities(model, junk)
+    clean, _ = langid.probabilities(model, [t for _, t, _ in sample(9, 200)])
+    assert (clean.max(axis=1) >= model.threshold).mean() > 0.98
+    assert np.median(p.max(axis=1)) < np.median(clean.max(axis=1))
+
+
 @pytest.mark.parametrize("text", ["é" * 10, "日本語", "a"])
 def test_letters_of_any_script(text):
     assert langid._sums([text], np.zeros((langid.BUCKETS + 1, 2), np.float32))[2][0] == len(text)
