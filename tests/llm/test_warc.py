@@ -11,38 +11,47 @@ from foldwise.llm import warc
 
 
 class Shown(HTMLParser):
-    """An independent reading of the text a page shows."""
+    """An independent reading of the text a page shows: a parser that keeps the open elements of every piece of text."""
 
-    hidden, block = set(warc._HIDDEN.split("|")), set(warc._BLOCK.split("|"))
+    block = set(warc._BLOCK.split("|"))
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.depth, self.out, self.links = [], [], []
+        self.open, self.closed, self.out, self.links, self.n = [], set(), [], [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.hidden:
-            self.depth.append(tag)
-        elif not self.depth and tag in self.block:
-            self.out.append("\n")
+        if tag in ("script", "style", "iframe", "title", "noscript", "template", "svg"):
+            self.n += 1
+            self.open.append((tag, self.n))
+            if tag in ("script", "style", "iframe"):
+                self.closed.add(self.n)
+        elif tag in self.block:
+            self.out.append(("\n", list(self.open)))
         if tag == "a" and dict(attrs).get("href") is not None:
             self.links.append(dict(attrs)["href"])
 
     def handle_endtag(self, tag):
-        if self.depth and tag == self.depth[-1]:
-            self.depth.pop()
-        elif not self.depth and tag in self.block:
-            self.out.append("\n")
+        if tag in [t for t, _ in self.open]:
+            while True:
+                name, n = self.open.pop()
+                self.closed.add(n)
+                if name == tag:
+                    break
+        elif tag in self.block:
+            self.out.append(("\n", list(self.open)))
 
     def handle_data(self, data):
-        if not self.depth:
-            self.out.append(data)
+        self.out.append((data, list(self.open)))
+
+    def text(self) -> str:
+        return "".join(d for d, inside in self.out if not any(n in self.closed for _, n in inside))
 
 
 def shown(page: str) -> str:
     p = Shown()
     p.feed(page)
     p.close()
-    lines = [" ".join(line.split()) for line in "".join(p.out).split("\n")]
+    lines = [" ".join(line.split()) for line in p.text().split("\n")]
     return "\n".join(line for line in lines if line)
 
 
@@ -54,6 +63,32 @@ def test_page():
     assert warc.describe(PAGE, "http://h.example/d/p") == [("title", "A & b c"), ("language", "fr"), ("charset", "utf-8"), ("outlink", "http://h.example/x?a=1&b=2"), ("outlink", "http://h.example/d/y")]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>x</title><body><p>all the text</p>", "all the text"),
+        ("<head><meta charset=utf-8><title>x</title><p>one<p>two", "one\ntwo"),
+        ("<p>a<noscript>b<p>c", "a b\nc"),
+        ("<p>a<noscript>b</noscript>c", "a c"),
+        ("<svg><svg>x</svg>y</svg>z<svg/>w", "z w"),
+        ("<template><noscript>x</template>y", "y"),
+        ("<p>a<script>b<p>c", "a"),
+        ("<title>t<p>a</p><title>u<p>b", "a\nb"),
+        ("<head><style>x</style></head>a<!-- b -->c<!-- d", "a c"),
+    ],
+)
+def test_elements_that_are_not_closed(page, text):
+    got = warc.plain_text(page)
+    assert got.replace(" ", "") == text.replace(" ", "")
+    if "<title>t<p>" not in page and "<!-- d" not in page:
+        assert shown(page).replace(" ", "") == text.replace(" ", "")
+
+
+@pytest.mark.parametrize("page", ["<title>" * 30000, "<svg>" * 30000 + "</svg>" * 30000, "<noscript>" * 20000 + "</template>" * 20000, "<svg>" * 100 + "<noscript>" + "</svg>" * 3])
+def test_many_open_elements_take_linear_time(page):
+    assert len(warc.plain_text(page)) < 10
+
+
 @pytest.mark.parametrize("page", ["", "no tags", "<" * 20000, "a < b", "<p", "<!-- open", "<script>x", "&#0;&bogus;&amp", "<p>" * 3000, "x" * 200_000])
 def test_odd_pages(page):
     assert isinstance(warc.plain_text(page), str) and isinstance(warc.describe(page, ""), list)
@@ -90,7 +125,23 @@ def test_records_on_spark(spark, tmp_path):
     assert len(records) == len(got)
     for h, block in records:
         assert h["warc-block-digest"] == warc.digest(block) and h["warc-refers-to"] in by_id
-    assert warc.derive(source.limit(0)).count() == 0
+        origin = by_id[h["warc-refers-to"]]
+        assert (h["warc-refers-to-target-uri"], h["warc-refers-to-date"]) == (origin.target_uri, origin.warc_date)
+        assert h["warc-source-payload-digest"] == origin.payload_digest and h["warc-source-header"] in origin.http_head
+    assert warc.derive(warc.responses(pages).limit(0)).count() == 0
+
+
+def test_reads_plain_files_by_record(spark, tmp_path):
+    """Blocks that hold the sign of a record's start, bytes that are no UTF-8, other types, and a record that is cut off."""
+    bodies = [b"<p>one</p>", b"a\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nb", b"\xff\xfe" * 50, b"", b"x" * 5000]
+    data = b""
+    for k, body in enumerate(bodies):
+        http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        data += b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(http), http)
+        data += b"WARC/1.0\r\nWARC-Type: request\r\nContent-Length: 4\r\n\r\nGET \r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(data + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 100\r\n\r\ncut off")
+    got = {r.record_id: bytes(r.payload) for r in warc.read_responses(spark, str(tmp_path)).collect()}
+    assert got == {f"<r{k}>": body for k, body in enumerate(bodies)}
 
 
 def test_reads_warc_files(spark, tmp_path):
