@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.shared import bounded_batches, cut, only, slices
+from foldwise.llm.shared import bounded_batches, cut, done_with, only, slices
 from foldwise.llm.shingles import draws, mix
 
-#: Tokens of a sequence, records of a shard, and shards at most (beyond them, shards take more records).
-LENGTH, SHARD_ROWS, MOST_SHARDS = 512, 16384, 100_000
+#: Tokens of a sequence, records of a shard (always, but for the last one), and tasks that write them at most; each writes shards that follow one another.
+LENGTH, SHARD_ROWS, MOST_TASKS = 512, 16384, 100_000
 ROUNDS, KEY = 6, 20240229
 #: log2 of the hash buckets whose counts number the sequences: that many numbers come to the driver, whatever the input.
 BUCKET_BITS = 12
@@ -104,14 +104,34 @@ def packed(encoded: DataFrame, width: int = 2) -> DataFrame:
     return only(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, ids binary")
 
 
+#: What tells the rows apart: doc_id, and for rows that share it a hash of the ids and the number of the copy.
+KEY_COLUMNS = ("doc_id", "variant", "copy")
+
+
+def told_apart(tokens: DataFrame) -> DataFrame:
+    """(doc_id, variant, copy, ids): every row with a key of its own.
+
+    Rows of a doc_id that no other row has pass through. The others are grouped by doc_id and ids, partly aggregated before
+    they move, and come as so many copies as there are; written.
+    """
+    none = [F.lit(0).cast("long").alias(c) for c in ("variant", "copy")]
+    twice = cut(tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
+    if not twice.limit(1).count():
+        return tokens.select("doc_id", *none, "ids")
+    few = F.broadcast(twice) if twice.count() <= SMALL else twice
+    groups = tokens.join(few, "doc_id", "left_semi").groupBy("doc_id", "ids").agg(F.count(F.lit(1)).alias("c"))
+    copies = groups.select("doc_id", F.xxhash64("ids").alias("variant"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("copy"), "ids")
+    return tokens.join(few, "doc_id", "left_anti").select("doc_id", *none, "ids").unionByName(cut(copies))
+
+
 def number(tokens: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """(doc_id, first): a document's first sequence among all, in the order of a hash of doc_id; and their number.
+    """(doc_id, variant, copy, first): a row's first sequence among all, in the order of a hash of its key; and their number.
 
     Hash buckets are counted, the counts of the 2**BUCKET_BITS buckets are summed up on the driver, and
     rows are ordered within a bucket alone. So numbers depend on ids and lengths, and not on how the table is parted.
     """
-    light = tokens.select("doc_id", F.ceil(F.octet_length("ids") / size).alias("k")).where("k > 0")
-    light = cut(light.groupBy("doc_id").agg(F.max("k").alias("k")).withColumn("h", F.xxhash64("doc_id")))
+    light = tokens.select(*KEY_COLUMNS, F.ceil(F.octet_length("ids") / size).alias("k")).where("k > 0")
+    light = cut(light.withColumn("h", F.xxhash64(*KEY_COLUMNS)))
     bucket = F.shiftrightunsigned("h", 64 - BUCKET_BITS)
     counts = {r["b"]: r["k"] for r in light.groupBy(bucket.alias("b")).agg(F.sum("k").alias("k")).collect()}
     before, at = [], 0
@@ -119,9 +139,11 @@ def number(tokens: DataFrame, size: int) -> tuple[DataFrame, int]:
         before.append((b, at))
         at += counts[b]
     offsets = light.sparkSession.createDataFrame(before, "b long, before long")
-    above = F.coalesce(F.sum("k").over(Window.partitionBy("b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = F.coalesce(F.sum("k").over(Window.partitionBy("b").orderBy("h", *KEY_COLUMNS).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = light.withColumn("b", bucket.cast("long")).withColumn("above", above).join(F.broadcast(offsets), "b")
-    return cut(rows.select("doc_id", (F.col("before") + F.col("above")).alias("first"))), at
+    starts = cut(rows.select(*KEY_COLUMNS, (F.col("before") + F.col("above")).alias("first")))
+    done_with(light)
+    return starts, at
 
 
 def materialise(tokens: DataFrame, path: str, length: int = LENGTH, width: int = 1, pad: int = PAD, shard_rows: int = SHARD_ROWS, key: int = KEY) -> Layout:
@@ -133,17 +155,16 @@ def materialise(tokens: DataFrame, path: str, length: int = LENGTH, width: int =
     order, as records of Layout.stride bytes: head, ids, line feed. Slot i so lies in shard
     i // shard_rows at (i % shard_rows) * stride, and a reader goes on from any slot.
 
-    A shard is one task's sorted partition, written by Spark's own writer, so a lost executor costs a rerun and
-    leaves no half file. Null or empty ids make no sequence; rows with a null doc_id are no documents;
-    of rows that share a doc_id one is written. An empty table makes a layout without shards.
+    A shard is written from one task's sorted partition by Spark's own writer, so a lost executor costs a rerun and
+    leaves no half file. Every row is written, rows that share a doc_id or repeat whole too (each has its own sequences, which
+    count from 0). Null or empty ids make no sequence; rows with a null doc_id are no documents. An empty table makes a layout
+    without shards.
     """
     spark, size = tokens.sparkSession, length * width
     tokens = bounded_batches(tokens).where("doc_id is not null and octet_length(ids) > 0").select(F.col("doc_id").cast("long"), "ids")
-    twice = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
-    if twice:
-        tokens = cut(tokens.dropDuplicates(["doc_id"]))
+    tokens = told_apart(tokens)
     starts, n = number(tokens, size)
-    layout = Layout(n, length, width, max(shard_rows, -(-n // MOST_SHARDS)), key)
+    layout = Layout(n, length, width, shard_rows, key)
     row_size, rows_each = layout.stride - 1, layout.shard_rows
     filler = np.frombuffer(int(pad).to_bytes(width, "little"), np.uint8)
 
@@ -182,9 +203,10 @@ def materialise(tokens: DataFrame, path: str, length: int = LENGTH, width: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(at), record], ["shard", "slot", "record"])
 
     if n:
-        met = tokens.join(F.broadcast(starts) if starts.count() <= SMALL else starts, "doc_id")
+        met = tokens.join(F.broadcast(starts) if starts.count() <= SMALL else starts, list(KEY_COLUMNS))
         placed = met.select("doc_id", "first", "ids").mapInArrow(place, "shard int, slots binary, records binary")
-        placed = placed.repartitionById(layout.shards, F.col("shard")).mapInArrow(_gathered(unpack), "shard int, slot long, record binary")
+        tasks = min(layout.shards, MOST_TASKS)
+        placed = placed.repartitionById(tasks, F.floor(F.col("shard").cast("long") * F.lit(tasks) / F.lit(layout.shards)).cast("int")).mapInArrow(_gathered(unpack), "shard int, slot long, record binary")
         placed = placed.sortWithinPartitions("shard", "slot")
         placed.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/data")
     spark.createDataFrame([tuple(asdict(layout).values())], "n long, length int, width int, shard_rows long, key long").coalesce(1).write.json(f"{path}/layout")
@@ -216,7 +238,7 @@ def read_layout(spark: SparkSession, path: str) -> Layout:
 def read(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
     """(slot, shard, doc_id, seq_no, n_tokens, ids) of all slots from first_slot on; shards before it aren't opened.
 
-    A task holds one shard, which is below 2 GB by the layout.
+    A task holds one shard at a time, of shard_rows * stride bytes, which must be below 2 GB.
     """
     layout = read_layout(spark, path)
     schema = "slot long, shard int, doc_id long, seq_no long, n_tokens long, ids binary"

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -18,23 +19,23 @@ def test_permutation(n):
 
 
 def want(rows, length):
-    out = {}
+    out = Counter()
     for i, t in rows:
         if i is not None:
             data = (t or "").encode() + b"\xff"
             for k in range(0, len(data), length):
-                out[i, k // length] = data[k : k + length]
+                out[i, k // length, data[k : k + length]] += 1
     return out
 
 
 @pytest.mark.parametrize(("length", "shard_rows"), [(8, 16), (64, 1000), (5, 7)])
 def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path, length, shard_rows):
-    rows = [(i, "é" * (i % 23) + f" text {i}\n" * (i % 5)) for i in range(80)] + [(100, None), (101, ""), (102, "x" * 5000), (None, "gone"), (3, "é" * 3 + " text 3\n" * 3)]
+    rows = [(i, "é" * (i % 23) + f" text {i}\n" * (i % 5)) for i in range(80)] + [(100, None), (101, ""), (102, "x" * 5000), (None, "gone"), (3, "é" * 3 + " text 3\n" * 3), (3, "another text"), (4, ""), (102, "x" * 5000)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, slot string").repartition(5)
     path = str(tmp_path / "out")
     layout = to.materialise(to.byte_tokens(docs), path, length=length, shard_rows=shard_rows)
     seqs = want(rows, length)
-    assert layout.n == len(seqs) and layout == to.read_layout(spark, path)
+    assert layout.n == sum(seqs.values()) and layout == to.read_layout(spark, path)
     # read as plain files: shard and place follow from the slot
     raw = {}
     for f in Path(path, "data").glob("shard=*/part-*"):
@@ -44,7 +45,7 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path, length, shard_r
             head = np.frombuffer(data[k : k + to.HEAD.itemsize], to.HEAD)[0]
             raw[shard * shard_rows + k // layout.stride] = (int(head["doc_id"]), int(head["seq_no"]), data[k + to.HEAD.itemsize :][: int(head["n"])])
     assert sorted(raw) == list(range(layout.n))
-    assert {(i, k): ids for i, k, ids in raw.values()} == seqs
+    assert Counter(raw.values()) == seqs
     got = to.read(spark, path).collect()
     assert {r.slot: (r.doc_id, r.seq_no, bytes(r.ids)[: r.n_tokens]) for r in got} == raw
     # the same whatever the partitions, and numbered in runs that permute sends to the slots
@@ -57,6 +58,19 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path, length, shard_r
     assert part == set(range(layout.n // 2, layout.n))
 
 
+@pytest.mark.parametrize("small", [to.SMALL, 0])
+def test_repeated_documents_and_few_tasks(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(to, "SMALL", small)
+    monkeypatch.setattr(to, "MOST_TASKS", 3)
+    rows = [(1, "a" * 40)] * 30 + [(1, "b" * 20)] + [(i, f"text {i}") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    layout = to.materialise(to.byte_tokens(docs), str(tmp_path / "a"), length=16, shard_rows=8)
+    got = to.read(spark, str(tmp_path / "a")).collect()
+    assert Counter((r.doc_id, r.seq_no, bytes(r.ids)[: r.n_tokens]) for r in got) == want(rows, 16)
+    assert layout.shard_rows == 8 and sorted(r.slot for r in got) == list(range(layout.n)) and all(r.shard == r.slot // 8 for r in got)
+    assert len(list(Path(tmp_path, "a", "data").glob("shard=*/part-*"))) == layout.shards
+
+
 def test_wide_ids_and_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([(1, list(range(1000))), (2, []), (3, None), (4, [65535])], "doc_id long, ids array<int>")
     layout = to.materialise(to.packed(docs), str(tmp_path / "a"), length=300, width=2, pad=50256)
