@@ -1,15 +1,17 @@
 """Personal data: rules give base spans, a semi-Markov conditional random field adds the others.
 
-A segment of up to LONGEST tokens is scored as a whole (its shape, check sums, words before it), and a
-dynamic program over windows around digits and at-signs chooses boundaries and kinds together.
+A segment of up to LONGEST tokens is scored as a whole (its shape, check sums, words before it), a kind also by the kind of the
+entity before it, and a dynamic program over the tokens around digits and at-signs chooses boundaries and kinds together.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from foldwise.llm.shared import bounded_batches, only, slices
 #: Kinds in the order of the digests; the field may find the last one too, for which there is no rule.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-#: Tokens of a segment at most, and code points on either side of what may start one.
-LONGEST, REACH = 20, 64
+#: Tokens of a segment at most, and starts whose segments are worked on at once.
+LONGEST, STARTS = 20, 512
 #: Sentences that the field is trained on, and its passes over them.
 SENTENCES, EPOCHS = 700, 12
 
@@ -32,9 +34,11 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _TOKEN = re.compile(r"[^\W_]+|_+|\s+|[^\w\s]")
 _HOT = re.compile(r"[0-9@]+")
 _SPELT = re.compile(r"[\[( ](?:at|AT)[\]) ] ?[A-Za-z0-9-]+ ?[\[( ](?:dot|DOT)[\]) ]")
+_RUN = re.compile(r"[0-9]+")
 _IP_RUN = re.compile(r"[0-9.]{7,}")
 
 Span = tuple[int, int, str]
@@ -117,7 +121,7 @@ CUES = {
     "secret": ("token", "key", "secret", "password", "apikey"),
 }
 _CUE = {w: KINDS.index(k) for k, words in CUES.items() for w in words}
-FEATURES = 26
+FEATURES = 35
 
 
 def features(text: str, a: int, b: int) -> list[float]:
@@ -148,6 +152,17 @@ def features(text: str, a: int, b: int) -> list[float]:
     x[18] = float(before[-1:] in "\"'" and after[:1] in "\"'" and before != "" and after != "")
     x[19] = float(len(d) == len(s))
     x[20] = float(not (x[1] or x[2] or x[3] or x[5] or x[7] or x[8] or x[9]))
+    runs = _RUN.findall(s)
+    sizes = [len(r) for r in runs]
+    x[26] = min(len(runs), 8) / 4
+    x[27] = min(max(sizes, default=0), 20) / 10
+    x[28] = float(len(runs) > 1 and len(set(sizes)) == 1)
+    x[29] = min(len(set(s) - _ALNUM), 4) / 2
+    x[30] = sum(c.isalpha() for c in s) / len(s)
+    x[31] = float(len(s) >= 20 and s.isalnum() and 0 < len(d) < len(s))
+    x[32] = min(len(s), 80) / 40
+    x[33] = float(after[:1] in " ,.;:!?\n\"')]" or after == "")
+    x[34] = float(len(runs) > 1 and max(sizes) >= 12)
     words = re.findall(r"[^\W\d_]+", before.lower())[-2:]
     for w in words:
         if w in _CUE:
@@ -159,72 +174,124 @@ def tokens(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
 
 
-def segments(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Token ranges [i, j) that can be an entity: edges are no white space, and a digit, an at-sign or a spelt-out address is within."""
+def segments(text: str, toks: list[tuple[int, int]], first: int = 0, last: int | None = None) -> list[tuple[int, int]]:
+    """Token ranges [i, j) with first <= i < last that can be an entity, by start: edges are no white space, no line end is within, and a digit, an
+    at-sign or a spelt-out address is."""
+    last = len(toks) if last is None else last
     out = []
-    for i, (a, _) in enumerate(toks):
+    if first >= last:
+        return out
+    reach = toks[min(last + LONGEST, len(toks)) - 1][1]
+    spelt = [m.span() for m in _SPELT.finditer(text, max(toks[first][0] - 1, 0), min(reach + 1, len(text)))]
+    starts = [s[0] for s in spelt]
+    for i in range(first, last):
+        a = toks[i][0]
         head = text[a]
         if not (head.isalnum() or head in "+("):
             continue
-        seen, spelt = False, set()
+        k = bisect_left(starts, a)
+        address = spelt[k][1] if k < len(spelt) else len(text) + 1
+        seen = False
         for j in range(i + 1, min(i + LONGEST, len(toks)) + 1):
             c, d = toks[j - 1]
             piece = text[c:d]
-            if "\n" in piece:
+            if "\n" in piece or (j > i + 1 and c != toks[j - 2][1]):
                 break
-            if piece in ("at", "AT", "dot", "DOT"):
-                spelt.add(piece.lower())
-            seen = seen or piece == "@" or len(spelt) == 2 or any("0" <= ch <= "9" for ch in piece)
+            seen = seen or piece == "@" or d >= address or any("0" <= ch <= "9" for ch in piece)
             if seen and piece[-1].isalnum():
                 out.append((i, j))
     return out
 
 
-def _forward(n: int, segs: list[tuple[int, int]], score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log sums over all segmentations of the prefixes and of the suffixes; single tokens outside score 0."""
-    into: list[list[int]] = [[] for _ in range(n + 1)]
-    outof: list[list[int]] = [[] for _ in range(n + 1)]
-    for k, (i, j) in enumerate(segs):
-        into[j].append(k)
-        outof[i].append(k)
-    alpha, beta = np.zeros(n + 1), np.zeros(n + 1)
-    for j in range(1, n + 1):
-        v = alpha[j - 1]
-        for k in into[j]:
-            v = np.logaddexp(v, alpha[segs[k][0]] + score[k])
-        alpha[j] = v
+#: Weights of the field: of features by kind, and of a kind after the kind of the entity before it (row 0: there was none).
+Weights = tuple[np.ndarray, np.ndarray]
+
+
+def _ranges(n: int, segs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the segments of each start lie in segs, which is in the order of starts; and the ends of all."""
+    at = np.searchsorted(np.array([i for i, _ in segs], np.int64), np.arange(n + 1))
+    return at, np.array([j for _, j in segs], np.int64)
+
+
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = np.max(x, axis=axis, keepdims=True)
+    return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+
+def _sums(n: int, segs: list[tuple[int, int]], score: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log sum over all segmentations, the probability of each segment by kind, and the expected uses of each transition.
+
+    The state at a token is the kind of the last entity before it; single tokens outside entities score 0 and keep it.
+    """
+    kinds = trans.shape[1]
+    at, ends = _ranges(n, segs)
+    alpha = np.full((n + 1, kinds + 1), -1e300)
+    alpha[0, 0] = 0.0
+    enter = np.zeros((n, kinds))
+    for i in range(n):
+        alpha[i + 1] = np.logaddexp(alpha[i + 1], alpha[i])
+        if at[i] < at[i + 1]:
+            own = slice(at[i], at[i + 1])
+            enter[i] = _lse(alpha[i][:, None] + trans, 0)
+            alpha[ends[own], 1:] = np.logaddexp(alpha[ends[own], 1:], enter[i] + score[own])
+    beta = np.zeros((n + 1, kinds + 1))
+    share, used = np.zeros_like(score), np.zeros_like(trans)
+    total = float(_lse(alpha[n], 0))
     for i in range(n - 1, -1, -1):
-        v = beta[i + 1]
-        for k in outof[i]:
-            v = np.logaddexp(v, beta[segs[k][1]] + score[k])
-        beta[i] = v
-    return alpha, beta
-
-
-def best(n: int, segs: list[tuple[int, int]], score: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities (i, j, kind); score: segment by kind. Ties go to no entity, then the first."""
-    top, kind = score.max(axis=1), score.argmax(axis=1)
-    into: list[list[int]] = [[] for _ in range(n + 1)]
-    for k, (_, j) in enumerate(segs):
-        if top[k] > 0:
-            into[j].append(k)
-    value, back = [0.0] * (n + 1), [-1] * (n + 1)
-    for j in range(1, n + 1):
-        value[j] = value[j - 1]
-        for k in into[j]:
-            if value[segs[k][0]] + top[k] > value[j] + 1e-12:
-                value[j], back[j] = value[segs[k][0]] + top[k], k
-    out, j = [], n
+        beta[i] = beta[i + 1]
+        if at[i] < at[i + 1]:
+            own = slice(at[i], at[i + 1])
+            after = score[own] + beta[ends[own], 1:]
+            share[own] = np.exp(np.minimum(enter[i] + after - total, 0))
+            leave = trans + _lse(after, 0)
+            used += np.exp(np.minimum(alpha[i][:, None] + leave - total, 0))
+            beta[i] = np.logaddexp(beta[i], _lse(leave, 1))
+    return total, share, used
+
+
+def best(n: int, segs: list[tuple[int, int]], score: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities (i, j, kind); segs in the order of starts, score: segment by kind. Ties go to no entity, then the first."""
+    if not segs:
+        return []
+    at, ends = _ranges(n, segs)
+    value = np.full((n + 1, trans.shape[1] + 1), -np.inf)
+    value[0, 0] = 0.0
+    back = np.full(value.shape, -1, np.int64)
+    came: dict[int, np.ndarray] = {}
+    starts = np.flatnonzero(at[1:] > at[:-1])
+    done = 0
+    for i in starts:
+        _settle(value, back, done, i)
+        done = i
+        ways = value[i][:, None] + trans
+        came[i] = ways.argmax(axis=0)
+        enter = ways.max(axis=0)
+        for k in range(at[i], at[i + 1]):
+            new = enter + score[k]
+            better = new > value[ends[k], 1:] + 1e-12
+            value[ends[k], 1:][better] = new[better]
+            back[ends[k], 1:][better] = k
+    _settle(value, back, done, n)
+    out, j, state = [], n, int(value[n].argmax())
     while j > 0:
-        if back[j] < 0:
+        k = back[j, state]
+        if k < 0:
             j -= 1
         else:
-            k = back[j]
-            out.append((*segs[k], int(kind[k])))
+            out.append((*segs[k], state - 1))
             j = segs[k][0]
+            state = int(came[j][state - 1])
     return out[::-1]
 
 
+def _settle(value: np.ndarray, back: np.ndarray, a: int, b: int) -> None:
+    """Carry the best values on from token to token, where no entity ends that does better."""
+    for j in range(a + 1, b + 1):
+        stay = value[j - 1] >= value[j] - 1e-12
+        value[j][stay] = value[j - 1][stay]
+        back[j][stay] = -1
+
+
 def sentences(n: int, seed: int) -> list[tuple[str, list[Span]]]:
     """Made-up training sentences with their true spans, and look-alikes that are none."""
     r = random.Random(seed)
@@ -280,10 +347,10 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 
 
 @lru_cache(2)
-def trained(n: int = SENTENCES, seed: int = 11, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (feature by kind) by stochastic gradient ascent on the log likelihood of made-up sentences."""
-    w = np.zeros((FEATURES, len(KINDS)))
-    square = np.full_like(w, 1e-2)
+def trained(n: int = SENTENCES, seed: int = 11, epochs: int = EPOCHS) -> Weights:
+    """Weights by stochastic gradient ascent on the log likelihood of made-up sentences."""
+    w, trans = np.zeros((FEATURES, len(KINDS))), np.zeros((len(KINDS) + 1, len(KINDS)))
+    square, square_t = np.full_like(w, 1e-2), np.full_like(trans, 1e-1)
     data = []
     for text, spans in sentences(n, seed):
         toks = tokens(text, 0, len(text))
@@ -295,67 +362,107 @@ def trained(n: int = SENTENCES, seed: int = 11, epochs: int = EPOCHS) -> np.ndar
         gold = [(where[a, b], KINDS.index(kind)) for a, b, kind in spans if (a, b) in where]
         data.append((len(toks), segs, x, gold))
     for epoch in range(epochs):
+        rate = 0.5 / (1 + 0.1 * epoch)
         for n_tok, segs, x, gold in data:
-            scores = x @ w
-            total = np.logaddexp.reduce(scores, axis=1)
-            alpha, beta = _forward(n_tok, segs, total)
-            i, j = np.array(segs).T
-            p = np.exp(np.minimum(alpha[i] + total + beta[j] - alpha[n_tok], 0))
-            share = np.exp(scores - total[:, None]) * p[:, None]
+            _, share, used = _sums(n_tok, segs, x @ w, trans)
+            before = 0
             for k, kind in gold:
                 share[k, kind] -= 1
-            g = x.T @ share + 1e-3 * w
+                used[before, kind] -= 1
+                before = kind + 1
+            g, g_t = x.T @ share + 1e-3 * w, used + 1e-2 * trans
             square += g * g
-            w -= 0.5 / (1 + 0.1 * epoch) * g / np.sqrt(square)
-    return w
+            square_t += g_t * g_t
+            w -= rate * g / np.sqrt(square)
+            trans -= 0.2 * rate * g_t / np.sqrt(square_t)
+    return w, trans
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches within REACH of a digit, an at-sign or a spelt-out address, that end at line ends.
+    """Stretches of LONGEST tokens on either side of a digit, an at-sign or a spelt-out address, that end at line ends at the latest.
 
-    Stretches that meet are joined. Outside them no segment can be an entity, so the whole text's best
-    segmentation is that of its windows.
+    Outside them no segment can be an entity, and none reaches out of one, so the whole
+    text's best segmentation is that of its windows. A stretch begins and ends where a token does, however long that is.
     """
     hot = [m.span() for m in _HOT.finditer(text)]
     if "dot" in text or "DOT" in text:
         hot = sorted(hot + [m.span() for m in _SPELT.finditer(text)])
     out: list[tuple[int, int]] = []
-    for a, b in hot:
-        a = max(text.rfind("\n", max(0, a - REACH), a) + 1, a - REACH, 0)
-        end = text.find("\n", b, b + REACH)
-        b = min(b + REACH, len(text)) if end < 0 else end
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+    h = low = 0
+    while h < len(hot):
+        start = end = _back(text, hot[h][0], low) if hot[h][0] > low else low
+        reach, left = start, 1
+        for m in _TOKEN.finditer(text, start):
+            while h < len(hot) and hot[h][0] < m.end():
+                reach, h = max(reach, hot[h][1]), h + 1
+            if m.end() <= reach or m.start() < reach or not h:
+                left = LONGEST + 1
+            elif "\n" in m.group():
+                break
+            elif reach > start:
+                left -= 1
+            end = m.end()
+            if not left:
+                break
+        out.append((start, end))
+        low = end
     return out
 
 
-def added_spans(text: str, w: np.ndarray) -> list[Span]:
-    """The field's entities in the whole text."""
-    out: list[Span] = []
-    for a, b in windows(text):
-        toks = tokens(text, a, b)
-        segs = segments(text, toks)
-        if not segs:
-            continue
-        x = np.array([features(text, toks[i][0], toks[j - 1][1]) for i, j in segs])
-        for i, j, kind in best(len(toks), segs, x @ w):
-            out.append((toks[i][0], toks[j - 1][1], KINDS[kind]))
-    return out
+def _back(text: str, at: int, low: int) -> int:
+    """The start of the stretch of LONGEST tokens that ends at `at`, or beyond the last line end before; low at the least."""
+    kind = lambda c: "s" if c.isspace() else "_" if c == "_" else "w" if c.isalnum() else "" if not c.isidentifier() and not ("a" + c).isidentifier() else "w"
+    count, last = 0, None
+    while at > low:
+        c = text[at - 1]
+        now = kind(c)
+        if now == "s" and c == "\n":
+            break
+        if not now or now != last:
+            count += 1
+            if count > LONGEST + 1:
+                break
+        last = now
+        at -= 1
+    return at
 
 
-def all_spans(text: str, w: np.ndarray, base: list[Span] | None = None) -> list[Span]:
+def added_spans(text: str, weights: Weights) -> list[Span]:
+    """The field's entities in the whole text.
+
+    Segments that can't be part of a best segmentation, whatever stands around them, are left out as soon as they are scored, so
+    memory follows the tokens and STARTS.
+    """
+    w, trans = weights
+    toks = [t for a, b in windows(text) for t in tokens(text, a, b)]
+    # the most that a kind can gain by what stood before it, and by what may come after it
+    gain = trans.max(axis=0) + np.maximum((trans[1:, None, :] - trans[None, :, :]).max(axis=(1, 2)), 0)
+    kept: list[tuple[int, int]] = []
+    scores: list[np.ndarray] = []
+    for first in range(0, len(toks), STARTS):
+        segs = segments(text, toks, first, min(first + STARTS, len(toks)))
+        if segs:
+            score = np.array([features(text, toks[i][0], toks[j - 1][1]) for i, j in segs]) @ w
+            good = np.flatnonzero((score + gain > 0).any(axis=1))
+            kept += [segs[k] for k in good]
+            scores.append(score[good])
+    if not kept:
+        return []
+    return [(toks[i][0], toks[j - 1][1], KINDS[kind]) for i, j, kind in best(len(toks), kept, np.concatenate(scores), trans)]
+
+
+def all_spans(text: str, weights: Weights, base: list[Span] | None = None) -> list[Span]:
     """Base spans, and those of the field that overlap none of them."""
     base = base_spans(text) if base is None else base
-    return ordered(base + [s for s in added_spans(text, w) if all(s[1] <= a or b <= s[0] for a, b, _ in base)])
+    starts, reach = [s[0] for s in base], [0, *accumulate((s[1] for s in base), max)]
+    return ordered(base + [s for s in added_spans(text, weights) if reach[bisect_left(starts, s[1])] <= s[0]])
 
 
-def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+def find(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
     """Spans of every whole text: (doc_id, base, spans), each an array of (start, stop, kind) in code points.
 
     A null text counts as empty and has none. Repeated rows are each searched. Other columns are
-    ignored. Memory follows one text. A text without digits and at-signs costs two searches.
+    ignored. Memory follows one text and its spans. A text without digits and at-signs costs two searches.
     """
     w = trained() if weights is None else weights
     kind = dict(docs.dtypes)["doc_id"]
