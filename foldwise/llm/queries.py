@@ -17,7 +17,7 @@ from foldwise.llm import pii as _pii
 from foldwise.llm import training_order as _order
 from foldwise.llm import va_topk as _va
 from foldwise.llm import warc as _warc
-from foldwise.llm.shared import fresh_path, table, text_or_empty
+from foldwise.llm.shared import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,15 +30,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    digests = docs.groupBy("doc_id").agg(F.max(F.sha2(text_or_empty(), 256)).alias("text_sha256"))
-    return _exact.exact_dedup(docs).join(digests, "doc_id")
+    return _exact.exact_dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
 ORACLES["op7_exact_dedup"] = """
-with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents where doc_id is not null)
+with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
-       doc_id = max(doc_id) over g as kept, text_sha256
+       row_number() over (partition by text_sha256 order by doc_id desc nulls last) = 1 as kept, text_sha256
 from d window g as (partition by text_sha256)
 """
 
@@ -65,9 +63,9 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pii.find(table(spark, sf_dir, "documents"))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = lambda kind, of="base": F.size(F.filter(of, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return found.select("doc_id", *[count(k) for k in _pii.BASE], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in _pii.BASE], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), count("secret", "spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @query
@@ -82,12 +80,12 @@ def op8_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op8_va_topk"] = """
 with ok as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
-  where embedding is not null and len(embedding) > 0 and vec_id is not null
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+s as (select q.r, q.vec_id as query_id, c.vec_id, c.r as at, case when len(c.v) = 0 then 0 else list_inner_product(q.v, c.v) end::bigint as score
       from ok q join ok c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 20 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+r as (select *, row_number() over (partition by r order by score desc, vec_id, at)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 
