@@ -33,7 +33,8 @@ def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
 
 def line_sites(docs: DataFrame, site: str = "source") -> DataFrame:
     """(doc_id, whole, site, pos, h, g): every line that isn't blank, with its place and a hash of its text."""
-    rows = only(docs, "doc_id", "text", site).select("doc_id", F.xxhash64("text").alias("whole"), F.col(f"`{site}`").alias("site"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    texts = only(docs, "doc_id", "text", site).select("doc_id", F.xxhash64("text").alias("whole"), F.col(f"`{site}`").alias("site"), _lines(F.col("text")).alias("lines"))
+    rows = texts.select("doc_id", "whole", "site", F.posexplode("lines").alias("pos", "line"))
     return rows.where(F.trim("line") != "").select("doc_id", "whole", "site", "pos", *_key(F.col("line")))
 
 
