@@ -107,6 +107,16 @@ def approximation(exact: DataFrame, grid: Grid) -> DataFrame:
     return cut(exact.mapInArrow(run, "row long, vec_id long, dim int, cells binary"))
 
 
+def rivals(exact: DataFrame, k: int) -> DataFrame:
+    """The rows that can be a result of any query: of equal vectors, those of the smallest ids.
+
+    Of rows that share vector and id the first k count, of those that share a vector the first 2k: k of them have not the
+    query's own id. Each task leaves out what is beyond that before rows move, so a very common vector is a few rows a task.
+    """
+    some = exact.withColumn("n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("row"))).where(F.col("n") <= k)
+    return some.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))).where(F.col("n") <= 2 * k).drop("n")
+
+
 def candidates(queries: DataFrame, cells: DataFrame, grid: Grid, k: int, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
     """(of, row, vec_id, lower, upper): the rows that each query must be held against, by their cells alone; written.
 
@@ -167,7 +177,7 @@ def read_exact(pairs: DataFrame, queries: DataFrame, exact: DataFrame) -> DataFr
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows by integer inner product, ties to the smaller vec_id.
 
-    The vectors are written once, and beside them the approximation file: a byte a dimension. Its cells are scanned for bounds
+    The vectors are written once, and beside them the approximation file: a byte a dimension (see rivals for rows that it can spare). Its cells are scanned for bounds
     on every score (see candidates). Of the rows that the bounds leave, the k of the greatest upper bounds are read
     exactly first; then those whose upper bound still reaches the k-th score, until the k-th is certain. So exact vectors are moved for
     pairs that may be results, and blocks of cells for the scan. Memory follows the block sizes.
@@ -180,7 +190,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, qu
     rows = whole_vectors(bounded_batches(vectors), scale).withColumn("dim", F.size("v"))
     exact = cut(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "dim", "v"))
     grid = _grid(exact)
-    cells = approximation(exact, grid)
+    cells = approximation(rivals(exact, k), grid)
     queries = exact.where(is_query)
     found = candidates(queries, cells, grid, k, query_block, block)
     done_with(cells)
