@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.functions.draws import HashDraws
 from foldwise.functions.special import p_value_col
 from foldwise.operators.hac import bartlett_kernel, demeaned_lags, hac_mean_variance, test_bandwidth
 from foldwise.operators.metrics import col, ordered
@@ -282,7 +283,7 @@ def forecast_encompassing_bidirectional(df: DataFrame, actual: str, forecast_a:
 # --- data snooping ---
 
 
-def stationary_bootstrap_indices(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
+def stationary_bootstrap_indices(n: int, mean_block: float, rng: HashDraws) -> np.ndarray:
     """One replicate's row positions: blocks of geometric length, wrapped around."""
     fresh = rng.random(n) < 1 / mean_block
     fresh[0] = True
@@ -324,7 +325,7 @@ def _snooping(errors: DataFrame, benchmark: str, order: list[str], model: str, e
         for pdf in batches:
             out = []
             for k in pdf["id"]:
-                draw = x[stationary_bootstrap_indices(n, block, np.random.default_rng([seed, int(k)]))]
+                draw = x[stationary_bootstrap_indices(n, block, HashDraws(seed, int(k)))]
                 if kind == "rc":
                     own = np.sqrt(np.maximum(_hac(draw, b), 1e-300))
                     out.append((float((math.sqrt(n) * (draw.mean(axis=0) - mean) / own).max()), 0.0, 0.0))

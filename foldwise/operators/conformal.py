@@ -226,7 +226,7 @@ def bootstrap_uncertainty(df: DataFrame, predictions: str, residuals: DataFrame,
     """
     counted = residuals.where(F.col(residual).isNotNull()).select(F.col(residual).cast("double").alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("c"))
     n, marks = counted.agg(F.sum("c"), F.percentile_approx("r", [k / BUCKETS for k in range(1, BUCKETS)])).first()
-    draw = lambda names: F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, *names), F.lit(n).cast("long"))))
+    draw = lambda names: F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)), lambda b: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *[F.col(x).cast("string") for x in names], b.cast("string"))), 1, 13), 16, 10).cast("long") % F.lit(n).cast("long")))
     at = {p: p * (n_bootstrap - 1) for p in (alpha / 2, 1 - alpha / 2)}
     places = {p: (math.floor(x) + 1, min(math.floor(x) + 2, n_bootstrap)) for p, x in at.items()}
     wanted = sorted({i for pair in places.values() for i in pair})

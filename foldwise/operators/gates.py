@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldwise.functions.draws import HashDraws
 from foldwise.functions.special import p_value_col
 from foldwise.operators.hac import autocorrelations, ljung_box
 from foldwise.operators.metrics import col, ordered
@@ -99,7 +100,7 @@ def _cv_errors(model, x: np.ndarray, y: np.ndarray, n_splits: int) -> np.ndarray
     return np.concatenate(e) if e else np.empty(0)
 
 
-def permuted(y: np.ndarray, block: int, rng: np.random.Generator) -> np.ndarray:
+def permuted(y: np.ndarray, block: int, rng: HashDraws) -> np.ndarray:
     """y with its blocks in random order."""
     parts = [y[a : a + block] for a in range(0, len(y) // block * block, block)]
     if len(y) % block:
@@ -124,7 +125,7 @@ def gate_signal_verification(df: DataFrame, model, features: list[str], target:
     def run(batches):
         m, xs, ys = shared.value
         for b in batches:
-            yield pd.DataFrame({"mae": [float(_cv_errors(m, xs, permuted(ys, block, np.random.default_rng([seed, int(k)])), n_cv_splits).mean()) for k in b["id"]]})
+            yield pd.DataFrame({"mae": [float(_cv_errors(m, xs, permuted(ys, block, HashDraws(seed, int(k))), n_cv_splits).mean()) for k in b["id"]]})
 
     real = float(_cv_errors(model, x, y, n_cv_splits).mean())
     got = spark.range(n_shuffles).mapInPandas(run, "mae double").agg(F.avg("mae").alias("mean"), F.count_if(F.col("mae") <= real).alias("as_good"))
@@ -138,7 +139,7 @@ def gate_synthetic_ar1(spark: SparkSession, model, phi: float = 0.95, sigma: flo
     """HALT if the model beats the least possible MAE of a simulated AR(1) by more than the tolerance."""
     from foldwise.operators.simulate import ar1
 
-    y = ar1(phi, sigma, n_samples, np.random.default_rng(seed))
+    y = ar1(phi, sigma, n_samples, HashDraws(seed))
     x = np.column_stack([y[n_lags - k - 1 : len(y) - k - 1] for k in range(n_lags)])
     mae = float(_cv_errors(model, x, y[n_lags:], n_cv_splits).mean())
     ratio = mae / (sigma * ABS_NORMAL)

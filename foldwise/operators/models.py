@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.draws import HashDraws
 from foldwise.operators.splits import CrossFitCV, Splitter, WalkForwardCV
 
 
@@ -150,7 +151,7 @@ def nested_walk_forward(df: DataFrame, make_model: Callable[..., object], param_
     """
     grid = [dict(zip(param_grid, v, strict=True)) for v in product(*param_grid.values())]
     if n_iter is not None and n_iter < len(grid):
-        grid = [grid[k] for k in np.random.default_rng(seed).choice(len(grid), n_iter, replace=False)]
+        grid = [grid[k] for k in HashDraws(seed).choice(len(grid), n_iter, replace=False)]
     names = ["fold", "params", "inner_score", "outer_mae", "best_params"]
 
     def score(x, y, params, cv) -> float:

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.draws import HashDraws
 from foldwise.operators import compare, conformal, metrics, models, regimes
 from foldwise.operators.splits import CrossFitCV
 
@@ -22,7 +23,7 @@ class SupportsFitPredict(Protocol):
 
 @runtime_checkable
 class SupportsBootstrap(Protocol):
-    def sample(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator): ...
+    def sample(self, x: np.ndarray, y: np.ndarray, rng: HashDraws): ...
 
 
 BootstrapStrategy = SupportsBootstrap

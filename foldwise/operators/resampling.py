@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.draws import HashDraws
 from foldwise.operators.accuracy_tests import stationary_bootstrap_indices
 
 # The six weights that the wild bootstrap uses for few folds.
@@ -26,7 +27,7 @@ def compute_block_length(n: int) -> int:
     return max(1, math.floor(round(n ** (1 / 3), 9)))
 
 
-def block_indices(n: int, length: int, rng: np.random.Generator) -> np.ndarray:
+def block_indices(n: int, length: int, rng: HashDraws) -> np.ndarray:
     """Row positions of a moving-block resample of n rows."""
     length = min(length, n)
     starts = rng.integers(0, n - length + 1, -(-n // length))
@@ -36,7 +37,7 @@ def block_indices(n: int, length: int, rng: np.random.Generator) -> np.ndarray:
 @lru_cache(64)
 def block_draws(n: int, length: int, n_bootstrap: int, seed: int) -> np.ndarray:
     """Replicate by row: the positions of all resamples of n rows."""
-    rng = np.random.default_rng([seed, n, length])
+    rng = HashDraws(seed, n, length)
     length = min(length, n)
     starts = rng.integers(0, n - length + 1, (n_bootstrap, -(-n // length)))
     return (starts[:, :, None] + np.arange(length)).reshape(n_bootstrap, -1)[:, :n]
@@ -46,7 +47,7 @@ def block_draws(n: int, length: int, n_bootstrap: int, seed: int) -> np.ndarray:
 def wild_weights(n: int, kind: str, n_bootstrap: int, seed: int) -> np.ndarray:
     """Replicate by fold: random signs, or the six-point weights."""
     values = np.array({"webb": SIX_POINT, "rademacher": (-1.0, 1.0)}[kind])
-    return values[np.random.default_rng([seed, n]).integers(0, len(values), (n_bootstrap, n))]
+    return values[HashDraws(seed, n).integers(0, len(values), (n_bootstrap, n))]
 
 
 def moving_block_bootstrap(df: DataFrame, value: str, by: list[str], order: list[str], statistic: Callable[[np.ndarray], float] = np.mean, n_bootstrap: int = 100, block_length: int | str = "auto", alpha: float = 0.05, seed: int = 0) -> DataFrame:
@@ -120,7 +121,7 @@ class MovingBlockBootstrap:
     def __init__(self, block_length: int | None = None) -> None:
         self.block_length = block_length
 
-    def sample(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator):
+    def sample(self, x: np.ndarray, y: np.ndarray, rng: HashDraws):
         """(rows of x, y, columns of x) of one replicate."""
         at = block_indices(len(y), self.block_length or max(1, int(round(len(y) ** (1 / 3), 9))), rng)
         return x[at], y[at], np.arange(x.shape[1])
@@ -132,7 +133,7 @@ class StationaryBootstrap:
     def __init__(self, expected_block_length: float | None = None) -> None:
         self.expected = expected_block_length
 
-    def sample(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator):
+    def sample(self, x: np.ndarray, y: np.ndarray, rng: HashDraws):
         at = stationary_bootstrap_indices(len(y), self.expected or max(1.0, len(y) ** (1 / 3)), rng)
         return x[at], y[at], np.arange(x.shape[1])
 
@@ -145,7 +146,7 @@ class FeatureBagging:
             raise ValueError("max_features must be in (0, 1]")
         self.max_features = max_features
 
-    def sample(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator):
+    def sample(self, x: np.ndarray, y: np.ndarray, rng: HashDraws):
         k = max(1, int(self.max_features * x.shape[1]))
         cols = np.sort(rng.choice(x.shape[1], k, replace=False))
         return x[:, cols], y, cols
@@ -204,7 +205,7 @@ class ResidualBootstrap:
     def __init__(self, seasonal_period: int | None = None, block_length: int | None = None, robust: bool = True) -> None:
         self.period, self.block_length, self.robust = seasonal_period, block_length, robust
 
-    def sample(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator):
+    def sample(self, x: np.ndarray, y: np.ndarray, rng: HashDraws):
         n = len(y)
         period = self.period or min(52, max(2, n // 2 - 1))
         if period >= n // 2:
@@ -238,7 +239,7 @@ class TimeSeriesBagger:
             base, strategy, x, y, n, seed = shared.value
             models = []
             for b in range(n):
-                xs, ys, cols = strategy.sample(x, y, np.random.default_rng([seed, b]))
+                xs, ys, cols = strategy.sample(x, y, HashDraws(seed, b))
                 models.append((copy.deepcopy(base).fit(xs, ys), cols))
             for pdf in batches:
                 z = pdf[features].to_numpy(float)
@@ -278,11 +279,11 @@ def create_residual_bagger(base_model, seasonal_period: int | None = None, block
 
 def check_bootstrap_strategy(strategy, n_samples: int = 40, n_boot: int = 5) -> None:
     """Raise AssertionError unless resamples have the right shapes, repeat with their seed and differ with another."""
-    rng = np.random.default_rng(0)
-    x, y = rng.standard_normal((n_samples, 4)), rng.standard_normal(n_samples)
-    one = [strategy.sample(x, y, np.random.default_rng([1, b])) for b in range(n_boot)]
-    two = [strategy.sample(x, y, np.random.default_rng([1, b])) for b in range(n_boot)]
-    other = [strategy.sample(x, y, np.random.default_rng([2, b])) for b in range(n_boot)]
+    rng = HashDraws(0)
+    x, y = rng.standard_normal(n_samples * 4).reshape(n_samples, 4), rng.standard_normal(n_samples)
+    one = [strategy.sample(x, y, HashDraws(1, b)) for b in range(n_boot)]
+    two = [strategy.sample(x, y, HashDraws(1, b)) for b in range(n_boot)]
+    other = [strategy.sample(x, y, HashDraws(2, b)) for b in range(n_boot)]
     assert all(len(a[0]) == len(a[1]) == n_samples and a[0].shape[1] == len(a[2]) for a in one), "shapes"
     same = lambda p, q: all(np.array_equal(a[k], b[k]) for a, b in zip(p, q, strict=True) for k in range(3))
     assert same(one, two), "not the same with the same seed"

@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.functions.draws import HashDraws
+
 
 def _check_ar(ar: Sequence[float]) -> None:
     if len(ar) and (np.abs(np.roots(np.concatenate([[1.0], -np.asarray(ar, float)]))) >= 1).any():
         raise ValueError("the autoregression isn't stationary")
 
 
-def arma(ar: Sequence[float], ma: Sequence[float], n: int, sigma: float, burn: int, rng: np.random.Generator) -> np.ndarray:
+def arma(ar: Sequence[float], ma: Sequence[float], n: int, sigma: float, burn: int, rng: HashDraws) -> np.ndarray:
     e = rng.standard_normal(n + burn) * sigma
     shock = np.convolve(e, np.concatenate([[1.0], np.asarray(ma, float)]))[: n + burn]
     y = np.zeros(n + burn)
@@ -27,7 +29,7 @@ def arma(ar: Sequence[float], ma: Sequence[float], n: int, sigma: float, burn: i
     return y[burn:]
 
 
-def ar1(phi: float, sigma: float, n: int, rng: np.random.Generator) -> np.ndarray:
+def ar1(phi: float, sigma: float, n: int, rng: HashDraws) -> np.ndarray:
     """AR(1), with a longer start for more persistence."""
     _check_ar([phi])
     return arma([phi], [], n, sigma, max(100, int(10 / (1 - abs(phi)))), rng)
@@ -41,7 +43,7 @@ def simulate_arma(spark: SparkSession, ar: Sequence[float], ma: Sequence[float],
     def run(batches):
         for b in batches:
             for k in b["id"]:
-                yield pd.DataFrame({"path": int(k), "idx": np.arange(n), "y": arma(ar, ma, n, sigma, burn, np.random.default_rng([seed, int(k)]))})
+                yield pd.DataFrame({"path": int(k), "idx": np.arange(n), "y": arma(ar, ma, n, sigma, burn, HashDraws(seed, int(k)))})
 
     return spark.range(n_paths).mapInPandas(run, "path long, idx long, y double")
 

@@ -104,7 +104,6 @@ add("ljung_box_q", lambda s, d: rounded(hac.ljung_box(panel(s, d), "y", BY, ["id
 select series_id, count(*) as n, round(count(*) * (count(*) + 2) * (pow(sum(u * u1) / sum(u * u), 2) / (count(*) - 1) + pow(sum(u * u2) / sum(u * u), 2) / (count(*) - 2) + pow(sum(u * u3) / sum(u * u), 2) / (count(*) - 3)), 6) as q from l group by series_id""")
 add("dm_stat", lambda s, d: rounded(at.dm_statistics(differences(s, d), "d", BY, ["idx"], 3), "mean_diff", "variance", "statistic", digits=4), f"""with {D}, {LAGS}, c as (select series_id, count(u) as n, avg(d) as md, {hac_sql(2)} as v from l group by series_id)
 select series_id, n, round(md, 4) as mean_diff, round(v, 4) as variance, round(case when v > 0 and n >= 30 then md / sqrt(v) * sqrt((n + 1 - 6 + 6.0 / n) / n) end, 4) as statistic from c""")
-add("dm_test", lambda s, d: at.dm_test(differences(s, d), "e1", "e2", BY, ["idx"], 2), None)
 add("dm_self_normalized", lambda s, d: rounded(at.dm_test(differences(s, d), "e1", "e2", BY, ["idx"], variance_method="self_normalized"), "mean_diff", "variance", "statistic", "p_value", digits=4), f"""with {D}, c as (select series_id, d, sum(u) over (partition by series_id order by idx) as s from u), t as (select series_id, count(*) as n, avg(d) as md, sum(s * s) / (count(*) * count(*)) as v from c group by series_id), z as (select *, case when v > 0 and n >= 30 then md / sqrt(v) end as st from t)
 select series_id, n, round(md, 4) as mean_diff, round(v, 4) as variance, round(st, 4) as statistic, round(case when st is null then 1.0 when abs(st) >= 3.24 then 0.01 when abs(st) >= 2.22 then 0.01 + 0.04 * (3.24 - abs(st)) / (3.24 - 2.22) when abs(st) >= 1.82 then 0.05 + 0.05 * (2.22 - abs(st)) / (2.22 - 1.82) else least(1.0, 0.1 + 0.9 * (1.82 - abs(st)) / 1.82) end, 4) as p_value from z""")
 add("cw_stat", lambda s, d: rounded(at.cw_test(differences(s, d), "e2", "e1", "p_mean7", "p_last", BY, ["idx"], 2).drop("p_value"), "mean_diff", "variance", "statistic", "mean_unadjusted", digits=7).withColumn("variance", F.round("variance", 2)).withColumn("statistic", F.round("statistic", 4)), f"""with {FC}, d1 as (select series_id, idx, pow(p_mean7 - y, 2) - pow(p_last - y, 2) as raw, pow(p_mean7 - y, 2) - pow(p_last - y, 2) - pow(p_last - p_mean7, 2) as d from f), u as (select *, d - avg(d) over (partition by series_id) as u from d1), {LAGS},
@@ -112,7 +111,6 @@ c as (select series_id, count(u) as n, avg(d) as md, {hac_sql(1)} as v, avg(raw)
 select series_id, n, round(md, 7) as mean_diff, round(v, 2) as variance, round(case when v > 0 and n >= 30 then md / sqrt(v) * sqrt((n + 1 - 4 + 2.0 / n) / n) end, 4) as statistic, round(mu, 7) as mean_unadjusted from c""")
 add("gw_moments", lambda s, d: at.gw_moments(differences(s, d), "e1", "e2", BY, ["idx"]).select("series_id", "n_eff", F.round("mean_diff", 3).alias("mean_diff"), F.round(F.col("zz")[0][0] / 1e6, 4).alias("z00"), F.round(F.col("zz")[0][1] / 1e9, 4).alias("z01"), F.round(F.col("zz")[1][1] / 1e12, 4).alias("z11"), F.round(F.col("z")[1] / 1e6, 4).alias("z1")), f"""with {D}, l as (select series_id, d, lag(d) over (partition by series_id order by idx) as d1 from d1), c as (select *, d - avg(d) over (partition by series_id) as c from l where d1 is not null)
 select series_id, count(*) as n_eff, round(avg(d), 3) as mean_diff, round(sum(c * c) / 1e6, 4) as z00, round(sum(c * c * d1) / 1e9, 4) as z01, round(sum(c * d1 * c * d1) / 1e12, 4) as z11, round(sum(c * d1) / 1e6, 4) as z1 from c group by series_id""")
-add("gw_test", lambda s, d: at.gw_test(differences(s, d), "e1", "e2", BY, ["idx"], 2), None)
 PT = """u as (select event_type, count(*) as n, avg((sign(a) = sign(b))::int) as hit, avg((a > 0)::int) as py, avg((b > 0)::int) as px from c where a <> 0 group by event_type),
 v as (select *, py * px + (1 - py) * (1 - px) as st from u), w as (select *, st * (1 - st) / n + pow(2 * py - 1, 2) * px * (1 - px) / n + pow(2 * px - 1, 2) * py * (1 - py) / n + 4 * py * px * (1 - py) * (1 - px) / n as var from v)"""
 add("pt_stat", lambda s, d: rounded(at.pt_test(differences(s, d).withColumn("a", F.col("y") - F.col("p_last")).withColumn("b", F.col("p_mean7") - F.col("p_last")), "a", "b", ["event_type"]).drop("p_value"), "accuracy", "expected", "statistic"), f"with {FC}, c as (select event_type, y - p_last as a, p_mean7 - p_last as b from f), {PT} select event_type, n, round(hit, 6) as accuracy, round(st, 6) as expected, round((hit - st) / sqrt(var), 6) as statistic from w")
@@ -136,7 +134,6 @@ select case when md > 0 then model_b else model_a end as better, case when md >
 add("multi_horizon_dm", lambda s, d: rounded(at.compare_horizons(daily_forecasts(s, d).withColumn("e1", F.col("p_last") - F.col("y")).withColumn("e2", F.col("p_mean7") - F.col("y")), "e1", "e2", BY, ["idx"], (1, 2, 3)).select("h", "n", "statistic"), "statistic", digits=5), f"""with {DAILY}, f as (select idx, y, lag(y) over (order by idx) as p, avg(y) over (order by idx rows between 7 preceding and 1 preceding) as q from s), d1 as (select 'all' as series_id, idx, pow(p - y, 2) - pow(q - y, 2) as d from f where idx >= 7), u as (select *, d - avg(d) over () as u from d1), {LAGS},
 c as (select count(*) as n, avg(d) as md, {hac_sql(0)} as v1, {hac_sql(1)} as v2, {hac_sql(2)} as v3 from l)
 select 1 as h, n, round(md / sqrt(v1) * sqrt((n + 1 - 2) / n), 5) as statistic from c union all select 2, n, round(md / sqrt(v2) * sqrt((n + 1 - 4 + 2.0 / n) / n), 5) from c union all select 3, n, round(md / sqrt(v3) * sqrt((n + 1 - 6 + 6.0 / n) / n), 5) from c""")
-add("horizon_pattern", lambda s, d: at.horizon_pattern(at.compare_horizons(differences(s, d), "e1", "e2", BY, ["idx"]), BY), None)
 add("pairwise_horizon_dm", lambda s, d: rounded(at.compare_models_horizons(panel_errors(s, d), ["series_id", "idx"], ["series_id", "idx"], horizons=(1, 3)).select("model_a", "model_b", "h", "n", "statistic"), "statistic", digits=4), f"""with {ERRORS}, {PAIRS}, {PLAGS}, c as (select model_a, model_b, count(*) as n, avg(d) as md, {hac_sql(0)} as v1, {hac_sql(2)} as v3 from l group by all)
 select model_a, model_b, 1 as h, n, round(md / sqrt(v1) * sqrt((n - 1) / n), 4) as statistic from c union all select model_a, model_b, 3, n, round(md / sqrt(v3) * sqrt((n + 1 - 6 + 6.0 / n) / n), 4) from c""")
 add("encompassing_ols", lambda s, d: rounded(at.forecast_encompassing_test(forecasts(s, d), "y", "p_mean7", "p_all", ["event_type"], ["series_id", "idx"]).select("event_type", "n", "lambda", "intercept", "statistic"), "lambda", "intercept", "statistic"), f"""with {FC}, x as (select event_type, y - p_mean7 as e, p_all - p_mean7 as x from f), c as (select event_type, count(*) as n, regr_slope(e, x) as l, regr_intercept(e, x) as a, regr_sxx(e, x) as sxx, regr_syy(e, x) as syy, regr_sxy(e, x) as sxy from x group by event_type)
@@ -147,13 +144,10 @@ p as (select x.*, l, pow(e - a - l * x, 2) as p0, pow(e - a - l * x, 2) * x as p
 g as (select *, {", ".join(f"lag(q{i}, {j}) over (partition by event_type order by series_id, idx) as lag{j}_{i}" for i in range(3) for j in (1, 2))} from q),
 v as (select event_type, count(*) as n, any_value(l) as l, sum(x) as sx, sum(x * x) as sxx, {", ".join(f"{h} as v{i}" for i, h in enumerate(HACS))} from g group by event_type)
 select event_type, n, round(l, 6) as lambda, round(l / sqrt((sx * sx * v0 - 2 * sx * n * v1 + n * n * v2) / pow(n * sxx - sx * sx, 2)), 6) as statistic from v""")
-add("encompassing_bidirectional", lambda s, d: at.forecast_encompassing_bidirectional(forecasts(s, d), "y", "p_mean7", "p_all", ["event_type"], ["series_id", "idx"]), None)
 add("dm_influence", lambda s, d: rounded(at.compute_dm_influence(differences(s, d), "e1", "e2", BY, ["idx"], 60, h=3).select("series_id", "idx", "influence", "high", F.coalesce(F.col("block").cast("long"), F.lit(-1)).alias("block"), "block_influence"), "influence", "block_influence", digits=4), f"""with {D}, {LAGS}, c as (select series_id, count(*) as n, sum(d) as t, {hac_sql(2)} as v from l group by series_id),
 i as (select u.*, n, t, case when v > 0 then u / sqrt(v * n) else 0.0 end as inf, (row_number() over (partition by series_id order by idx) - 1) // 3 as b from u join c using (series_id)),
 j as (select *, case when b < n // 3 then b end as block, stddev_pop(inf) over (partition by series_id) as sd from i)
 select series_id, idx, round(inf, 4) as influence, sd > 0 and abs(inf) > 2 * sd as high, coalesce(block, -1) as block, round(case when block is not null then (t / n - (t - sum(d) over (partition by series_id, block)) / (n - count(d) over (partition by series_id, block))) * sqrt(n) end, 4) as block_influence from j""")
-add("reality_check", lambda s, d: at.reality_check_test(errors_long(daily_forecasts(s, d), ["idx"]), "p_last", ["idx"]), None)
-add("spa", lambda s, d: at.spa_test(errors_long(daily_forecasts(s, d), ["idx"]), "p_last", ["idx"]), None)
 
 # --- intervals ---
 
@@ -181,7 +175,6 @@ w(series_id, k, idx, error, q, next_q) as (select series_id, k, idx, e, 80.0::do
   union all select e.series_id, e.k, e.idx, e.e, w.next_q, greatest(0.0, case when e.e <= w.next_q then w.next_q - 0.5 else w.next_q + 5.0 * 0.9 end) from w join e on e.series_id = w.series_id and e.k = w.k + 1)
 select series_id, idx, round(error, 6) as error, round(q, 6) as q, round(next_q, 6) as next_q from w""")
 add("bellman_conformal", lambda s, d: conformal.bellman_conformal(forecasts(s, d).withColumn("e", F.col("y") - F.col("p_mean7")), "e", BY, ["idx"], alpha=0.1), None)
-add("bootstrap_uncertainty", lambda s, d: conformal.bootstrap_uncertainty(forecasts(s, d).select("series_id", "idx", "p_mean7"), "p_mean7", forecasts(s, d).withColumn("r", F.col("y") - F.col("p_mean7")), "r", ["series_id", "idx"]), None)
 
 # --- gates and guardrails ---
 
@@ -199,11 +192,9 @@ add("theoretical_bound_gate", lambda s, d: gates.gate_theoretical_bounds(panel(s
 add("residual_statistics", lambda s, d: rounded(gates.residual_statistics(differences(s, d), "e2", ["event_type"], ["series_id", "idx"], 2), "jb", "t", "q", digits=4), f"""with {FC}, r as (select event_type, series_id, idx, p_mean7 - y as r, p_mean7 - y - avg(p_mean7 - y) over (partition by event_type) as u from f), l as (select *, lag(u) over w as u1, lag(u, 2) over w as u2 from r window w as (partition by event_type order by series_id, idx)),
 c as (select event_type, count(*) as n, avg(r) / stddev_samp(r) * sqrt(count(*)) as t, avg(u * u) as m2, avg(u * u * u) as m3, avg(u * u * u * u) as m4, sum(u * u1) / sum(u * u) as r1, sum(u * u2) / sum(u * u) as r2 from l group by event_type)
 select event_type, n, round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 4) as jb, round(t, 4) as t, round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)), 4) as q from c""")
-add("residual_gate", lambda s, d: gates.gate_residual_diagnostics(differences(s, d), "e2", BY, ["idx"], 5), None)
 add("regime_gate_metrics", lambda s, d: rounded(gates.regime_metrics(regime_rows(s, d), "p_last", "y", "vol_regime", ["idx"]), "model_mae", "persistence_mae", digits=3), f"""with {DAILY}, x as (select *, y - lag(y) over (order by idx) as dy, lag(y) over (order by idx) as p from s), v as (select *, case when count(dy) over w = 13 then stddev_samp(dy) over w end as sd from x window w as (order by idx rows between 12 preceding and current row)), q as (select quantile_cont(sd, 0.33) as lo, quantile_cont(sd, 0.67) as hi from v),
 g as (select idx, y, p, case when sd <= lo then 'LOW' when sd > hi then 'HIGH' else 'MED' end as regime from v, q where p is not null), st as (select *, abs(y - lag(y) over (partition by regime order by idx)) as step from g)
 select regime, count(*) as n, round(avg(abs(p - y)), 3) as model_mae, round(avg(step), 3) as persistence_mae from st group by regime having count(*) >= 10""")
-add("stratified_gates", lambda s, d: gates.run_gates_stratified(regime_rows(s, d), "p_last", "y", "vol_regime", ["idx"]).drop("details"), None)
 add("gate_report", lambda s, d: gates.report_status(gates.run_gates(gates.gate_suspicious_improvement(improvements(s, d), "model", "base"), gates.gate_temporal_boundary(splits.WalkForwardCV(5, 2).folds(s, 100), 2))), f"""with {FC}, c as (select 1 - avg(abs(p_mean7 - y)) / avg(abs(p_last - y)) as g from f group by event_type), k as (select count(*) as n, count(*) filter (where g > 0.2) as h, count(*) filter (where g > 0.1 and g <= 0.2) as w from c)
 select case when h > 0 then 'HALT' when w > 0 then 'WARN' else 'PASS' end as status, n + 5 as n_gates, h as n_halt, w as n_warn from k""")
 add("residual_autocorrelation", lambda s, d: rounded(gates.check_residual_autocorrelation(differences(s, d), "e2", BY, ["idx"], 3), "r"), f"""with {FC}, l as (select series_id, p_mean7 - y as r, lag(p_mean7 - y, 1) over w as r1, lag(p_mean7 - y, 2) over w as r2, lag(p_mean7 - y, 3) over w as r3 from f window w as (partition by series_id order by idx)),
@@ -230,18 +221,8 @@ def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("walk_forward_evaluate", lambda s, d: models.per_split_metrics(models.walk_forward_evaluate(supervised(s, d), models.Column0(), LAGS3, "y", BY, ["idx"], splits.WalkForwardCV(5, 1, test_size=2))).select("fold", F.round("n", 0).cast("long").alias("n"), F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), F.round("bias", 6).alias("bias")), f"""with {PANEL}, l as (select series_id, idx, y, lag(y) over (partition by series_id order by idx) as p from s), r as (select *, idx - 3 as j, max(idx - 2) over (partition by series_id) as n from l where idx >= 3), k as (select *, ((j - (n - 10)) // 2)::int as fold from r where j >= n - 10)
 select fold, count(*) as n, round(avg(abs(p - y)), 6) as mae, round(sqrt(avg(pow(p - y, 2))), 6) as rmse, round(avg(p - y), 6) as bias from k group by fold""")
-add("walk_forward_ridge", lambda s, d: models.walk_forward_evaluate(supervised(s, d), models.Ridge(1.0), LAGS3, "y", BY, ["idx"]), None)
-add("crossfit", lambda s, d: models.crossfit_predict(supervised(s, d), models.Ridge(1.0), LAGS3, "y", BY, ["idx"]), None)
 add("crossfit_mean", lambda s, d: rounded(models.crossfit_predict(supervised(s, d), models.Mean(), LAGS3, "y", BY, ["idx"]).where("prediction is not null"), "prediction", "residual", digits=9), f"""with {PANEL}, r as (select series_id, idx - 3 as position, y, count(*) over (partition by series_id) as n from s where idx >= 3), k as (select *, least(position // (n // 5), 4) as fold from r)
 select a.series_id, a.position, round(avg(b.y), 9) as prediction, round(any_value(a.y) - avg(b.y), 9) as residual from k a join k b on a.series_id = b.series_id and b.position < a.fold * (a.n // 5) where a.fold > 0 group by a.series_id, a.position""")
-add("cross_fit_residualize", lambda s, d: models.cross_fit_residualize(supervised(s, d).withColumn("b", F.log1p("y")), models.Ridge(1.0), models.Ridge(1.0), LAGS3, "y", "b", BY, ["idx"]), None)
-add("nested_cv", lambda s, d: models.nested_walk_forward(supervised(s, d), models.Ridge, {"alpha": [0.1, 10.0, 1000.0]}, LAGS3, "y", BY, ["idx"], 2, 3), None)
-add("gap_sensitivity", lambda s, d: models.gap_summary(models.gap_sensitivity_analysis(supervised(s, d), models.Ridge(1.0), LAGS3, "y", BY, ["idx"], range(5)), BY), None)
-add("signal_verification_gate", lambda s, d: gates.gate_signal_verification(one_series(s, d), models.Ridge(1.0), LAGS3, "y", ["idx"]), None)
-add("synthetic_ar1_gate", lambda s, d: gates.gate_synthetic_ar1(s, models.Ridge(1.0)), None)
-add("bootstrap_mean", lambda s, d: resampling.bootstrap_ci_mean(panel(s, d), "y", BY, ["idx"]), None)
-add("bootstrap_mae", lambda s, d: resampling.bootstrap_ci_mae(differences(s, d), "e2", BY, ["idx"]), None)
-add("wild_cluster_bootstrap", lambda s, d: resampling.wild_cluster_bootstrap(models.per_split_metrics(models.walk_forward_evaluate(supervised(s, d), models.Column0(), LAGS3, "y", BY, ["idx"], splits.WalkForwardCV(8, 1)), BY), "bias", "fold", BY), None)
 
 
 def bagged(make):
@@ -254,22 +235,9 @@ def bagged(make):
     return run
 
 
-add("block_bagging", bagged(lambda b: resampling.create_block_bagger(b)), None)
-add("stationary_bagging", bagged(lambda b: resampling.create_stationary_bagger(b)), None)
-add("feature_bagging", bagged(lambda b: resampling.create_feature_bagger(b)), None)
 add("residual_bagging", bagged(lambda b: resampling.create_residual_bagger(b, 7)), None)
-add("adf_test", lambda s, d: unit_roots.adf_test(panel(s, d), "y", BY, ["idx"]), None)
-add("kpss_test", lambda s, d: unit_roots.kpss_test(panel(s, d), "y", BY, ["idx"]), None)
 add("pp_test", lambda s, d: unit_roots.pp_test(panel(s, d), "y", BY, ["idx"]).select("series_id", F.round("statistic", 5).alias("statistic")), f"""with {PANEL}, x as (select series_id, y - lag(y) over (partition by series_id order by idx) as d, lag(y) over (partition by series_id order by idx) as l from s), c as (select series_id, count(d) as n, regr_slope(d, l) as b, regr_sxx(d, l) as sxx, regr_syy(d, l) as syy, regr_sxy(d, l) as sxy from x where l is not null group by series_id)
 select series_id, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 5) as statistic from c""")
-add("check_stationarity", lambda s, d: unit_roots.check_stationarity(panel(s, d), "y", BY, ["idx"]), None)
-add("difference_until_stationary", lambda s, d: unit_roots.difference_until_stationary(panel(s, d), "y", BY, ["idx"]), None)
-add("select_lag_bic", lambda s, d: unit_roots.select_lag_bic(panel(s, d), "y", BY, ["idx"]), None)
-add("select_lag_aic", lambda s, d: unit_roots.select_lag_aic(panel(s, d), "y", BY, ["idx"]), None)
-add("select_lag_pacf", lambda s, d: unit_roots.select_lag_pacf(panel(s, d), "y", BY, ["idx"]), None)
-add("suggest_cv_gap", lambda s, d: unit_roots.suggest_cv_gap(panel(s, d), "y", BY, ["idx"], 2), None)
-add("simulate_arma", lambda s, d: simulate.simulate_arma(s, [0.5, 0.2], [0.3], 200, 8), None)
-add("synthetic_dataset", lambda s, d: simulate.create_synthetic_dataset(s, 100, 5), None)
 
 ADAPTERS = (compare.NaiveAdapter(), compare.SeasonalNaiveAdapter(7), compare.HistoricAverageAdapter(), compare.HistoricAverageAdapter(5))
 
