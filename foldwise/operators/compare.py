@@ -322,11 +322,15 @@ def generate_ranking_table(ranking: DataFrame) -> str:
     return head + "".join(f"| {r['rank']} | {r['model']} | {show(r['mae'])} | {show(r['rmse'])} | {show(r['mape'])} | {show(r['direction_accuracy'])} |\n" for r in rows)
 
 
+def generate_summary_table(results: DataFrame) -> str:
+    """Markdown of a suite's wins and mean errors, a row a model."""
+    rows = comparison_report(results).orderBy(F.desc("wins"), "model").collect()
+    return "| Model | Wins | Datasets | Mean MAE |\n|---|---|---|---|\n" + "".join(f"| {r['model']} | {r['wins']} | {r['n_datasets']} | {r['mean_mae']:.4f} |\n" for r in rows)
+
+
 def generate_benchmark_docs(results: DataFrame, metadata: dict | None = None) -> str:
     """Markdown of a whole suite: summary, then a table a dataset."""
-    summary = comparison_report(results).orderBy(F.desc("wins"), "model").collect()
-    text = "# Benchmark results\n\n" + "".join(f"- {k}: {v}\n" for k, v in (metadata or {}).items())
-    text += "\n| Model | Wins | Datasets | Mean MAE |\n|---|---|---|---|\n" + "".join(f"| {r['model']} | {r['wins']} | {r['n_datasets']} | {r['mean_mae']:.4f} |\n" for r in summary)
+    text = "# Benchmark results\n\n" + "".join(f"- {k}: {v}\n" for k, v in (metadata or {}).items()) + "\n" + generate_summary_table(results)
     for (name,) in results.select("dataset").distinct().orderBy("dataset").collect():
         text += f"\n## {name}\n\n" + generate_ranking_table(results.where(F.col("dataset") == name))
     return text

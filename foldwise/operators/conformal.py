@@ -104,20 +104,25 @@ def aci_step(q: float, error: float, alpha: float, gamma: float) -> float:
 
 
 def adaptive_conformal(df: DataFrame, error: Column, by: list[str], order: list[str], q0: float | str, alpha: float = 0.05, gamma: float = 0.1) -> DataFrame:
-    """(by, order, error, q, next_q): the half width before and after each row, by built-in array folds.
+    """(by, order, error, q, next_q): the half width before and after each row.
 
-    q0 is a number, or a column that holds a series' first half width. A series is one array, so its length bounds a task.
+    q0 is a number, or a column that holds a series' first half width. The recursion needs a series in order, so a series is
+    one group, gone through once.
     """
+    kinds = dict(df.dtypes)
     start = F.col(q0) if isinstance(q0, str) else F.lit(float(q0))
-    first = start if isinstance(q0, str) else start
-    keys = [F.col(o) for o in order]
-    rows = df.select(*by, *order, F.abs(error).alias("_e"), first.cast("double").alias("_q0")).where("_e is not null")
-    path = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*keys, F.col("_e")))).alias("s"), F.first("_q0").alias("_q0"))
-    step = lambda q, e: F.greatest(F.lit(0.0), F.when(e <= q, q - gamma * alpha).otherwise(q + gamma * (1 - alpha)))
-    zero = F.array(F.struct(F.col("_q0").alias("q"), F.col("_q0").alias("next_q")))
-    folded = F.aggregate("s", zero, lambda acc, x: F.concat(acc, F.array(F.struct(F.element_at(acc, -1)["next_q"].alias("q"), step(F.element_at(acc, -1)["next_q"], x["_e"]).alias("next_q")))))
-    out = path.withColumn("f", F.arrays_zip("s", F.slice(folded, 2, F.size("s")).alias("f"))).select(*by, F.explode("f").alias("r"))
-    return out.select(*by, *[F.col(f"r.s.{o}").alias(o) for o in order], F.col("r.s._e").alias("error"), F.col("r.f.q").alias("q"), F.col("r.f.next_q").alias("next_q"))
+    rows = df.select(*by, *order, F.abs(error).cast("double").alias("error"), start.cast("double").alias("_q0")).where("error is not null")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        q, path = float(pdf["_q0"].iloc[0]), []
+        for e in pdf["error"].tolist():
+            path.append(q)
+            q = aci_step(q, e, alpha, gamma)
+        return pdf[[*by, *order, "error"]].assign(q=path, next_q=[*path[1:], q])
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*by, *order]], "error double, q double, next_q double"])
+    return rows.groupBy(*by).applyInPandas(run, schema)
 
 
 class Bellman:

@@ -35,8 +35,58 @@ def metric_bars(results: DataFrame, model: str, metrics: list[str], baseline: st
     return long.join(F.broadcast(base), "metric").select(model, "metric", "value", F.when(F.col("_b") != 0, F.col("value") / F.col("_b")).alias("relative"))
 
 
-# The names under which users look for these charts; there is no drawing library here, so each gives the chart's frame.
-plot_cv_folds = CVFoldsDisplay = cv_folds
-plot_gate_result = plot_gate_comparison = GateResultDisplay = GateComparisonDisplay = gate_gauge
-plot_prediction_intervals = plot_interval_width = PredictionIntervalDisplay = interval_band
-plot_metric_comparison = MetricComparisonDisplay = metric_bars
+def interval_width(df: DataFrame, order: str, lower: str, upper: str) -> DataFrame:
+    """(x, width, mean_width): the width at each place, and its mean as a reference line."""
+    width = F.col(upper) - F.col(lower)
+    mean = df.agg(F.avg(width).alias("mean_width"))
+    return df.select(F.col(order).alias("x"), width.alias("width")).crossJoin(F.broadcast(mean))
+
+
+def gate_comparison(gates: DataFrame) -> DataFrame:
+    """(gate, status, n, severity): bars of how often each gate came out how."""
+    return gate_gauge(gates).groupBy("gate", "status").agg(F.count(F.lit(1)).alias("n"), F.max("severity").alias("severity"))
+
+
+class BaseDisplay:
+    """A chart as a frame: subclasses say how it is made from what; there is no drawing library here."""
+
+    make = None
+
+    def __init__(self, frame: DataFrame, title: str = "") -> None:
+        self.frame, self.title = frame, title
+
+    @classmethod
+    def of(cls, *args, title: str = "", **options) -> BaseDisplay:
+        return cls(cls.make(*args, **options), title)
+
+    def rows(self, most: int = 10_000) -> list[dict]:
+        """What a drawing library would be given; an error beyond `most` points, as a chart can't show them."""
+        got = self.frame.limit(most + 1).collect()
+        if len(got) > most:
+            raise ValueError(f"more than {most} points; aggregate them first")
+        return [r.asDict() for r in got]
+
+
+class CVFoldsDisplay(BaseDisplay):
+    make = staticmethod(cv_folds)
+
+
+class GateResultDisplay(BaseDisplay):
+    make = staticmethod(gate_gauge)
+
+
+class GateComparisonDisplay(BaseDisplay):
+    make = staticmethod(gate_comparison)
+
+
+class PredictionIntervalDisplay(BaseDisplay):
+    make = staticmethod(interval_band)
+
+
+class MetricComparisonDisplay(BaseDisplay):
+    make = staticmethod(metric_bars)
+
+
+# The names under which users look for these charts.
+plot_cv_folds, plot_gate_result, plot_gate_comparison = cv_folds, gate_gauge, gate_comparison
+plot_prediction_intervals, plot_interval_width, plot_metric_comparison = interval_band, interval_width, metric_bars

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the folder that spark.checkpoint.dir names, which driver and executors share; a temporary one in local sessions without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='foldwise-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
