@@ -137,7 +137,7 @@ def fit(texts: list[str], labels: list[str], **how) -> Model:
     return fit_bags([bag(t) for t in texts], labels, **how)
 
 
-def fit_bags(bags: list[Bag], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.5) -> Model:
+def fit_bags(bags: list[Bag], labels: list[str], seed: int = 7, epochs: int = 6, least_steps: int = 4000, rate: float = 0.5) -> Model:
     """Train on the bags of labelled texts by stochastic gradient descent; every fifth one is kept for calibration.
 
     The temperature is the one of least log loss on the calibration texts. The rejection threshold is
@@ -152,6 +152,8 @@ def fit_bags(bags: list[Bag], labels: list[str], seed: int = 7, epochs: int = 6,
     train = np.flatnonzero(~held)
     emb = (rng.standard_normal((BUCKETS, DIM)) / DIM).astype(np.float32)
     out, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
+    # a small sample is gone through more often
+    epochs = max(epochs, -(-least_steps // max(len(train), 1)))
     steps, done = epochs * len(train), 0
     for _ in range(epochs):
         for i in rng.permutation(train):
