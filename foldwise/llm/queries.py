@@ -83,9 +83,9 @@ with ok as (
   select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
   where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.r, q.vec_id as query_id, c.vec_id, c.r as at, case when len(c.v) = 0 then 0 else list_inner_product(q.v, c.v) end::bigint as score
+s as (select q.r, q.vec_id as query_id, c.vec_id, c.r as cand, case when len(c.v) = 0 then 0 else list_inner_product(q.v, c.v) end::bigint as score
       from ok q join ok c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 20 = 0),
-r as (select *, row_number() over (partition by r order by score desc, vec_id, at)::int as rank from s)
+r as (select *, row_number() over (partition by r order by score desc, vec_id, cand)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 
