@@ -17,6 +17,7 @@ from foldwise.functions.special import p_value_col
 from foldwise.operators.hac import autocorrelations, ljung_box
 from foldwise.operators.metrics import col, ordered
 from foldwise.operators.regimes import mask_low_n_regimes
+from foldwise.operators.resampling import block_draws, compute_block_length
 from foldwise.operators.splits import WalkForwardCV
 
 #: Statuses from the worst on.
@@ -100,6 +101,17 @@ def _cv_errors(model, x: np.ndarray, y: np.ndarray, n_splits: int) -> np.ndarray
     return np.concatenate(e) if e else np.empty(0)
 
 
+def _interval(errors: np.ndarray, n_bootstrap: int, alpha: float, block_length: int | str, seed: int) -> dict[str, Column]:
+    """Details of a moving-block interval of the mean of a series of absolute errors; none below two of them."""
+    if len(errors) < 2:
+        return {}
+    length = compute_block_length(len(errors)) if block_length == "auto" else int(block_length)
+    means = errors[block_draws(len(errors), length, n_bootstrap, seed)].mean(axis=1)
+    lower, upper = np.percentile(means, [50 * alpha, 100 - 50 * alpha])
+    found = {"ci_lower": lower, "ci_upper": upper, "bootstrap_std": means.std(ddof=1), "n_bootstrap": n_bootstrap, "bootstrap_block_length": length}
+    return {k: F.lit(float(v)) for k, v in found.items()}
+
+
 def permuted(y: np.ndarray, block: int, rng: HashDraws) -> np.ndarray:
     """y with its blocks in random order."""
     parts = [y[a : a + block] for a in range(0, len(y) // block * block, block)]
@@ -108,9 +120,11 @@ def permuted(y: np.ndarray, block: int, rng: HashDraws) -> np.ndarray:
     return np.concatenate([parts[k] for k in rng.permutation(len(parts))])
 
 
-def gate_signal_verification(df: DataFrame, model, features: list[str], target: str, order: list[str], n_shuffles: int = 100, threshold: float = 0.05, n_cv_splits: int = 3, permutation: str = "block", block_size: int | str = "auto", method: str = "permutation", seed: int = 0) -> DataFrame:
+def gate_signal_verification(df: DataFrame, model, features: list[str], target: str, order: list[str], n_shuffles: int = 100, threshold: float = 0.05, n_cv_splits: int = 3, permutation: str = "block", block_size: int | str = "auto", method: str = "permutation", seed: int = 0, bootstrap_ci: bool = False, n_bootstrap: int = 100, bootstrap_alpha: float = 0.05, bootstrap_block_length: int | str = "auto") -> DataFrame:
     """Does the model find signal in the real target that shuffled targets lack? HALT calls for a look at leakage.
 
+    bootstrap_ci adds a moving-block interval of the real MAE to the details.
+
     One series' arrays are broadcast; shuffles are dealt over the cluster. permutation: p = (1 + shuffles as good) / (1 + shuffles), HALT
     below threshold; effect_size: HALT if 1 - MAE / mean shuffled MAE exceeds it.
     """
@@ -127,24 +141,28 @@ def gate_signal_verification(df: DataFrame, model, features: list[str], target:
         for b in batches:
             yield pd.DataFrame({"mae": [float(_cv_errors(m, xs, permuted(ys, block, HashDraws(seed, int(k))), n_cv_splits).mean()) for k in b["id"]]})
 
-    real = float(_cv_errors(model, x, y, n_cv_splits).mean())
+    errors = _cv_errors(model, x, y, n_cv_splits)
+    real = float(errors.mean())
+    more = _interval(errors, n_bootstrap, bootstrap_alpha, bootstrap_block_length, seed) if bootstrap_ci else {}
     got = spark.range(n_shuffles).mapInPandas(run, "mae double").agg(F.avg("mae").alias("mean"), F.count_if(F.col("mae") <= real).alias("as_good"))
     gain = F.when(F.col("mean") > 0, 1 - F.lit(real) / F.col("mean")).otherwise(0.0)
     p = (1 + F.col("as_good")) / (1 + F.lit(n_shuffles))
     metric, bad = (p, p < threshold) if method == "permutation" else (gain, gain > threshold)
-    return _row(got, "signal_verification", F.when(bad, "HALT").otherwise("PASS"), metric, threshold, F.lit("model against shuffled targets"), None, {"mae_real": F.lit(real), "mae_shuffled": F.col("mean"), "improvement": gain, "p_value": p, "block_size": F.lit(block)})
+    return _row(got, "signal_verification", F.when(bad, "HALT").otherwise("PASS"), metric, threshold, F.lit("model against shuffled targets"), None, {"mae_real": F.lit(real), "mae_shuffled": F.col("mean"), "improvement": gain, "p_value": p, "block_size": F.lit(block), **more})
 
 
-def gate_synthetic_ar1(spark: SparkSession, model, phi: float = 0.95, sigma: float = 1.0, n_samples: int = 500, n_lags: int = 5, tolerance: float = 1.5, n_cv_splits: int = 3, seed: int = 0) -> DataFrame:
-    """HALT if the model beats the least possible MAE of a simulated AR(1) by more than the tolerance."""
+def gate_synthetic_ar1(spark: SparkSession, model, phi: float = 0.95, sigma: float = 1.0, n_samples: int = 500, n_lags: int = 5, tolerance: float = 1.5, n_cv_splits: int = 3, seed: int = 0, bootstrap_ci: bool = False, n_bootstrap: int = 100, bootstrap_alpha: float = 0.05, bootstrap_block_length: int | str = "auto") -> DataFrame:
+    """HALT if the model beats the least possible MAE of a simulated AR(1) by more than the tolerance; bootstrap_ci as above."""
     from foldwise.operators.simulate import ar1
 
     y = ar1(phi, sigma, n_samples, HashDraws(seed))
     x = np.column_stack([y[n_lags - k - 1 : len(y) - k - 1] for k in range(n_lags)])
-    mae = float(_cv_errors(model, x, y[n_lags:], n_cv_splits).mean())
+    errors = _cv_errors(model, x, y[n_lags:], n_cv_splits)
+    mae = float(errors.mean())
+    more = _interval(errors, n_bootstrap, bootstrap_alpha, bootstrap_block_length, seed) if bootstrap_ci else {}
     ratio = mae / (sigma * ABS_NORMAL)
     one = spark.createDataFrame([(ratio, mae)], "ratio double, mae double")
-    return _row(one, "synthetic_ar1", F.when(F.col("ratio") < 1 / tolerance, "HALT").otherwise("PASS"), F.col("ratio"), 1 / tolerance, F.lit("MAE over the AR(1) optimum"), None, {"mae": F.col("mae")})
+    return _row(one, "synthetic_ar1", F.when(F.col("ratio") < 1 / tolerance, "HALT").otherwise("PASS"), F.col("ratio"), 1 / tolerance, F.lit("MAE over the AR(1) optimum"), None, {"mae": F.col("mae"), **more})
 
 
 def run_gates(*gates: DataFrame) -> DataFrame:

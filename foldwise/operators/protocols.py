@@ -58,14 +58,11 @@ class EWMAVolatility:
 
 
 class GARCHVolatility:
-    """GARCH(1, 1) only."""
-
     def __init__(self, p: int = 1, q: int = 1) -> None:
-        if (p, q) != (1, 1):
-            raise ValueError("only p = q = 1")
+        self.p, self.q = p, q
 
     def estimate(self, df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
-        return regimes.garch_volatility(df, value, by, order)
+        return regimes.garch_volatility(df, value, by, order, p=self.p, q=self.q)
 
 
 class CrossFitter:

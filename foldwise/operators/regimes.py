@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -216,37 +218,54 @@ def ewma_volatility(df: DataFrame, value: str, by: list[str], order: list[str],
     return df.groupBy(*by).applyInPandas(run, f"{df._jdf.schema().toDDL()}, `{name}` double")
 
 
-def garch_volatility(df: DataFrame, value: str, by: list[str], order: list[str], name: str = "volatility") -> DataFrame:
-    """Adds the deviation of a Gaussian GARCH(1, 1) fitted to a series' changes of 100 times its values by
-    quasi-likelihood (a grid, refined); null for fewer than 10 rows."""
-
-    def fit(x: np.ndarray) -> np.ndarray:
-        x = (x - x.mean()) * 100
-        v = max(x.var(), 1e-12)
-
-        def path(a: float, b: float) -> np.ndarray:
-            h = np.empty(len(x))
-            h[0] = v
-            for t in range(1, len(x)):
-                h[t] = v * (1 - a - b) + a * x[t - 1] ** 2 + b * h[t - 1]
-            return h
-
-        def loss(ab: tuple[float, float]) -> float:
-            if ab[0] < 0 or ab[1] < 0 or sum(ab) >= 0.999:
-                return np.inf
-            h = path(*ab)
-            return float((np.log(h) + x * x / h).sum())
-
-        best = min(((a, b) for a in (0.02, 0.05, 0.1, 0.2, 0.3) for b in (0.0, 0.3, 0.6, 0.8, 0.9)), key=loss)
-        step = 0.05
-        while step > 1e-3:
-            near = min(((best[0] + i * step, best[1] + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1)), key=loss)
-            best, step = (near, step) if loss(near) < loss(best) else (best, step / 2)
-        return np.sqrt(path(*best)) / 100
+def garch_path(x: np.ndarray, a: Sequence[float], b: Sequence[float]) -> np.ndarray:
+    """Variances of a GARCH with weights a of past squares and b of past variances, around the variance of x, at which it starts."""
+    v, sq = max(x.var(), 1e-12), x * x
+    base, h = v * (1 - sum(a) - sum(b)), np.empty(len(x))
+    first = max(len(a), len(b))
+    for t in range(len(x)):
+        if t < first:
+            # before the first row, squares and variances are v
+            h[t] = base + sum(w * (sq[t - i] if t >= i else v) for i, w in enumerate(a, 1)) + sum(w * (h[t - j] if t >= j else v) for j, w in enumerate(b, 1))
+        else:
+            h[t] = base + sum(w * sq[t - i] for i, w in enumerate(a, 1)) + sum(w * h[t - j] for j, w in enumerate(b, 1))
+    return h
+
+
+def garch_fit(x: np.ndarray, p: int = 1, q: int = 1) -> tuple[list[float], list[float]]:
+    """Weights by Gaussian quasi-likelihood: the best of a few starts, refined coordinate by coordinate."""
+
+    def loss(w: tuple[float, ...]) -> float:
+        if min(w) < 0 or sum(w) >= 0.999:
+            return np.inf
+        h = garch_path(x, w[:p], w[p:])
+        return float((np.log(h) + x * x / h).sum())
+
+    best = min((tuple([a / p] * p + [b / q] * q) for a in (0.02, 0.05, 0.1, 0.2, 0.3) for b in (0.0, 0.3, 0.6, 0.8, 0.9)), key=loss)
+    step, value = 0.05, loss(best)
+    while step > 1e-3:
+        moves = [(*best[:k], best[k] + d, *best[k + 1 :]) for k in range(p + q) for d in (-step, step)]
+        moves += [tuple(v + d * (k == i) - d * (k == j) for k, v in enumerate(best)) for i in range(p + q) for j in range(p + q) if i != j for d in (step,)]
+        near = min(moves, key=loss)
+        if (new := loss(near)) < value:
+            best, value = near, new
+        else:
+            step /= 2
+    return list(best[:p]), list(best[p:])
+
+
+def garch_volatility(df: DataFrame, value: str, by: list[str], order: list[str], name: str = "volatility", p: int = 1, q: int = 1) -> DataFrame:
+    """Adds the deviation of a Gaussian GARCH(p, q) fitted to 100 times a series' values, less their mean, by quasi-likelihood; null for fewer than 10 rows."""
+    if p < 1 or q < 1:
+        raise ValueError("p and q must be 1 at least")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        return pdf.assign(**{name: fit(pdf[value].to_numpy(float)) if len(pdf) >= 10 else np.nan})
+        x = pdf[value].to_numpy(float)
+        if len(x) < 10:
+            return pdf.assign(**{name: np.nan})
+        x = (x - x.mean()) * 100
+        return pdf.assign(**{name: np.sqrt(garch_path(x, *garch_fit(x, p, q))) / 100})
 
     return df.groupBy(*by).applyInPandas(run, f"{df._jdf.schema().toDDL()}, `{name}` double")
 

@@ -170,47 +170,56 @@ def loess(y: np.ndarray, at: np.ndarray, x: np.ndarray, span: int, weights: np.n
     return out
 
 
-def stl(y: np.ndarray, period: int, robust: bool = True, inner: int = 2, outer: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trend, season and rest by loess (Cleveland et al. 1990) with a seasonal span of 7."""
+def stl(y: np.ndarray, period: int, robust: bool = True, inner_iter: int = 2, outer_iter: int = 3, seasonal: int = 7, trend: int | None = None, low_pass: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trend, season and rest by loess (Cleveland et al. 1990); seasonal, trend and low_pass are the spans of the smoothers."""
     n = len(y)
+    if min(seasonal, trend or 3, low_pass or 3) < 3:
+        raise ValueError("spans must be 3 at least")
     x = np.arange(n, dtype=float)
-    span = int(np.ceil(1.5 * period / (1 - 1.5 / 7)))
+    span = trend or int(np.ceil(1.5 * period / (1 - 1.5 / seasonal)))
     span += span % 2 == 0
-    low = period + (period % 2 == 0)
-    trend, season, weight = np.zeros(n), np.zeros(n), np.ones(n)
+    low = low_pass or period + (period % 2 == 0)
+    inner, outer = inner_iter, outer_iter
+    level, season, weight = np.zeros(n), np.zeros(n), np.ones(n)
     for o in range(outer if robust else 1):
         for _ in range(inner):
             cycle = np.empty(n + 2 * period)
-            detrended = y - trend
+            detrended = y - level
             for k in range(period):
                 at = np.arange(k, n, period)
                 t = np.arange(len(at), dtype=float)
-                fit = loess(detrended[at], np.arange(-1, len(at) + 1, dtype=float), t, 7, weight[at])
+                fit = loess(detrended[at], np.arange(-1, len(at) + 1, dtype=float), t, seasonal, weight[at])
                 cycle[k : k + period * (len(at) + 2) : period][: len(fit)] = fit
             box = lambda v, m: np.convolve(v, np.ones(m) / m, "valid")
             smooth = box(box(box(cycle, period), period), 3)
             smooth = loess(smooth, x[: len(smooth)], x[: len(smooth)], low, np.ones(len(smooth)))
             season = cycle[period : period + n] - smooth[:n]
-            trend = loess(y - season, x, x, span, weight)
-        rest = y - trend - season
+            level = loess(y - season, x, x, span, weight)
+        rest = y - level - season
         if robust and o < outer - 1:
             h = 6 * np.median(np.abs(rest))
             weight = np.clip(1 - (np.abs(rest) / max(h, 1e-12)) ** 2, 0, 1) ** 2
-    return trend, season, y - trend - season
+    return level, season, y - level - season
+
+
+@lru_cache(4)
+def _parts(y: bytes, period: int, robust: bool, options: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """stl, once for all replicates of a target."""
+    return stl(np.frombuffer(y), period, robust, **dict(options))
 
 
 class ResidualBootstrap:
-    """Targets rebuilt from trend, season and block-resampled rests."""
+    """Targets rebuilt from trend, season and block-resampled rests; stl_kwargs are further settings of stl."""
 
-    def __init__(self, seasonal_period: int | None = None, block_length: int | None = None, robust: bool = True) -> None:
-        self.period, self.block_length, self.robust = seasonal_period, block_length, robust
+    def __init__(self, seasonal_period: int | None = None, block_length: int | None = None, robust: bool = True, stl_kwargs: dict | None = None) -> None:
+        self.period, self.block_length, self.robust, self.options = seasonal_period, block_length, robust, dict(stl_kwargs or {})
 
     def sample(self, x: np.ndarray, y: np.ndarray, rng: HashDraws):
         n = len(y)
         period = self.period or min(52, max(2, n // 2 - 1))
         if period >= n // 2:
             period = max(2, n // 3)
-        trend, season, rest = stl(y, period, self.robust)
+        trend, season, rest = _parts(np.ascontiguousarray(y, float).tobytes(), period, self.robust, tuple(sorted(self.options.items())))
         return x, trend + season + rest[block_indices(n, self.block_length or compute_block_length(n), rng)], np.arange(x.shape[1])
 
 
@@ -273,8 +282,8 @@ def create_feature_bagger(base_model, n_estimators: int = 20, max_features: floa
     return TimeSeriesBagger(base_model, FeatureBagging(max_features), n_estimators, aggregation, seed)
 
 
-def create_residual_bagger(base_model, seasonal_period: int | None = None, block_length: int | None = None, robust: bool = True, n_estimators: int = 50, aggregation: str = "mean", seed: int = 0) -> TimeSeriesBagger:
-    return TimeSeriesBagger(base_model, ResidualBootstrap(seasonal_period, block_length, robust), n_estimators, aggregation, seed)
+def create_residual_bagger(base_model, seasonal_period: int | None = None, block_length: int | None = None, robust: bool = True, n_estimators: int = 50, aggregation: str = "mean", seed: int = 0, stl_kwargs: dict | None = None) -> TimeSeriesBagger:
+    return TimeSeriesBagger(base_model, ResidualBootstrap(seasonal_period, block_length, robust, stl_kwargs), n_estimators, aggregation, seed)
 
 
 def check_bootstrap_strategy(strategy, n_samples: int = 40, n_boot: int = 5) -> None:

@@ -14,8 +14,13 @@ from foldwise.functions.draws import HashDraws
 
 
 def _check_ar(ar: Sequence[float]) -> None:
-    if len(ar) and (np.abs(np.roots(np.concatenate([[1.0], -np.asarray(ar, float)]))) >= 1).any():
-        raise ValueError("the autoregression isn't stationary")
+    """Step down from the last coefficient: an autoregression is stationary if every partial autocorrelation is within (-1, 1)."""
+    a = np.asarray(ar, float)
+    while len(a):
+        last, rest = a[-1], a[:-1]
+        if not abs(last) < 1:
+            raise ValueError("the autoregression isn't stationary")
+        a = (rest + last * rest[::-1]) / (1 - last * last)
 
 
 def arma(ar: Sequence[float], ma: Sequence[float], n: int, sigma: float, burn: int, rng: HashDraws) -> np.ndarray:
@@ -92,6 +97,6 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.col(v) if isinstance(v, str) else F.lit(float(v))
 
 
-def create_synthetic_dataset(spark: SparkSession, n_obs: int = 200, n_series: int = 1, ar_coef: float = 0.9, noise_std: float = 0.1, seed: int = 42) -> DataFrame:
+def synthetic_panel(spark: SparkSession, n_obs: int = 200, n_series: int = 1, ar_coef: float = 0.9, noise_std: float = 0.1, seed: int = 42) -> DataFrame:
     """(series_id, idx, y): a panel of AR(1) series."""
     return simulate_ar(spark, [ar_coef], n_obs, n_series, noise_std, seed=seed).select(F.concat(F.lit("s"), F.col("path").cast("string")).alias("series_id"), "idx", "y")

@@ -14,6 +14,7 @@ from foldwise.plans.inference_queries import BY, D, ERRORS, LAGS, LAGS3, PAIRS,
 from foldwise.plans.inference_queries import FORECASTS, INNOVATION
 from foldwise.plans.metric_queries import regime_rows
 from foldwise.plans.registry import DAILY, FC, PANEL, add, rounded
+from foldwise.sources import datasets
 from foldwise.sources.tables import daily_forecasts, errors_long, forecasts, panel
 
 # --- distributions as finite sums ---
@@ -275,7 +276,18 @@ ya(path, t, y, before) as (select path, t, shock, 0.0::double from sk where t =
 add("simulate_arma", lambda s, d: rounded(simulate.simulate_arma(s, [0.5, 0.2], [0.3], 200, 8), "y"), f"with recursive {paths(8, 200, 100, 0, 1.0, 0.5, 0.2, 0.3)} select path, t - 100 as idx, round(y, 6) as y from ya where t >= 100")
 add("generate_ar_series", lambda s, d: rounded(simulate.generate_ar1_series(s, 0.8, 2.0, 120, 3).withColumn("kind", F.lit("ar1")).unionByName(simulate.generate_ar2_series(s, 0.5, 0.3, 1.5, 80, 4).withColumn("kind", F.lit("ar2"))), "y"), f"""with recursive {paths(1, 120, 100, 3, 2.0, 0.8, 0.0, 0.0)}, {paths(1, 80, 100, 4, 1.5, 0.5, 0.3, 0.0).replace("en as", "en2 as").replace("from en)", "from en2)").replace("sk as", "sk2 as").replace("from sk ", "from sk2 ").replace("join sk on sk.path = ya.path and sk.t = ya.t + 1", "join sk2 on sk2.path = yb.path and sk2.t = yb.t + 1").replace("select sk.path, sk.t, sk.shock", "select sk2.path, sk2.t, sk2.shock").replace("ya(", "yb(").replace("ya.", "yb.").replace("from ya", "from yb")}
 select t - 100 as idx, round(y, 6) as y, 'ar1' as kind from ya where t >= 100 union all select t - 100, round(y, 6), 'ar2' from yb where t >= 100""")
-add("synthetic_dataset", lambda s, d: rounded(simulate.create_synthetic_dataset(s, 100, 5), "y"), f"with recursive {paths(5, 100, 100, 42, 0.1, 0.9, 0.0, 0.0)} select 's' || path as series_id, t - 100 as idx, round(y, 6) as y from ya where t >= 100")
+
+
+def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = datasets.create_synthetic_dataset(spark, 100, 5)
+    train, test = data.get_train_test_split()
+    return rounded(train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).withColumn("horizon", F.lit(data.metadata.horizon)), "y")
+
+
+add("synthetic_dataset", synthetic, f"with recursive {paths(5, 100, 100, 42, 0.1, 0.9, 0.0, 0.0)} select 's' || path as series_id, t - 100 as idx, round(y, 6) as y, case when t < 180 then 'train' else 'test' end as part, 2 as horizon from ya where t >= 100")
+add("signal_gate_interval", lambda s, d: gates.gate_signal_verification(one_series(s, d), models.Column0(), LAGS3, "y", ["idx"], n_shuffles=5, bootstrap_ci=True).select(*[F.round(F.col("details")[k].cast("double"), 3).alias(k) for k in ("mae_real", "ci_lower", "ci_upper", "bootstrap_std", "bootstrap_block_length")]), f"""with {DAILY}, sl as (select idx, y, lag(y) over w as x1, lag(y, 3) over w as x3 from s window w as (order by idx)), sup as (select *, row_number() over (order by idx) - 1 as r, count(*) over () as n from sl where x3 is not null), er as (select abs(y - x1) as e, row_number() over (order by r) - 1 as pos, count(*) over () as n from sup where r >= n - 3 * (n // 4)), nn as (select any_value(n) as n, {BLOCK.replace("n,", "any_value(n),")} as w from er),
+ix as (select b, floor({draw_sql("('0:' || n || ':' || w)", "b * ceil(n / w)::bigint + k")} * (n - w + 1))::bigint + o as pos from nn, range(100) x(b), range(0, 400) y(k), range(0, 60) z(o) where k < ceil(n / w) and o < w and k * w + o < n), bm as (select b, avg(e) as m from ix join er using (pos) group by b)
+select round((select avg(e) from er), 3) as mae_real, round(quantile_cont(m, 0.025), 3) as ci_lower, round(quantile_cont(m, 0.975), 3) as ci_upper, round(stddev_samp(m), 3) as bootstrap_std, round(any_value(w)::double, 3) as bootstrap_block_length from bm, nn""")
 add("synthetic_ar1_gate", lambda s, d: gates.gate_synthetic_ar1(s, models.Ridge(1.0)).select("gate", "status", F.round("metric", 5).alias("metric"), F.round("threshold", 6).alias("threshold")), f"""with recursive {paths(1, 500, 199, 0, 1.0, 0.95, 0.0, 0.0).replace("('0:' || path)", "'0'")}, ys as (select t - 199 as idx, y, {", ".join(f"lag(y, {k}) over (order by t) as x{k}" for k in range(1, 6))} from ya where t >= 199), sup as (select *, idx - 5 as r from ys where x5 is not null), fo as (select k::int as fold, 495 - (3 - k) * 123 as lo, 495 - (2 - k) * 123 as hi from range(3) t(k)),
 tr as (select fold, x1, x2, x3, x4, x5, y from sup, fo where r < lo), {ridge("fold", n=5)}, te as (select * from sup, fo where r >= lo and r < hi), z as (select avg(abs(y - {fitted(5)})) / sqrt(2 / pi()) as q from te join co using (fold)) select 'synthetic_ar1' as gate, case when q < 1 / 1.5 then 'HALT' else 'PASS' end as status, round(q, 5) as metric, round(1 / 1.5, 6) as threshold from z""")
 add("bootstrap_uncertainty", lambda s, d: rounded(conformal.bootstrap_uncertainty(forecasts(s, d).select("series_id", "idx", "p_mean7"), "p_mean7", forecasts(s, d).withColumn("r", F.col("y") - F.col("p_mean7")), "r", ["series_id", "idx"]), "p_mean7", "lower", "upper"), f"""with {FC}, rk as (select y - p_mean7 as v, row_number() over (order by y - p_mean7) - 1 as pos from f), nn as (select count(*) as n from f), dr as (select series_id, idx, p_mean7, ('0x' || substr(md5('42:' || series_id || ':' || idx || ':' || b), 1, 13))::bigint % n as pos from f, nn, range(100) x(b)),

@@ -20,6 +20,7 @@ from foldwise.plans.registry import DAILY, FC, PANEL, add, rounded
 from foldwise.sources import datasets
 from foldwise.sources import results as files
 from foldwise.sources.tables import daily, forecasts, panel, scratch_path
+from foldwise.streaming import online
 
 WEIGHT = {"bartlett": hac.bartlett_kernel, "parzen": hac.parzen_kernel, "quadratic_spectral": hac.quadratic_spectral_kernel}
 add("kernel_weights", lambda s, d: s.createDataFrame([(k, b, j, round(f(j, b), 9)) for k, f in WEIGHT.items() for b in (1, 4, 9) for j in range(8)], "kernel string, bandwidth int, lag int, weight double"), """with g as (select b::int as bandwidth, j::int as lag, j / (b + 1) as z, 6 * pi() * j / (5 * (b + 1)) as x from (select unnest([1, 4, 9]) as b), range(8) t(j))
@@ -306,3 +307,25 @@ add("plot_prediction_intervals", lambda s, d: rounded(display.plot_prediction_in
 add("plot_interval_width", lambda s, d: rounded(display.plot_interval_width(split_conformal(s, d), "event_id", "lower", "upper"), "width", "mean_width", digits=5), f"with {QS} select event_id as x, round(upper - lower, 5) as width, round(avg(upper - lower) over (), 5) as mean_width from iv")
 add("plot_metric_comparison", lambda s, d: rounded(display.plot_metric_comparison(compare.compare_forecasts(simple_forecasts(s, d)), "model", ["mae", "rmse"], "Naive"), "value", "relative"), f"""with {FORECASTS}, c as (select model, avg(abs(prediction - actual)) as mae, sqrt(avg(pow(prediction - actual, 2))) as rmse from fc group by model), l as (select model, 'mae' as metric, mae as value from c union all select model, 'rmse', rmse from c)
 select l.model, l.metric, round(l.value, 6) as value, round(l.value / b.value, 6) as relative from l join l b on b.model = 'Naive' and b.metric = l.metric""")
+
+# --- streams ---
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive intervals of a stream of errors: files are read one at a time, the last two only move the watermark."""
+    path = scratch_path(spark, "stream")
+    rows = forecasts(spark, sf_dir).where("series_id % 5 = 0").select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), F.abs(F.col("y") - F.col("p_mean7")).alias("e"))
+    rows.coalesce(1).write.parquet(f"{path}/in/a")
+    last = rows.agg(F.max("ts").alias("ts"))
+    for k in (1, 2):
+        later = rows.select("series_id").distinct().crossJoin(F.broadcast(last)).select("series_id", (F.col("ts") + F.expr(f"interval {30 * k} days")).alias("ts"), F.lit(-k).cast("long").alias("event_id"), F.lit(0.0).alias("e"))
+        later.coalesce(1).write.parquet(f"{path}/in/b{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/in")
+    out = online.online_intervals(stream, "series_id", "ts", "event_id", "e", lambda: online.Adaptive(60.0, 0.2, 4.0), "1 hour")
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{path}/out").where("event_id >= 0")
+    return got.select("series_id", "event_id", F.round("error", 6).alias("error"), F.round("q", 6).alias("q"), F.round("next_q", 6).alias("next_q"))
+
+
+add("streaming_adaptive", streamed, f"with recursive {FC}, e as (select series_id, event_id as idx, row_number() over (partition by series_id order by ts, event_id) as k, abs(y - p_mean7) as e from f where series_id % 5 = 0), {ACI} select series_id, idx as event_id, round(error, 6) as error, round(q, 6) as q, round(next_q, 6) as next_q from w")

@@ -55,6 +55,14 @@ def validate_dataset(dataset: TimeSeriesDataset) -> None:
         raise ValueError(f"{dataset.metadata.name}: {n} rows, {bad} without a value, {train} to train on")
 
 
+def create_synthetic_dataset(spark: SparkSession, n_obs: int = 200, n_series: int = 1, frequency: str = "W", horizon: int = 2, train_fraction: float = 0.8, ar_coef: float = 0.9, noise_std: float = 0.1, seed: int = 42) -> TimeSeriesDataset:
+    """A panel of AR(1) series with its split."""
+    from foldwise.operators.simulate import synthetic_panel
+
+    panel = synthetic_panel(spark, n_obs, n_series, ar_coef, noise_std, seed)
+    return TimeSeriesDataset(DatasetMetadata("synthetic", frequency, horizon, n_series, n_series * n_obs, int(n_obs * train_fraction), False, False, "train fraction", {"ar_coef": str(ar_coef), "noise_std": str(noise_std)}), panel)
+
+
 def _found(spark: SparkSession, path: str, name: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):

@@ -231,3 +231,66 @@ def test_bootstrap_draws_from_all_residuals(spark):
     drawn = lambda i, j: [int(hashlib.md5(":".join(str(x) for x in (42, i, j, b) if x is not None).encode()).hexdigest()[:13], 16) % 6000 for b in range(100)]
     want = {(r.i, r.j): np.percentile(pool[drawn(r.i, r.j)], [2.5, 97.5]) for r in rows.collect()}
     assert all(np.allclose((lower - p, upper - p), want[i, j]) for i, j, p, lower, upper in joined)
+
+
+def test_garch_orders_against_a_plain_recursion():
+    from foldwise.operators.regimes import garch_fit, garch_path
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, 1, 60)
+    a, b = [0.1, 0.05], [0.3, 0.2, 0.1]
+    h, v = [], x.var()
+    for t in range(len(x)):
+        past = sum(w * (x[t - i] ** 2 if t >= i else v) for i, w in enumerate(a, 1)) + sum(w * (h[t - j] if t >= j else v) for j, w in enumerate(b, 1))
+        h.append(v * (1 - sum(a) - sum(b)) + past)
+    assert np.allclose(garch_path(x, a, b), h)
+    # a series with clusters: the fit is no worse than any of many random weights
+    y, s = [], 1.0
+    for _ in range(400):
+        s = 0.1 + 0.2 * (y[-1] ** 2 if y else 0) + 0.7 * s
+        y.append(rng.normal() * math.sqrt(s))
+    y = np.array(y)
+    loss = lambda p, q: float((np.log(garch_path(y, p, q)) + y * y / garch_path(y, p, q)).sum())
+    p, q = garch_fit(y, 2, 1)
+    for w in rng.dirichlet([1, 1, 1, 1], 200):
+        assert loss(p, q) <= loss(list(w[:2]), [w[2]]) + 0.5
+
+
+def test_stl_settings():
+    from foldwise.functions.draws import HashDraws
+    from foldwise.operators.resampling import ResidualBootstrap, stl
+
+    t = np.arange(70)
+    y = 0.2 * t + 2 * np.sin(2 * np.pi * t / 7) + np.random.default_rng(23).normal(0, 0.3, 70)
+    smooth, rough = stl(y, 7, False, trend=41)[0], stl(y, 7, False, trend=9)[0]
+    assert np.abs(np.diff(smooth, 2)).sum() < np.abs(np.diff(rough, 2)).sum()
+    sample = ResidualBootstrap(7, 5, False, {"trend": 41, "seasonal": 9}).sample(np.zeros((70, 1)), y, HashDraws(1))[1]
+    trend, season, rest = stl(y, 7, False, seasonal=9, trend=41)
+    assert np.isin(np.round(sample - trend - season, 9), np.round(rest, 9)).all()
+    with pytest.raises(TypeError):
+        ResidualBootstrap(7, stl_kwargs={"nonsense": 1}).sample(np.zeros((70, 1)), y, HashDraws(1))
+
+
+def test_stationarity_by_step_down():
+    from foldwise.operators.simulate import _check_ar
+
+    rng = np.random.default_rng(24)
+    for _ in range(300):
+        ar = rng.normal(0, 0.7, rng.integers(1, 5))
+        inside = (np.abs(np.roots(np.concatenate([[1.0], -ar]))) < 1).all()
+        if inside:
+            _check_ar(ar)
+        else:
+            with pytest.raises(ValueError):
+                _check_ar(ar)
+
+
+def test_styles_are_plain_data():
+    from foldwise.plans import style
+
+    assert style.muted_color("#ff0000", 1.0) == "#ff0000" and style.muted_color("#ff0000", 0.0) == "#4c4c4c"
+    fig = style.create_tufte_figure(2, 1)
+    panel = style.range_frame(style.set_tufte_labels(style.set_tufte_title(style.add_subtle_grid(fig["panels"][0]), "t"), "x", "y"), [1, 5, 3], [2, 0, 9])
+    assert panel["spines"] == ["left", "bottom"] and panel["range"] == {"x": (1, 5), "y": (0, 9)} and panel["grid"]["axis"] == "y" and panel["title"]["text"] == "t"
+    assert style.direct_label_line({}, [1, 2, 3], [4, 5, 6], "line")["labels"] == [{"x": 3, "y": 6, "text": "line", "offset": (5, 5)}]
+    assert style.minimal_spines({}, left=False)["spines"] == ["bottom"]

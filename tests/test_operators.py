@@ -119,7 +119,7 @@ def test_wild_bootstrap(spark):
 
 
 def test_comparison_runner(spark, tmp_path):
-    panel = simulate.create_synthetic_dataset(spark, 80, 4, 0.99).cache()
+    panel = simulate.synthetic_panel(spark, 80, 4, 0.99).cache()
     adapters = [compare.NaiveAdapter(), compare.SeasonalNaiveAdapter(7), compare.HistoricAverageAdapter(), compare.statsforecast_adapter("AutoTheta"), compare.KernelAdapter("Broken", lambda y, h: 1 / 0)]
     for a in adapters[:4]:
         compare.check_forecast_adapter(a, panel)
