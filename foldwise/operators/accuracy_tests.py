@@ -47,8 +47,13 @@ def sn_p_value(stat: Column, alternative: str) -> Column:
 
 def dm_statistics(df: DataFrame, d: str, by: list[str], order: list[str], h: int = 1, harvey: bool = True) -> DataFrame:
     """(by, n, mean_diff, variance, statistic) of loss differences d; null statistic without variance or with too few rows."""
-    rows = demeaned_lags(df.where(F.col(d).isNotNull()), d, by, order, h - 1)
-    out = rows.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), hac_mean_variance(h - 1).alias("variance"))
+    rows = df.where(F.col(d).isNotNull())
+    if h == 1:
+        # without lags the variance is that of the rows: one partial aggregation, however few and large the groups are
+        variance = F.var_pop(d) / F.count(d)
+    else:
+        rows, variance = demeaned_lags(rows, d, by, order, h - 1), hac_mean_variance(h - 1)
+    out = rows.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), variance.alias("variance"))
     stat = F.col("mean_diff") / F.sqrt("variance") * (harvey_factor(F.col("n"), h) if harvey else F.lit(1.0))
     return out.withColumn("statistic", F.when((F.col("variance") > 0) & (F.col("n") >= LEAST), stat))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -92,24 +92,37 @@ def bootstrap_ci_mae(df: DataFrame, errors: str, by: list[str], order: list[str]
 
 def wild_cluster_bootstrap(df: DataFrame, statistic: str, fold: str, by: list[str], n_bootstrap: int = 999, weight_type: str = "auto", alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(by, estimate, std_error, ci_lower, ci_upper, p_value, n_folds, weight_type) of the mean of fold statistics, by random
-    signs or six-point weights; p is the share of centred draws at least as large as the estimate."""
-    kinds = dict(df.dtypes)
+    signs or six-point weights; p is the share of centred draws at least as large as the estimate.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(fold)[statistic].dropna().to_numpy(float)
-        kind = ("webb" if len(x) < FEW_FOLDS else "rademacher") if weight_type == "auto" else weight_type
-        est = float(x.mean()) if len(x) else None
-        row = [*key, est, None, None, None, None, len(x), kind]
-        if len(x) > 1:
-            d = wild_weights(len(x), kind, n_bootstrap, seed) @ x / len(x)
-            lo, hi = np.percentile(d, [50 * alpha, 100 - 50 * alpha])
-            p = 1.0 if abs(est) < 1e-15 else float((np.abs(d - d.mean()) >= abs(est)).mean())
-            row = [*key, est, float(d.std(ddof=1)), lo, hi, p, len(x), kind]
-        return pd.DataFrame([row], columns=[*by, "estimate", "std_error", "ci_lower", "ci_upper", "p_value", "n_folds", "weight_type"])
-
-    schema = ", ".join([*[f"`{b}` {kinds[b]}" for b in by], "estimate double, std_error double, ci_lower double, ci_upper double, p_value double, n_folds int, weight_type string"])
-    rows = df.select(*by, fold, statistic)
-    return rows.groupBy(*by).applyInPandas(run, schema) if by else rows.groupBy().applyInPandas(lambda p: run((), p), schema)
+    The folds of a series are one array; the series of an Arrow batch that have equally many take one matrix product.
+    """
+    kinds = dict(df.dtypes)
+    names = ["estimate", "std_error", "ci_lower", "ci_upper", "p_value"]
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(fold).alias("f"), F.col(statistic).cast("double").alias("s"))))
+    rows = df.groupBy(*by).agg(F.filter(F.transform(pairs, lambda x: x["s"]), lambda v: v.isNotNull()).alias("_x"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                pdf = whole.iloc[at : at + 1024].reset_index(drop=True)
+                sizes = pdf["_x"].map(len).to_numpy()
+                got = np.full((len(pdf), len(names)), np.nan)
+                words = np.array([("webb" if n < FEW_FOLDS else "rademacher") if weight_type == "auto" else weight_type for n in sizes], object)
+                for n in np.unique(sizes[sizes > 0]):
+                    some = np.flatnonzero(sizes == n)
+                    x = np.array([list(v) for v in pdf["_x"].iloc[some]], float)
+                    est = x.mean(axis=1)
+                    got[some, 0] = est
+                    if n > 1:
+                        d = x @ wild_weights(int(n), words[some[0]], n_bootstrap, seed).T / n
+                        got[some, 1], (got[some, 2], got[some, 3]) = d.std(axis=1, ddof=1), np.percentile(d, [50 * alpha, 100 - 50 * alpha], axis=1)
+                        share = (np.abs(d - d.mean(axis=1, keepdims=True)) >= np.abs(est)[:, None]).mean(axis=1)
+                        got[some, 4] = np.where(np.abs(est) < 1e-15, 1.0, share)
+                yield pdf[by].assign(**{c: got[:, k] for k, c in enumerate(names)}, n_folds=sizes.astype(np.int32), weight_type=words)
+
+    schema = ", ".join([*[f"`{b}` {kinds[b]}" for b in by], *[f"{c} double" for c in names], "n_folds int, weight_type string"])
+    out = rows.mapInPandas(run, schema)
+    return out.select(*by, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names], "n_folds", "weight_type")
 
 
 # --- bagging ---
