@@ -123,12 +123,16 @@ def pelt(y: np.ndarray, penalty: float, min_size: int = 2, cost_model: str = "l2
 
     best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
-    alive = [0]
+    # a start that is beaten at t stays until a segment that begins at t may end
+    alive, until = [0], {}
     for t in range(min_size, n + 1):
+        alive = [s for s in alive if until.get(s, t + 1) > t]
         tried = [(best[s] + cost(s, t) + penalty, s) for s in alive if t - s >= min_size and np.isfinite(best[s])]
         if tried:
             best[t], last[t] = min(tried)
-            alive = [s for s in alive if t - s < min_size or not np.isfinite(best[s]) or best[s] + cost(s, t) <= best[t]]
+            for value, s in tried:
+                if value - penalty > best[t]:
+                    until.setdefault(s, t + min_size)
         alive.append(t)
     out, t = [], n
     while t > 0 and last[t] > 0:

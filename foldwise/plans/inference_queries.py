@@ -174,7 +174,6 @@ add("adaptive_conformal", lambda s, d: rounded(conformal.adaptive_conformal(fore
 w(series_id, k, idx, error, q, next_q) as (select series_id, k, idx, e, 80.0::double, greatest(0.0, case when e <= 80.0 then 80.0 - 0.5 else 80.0 + 5.0 * 0.9 end)::double from e where k = 1
   union all select e.series_id, e.k, e.idx, e.e, w.next_q, greatest(0.0, case when e.e <= w.next_q then w.next_q - 0.5 else w.next_q + 5.0 * 0.9 end) from w join e on e.series_id = w.series_id and e.k = w.k + 1)
 select series_id, idx, round(error, 6) as error, round(q, 6) as q, round(next_q, 6) as next_q from w""")
-add("bellman_conformal", lambda s, d: conformal.bellman_conformal(forecasts(s, d).withColumn("e", F.col("y") - F.col("p_mean7")), "e", BY, ["idx"], alpha=0.1), None)
 
 # --- gates and guardrails ---
 

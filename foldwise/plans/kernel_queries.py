@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from foldwise.functions.draws import draw_sql
 from foldwise.functions.special import norm_cdf_sql
 from foldwise.operators import accuracy_tests as at
-from foldwise.operators import compare, conformal, gates, models, resampling, simulate, splits, unit_roots
+from foldwise.operators import conformal, gates, models, regimes, resampling, simulate, splits, unit_roots
 from foldwise.plans.inference_queries import BY, D, ERRORS, LAGS, LAGS3, PAIRS, PLAGS, bagged, differences, dm_best, hac_sql, one_series, panel_errors, simple_forecasts, supervised
-from foldwise.plans.inference_queries import FORECASTS, INNOVATION
+from foldwise.plans.inference_queries import FORECASTS
 from foldwise.plans.metric_queries import regime_rows
 from foldwise.plans.registry import DAILY, FC, PANEL, add, rounded
 from foldwise.sources import datasets
@@ -292,3 +292,24 @@ add("synthetic_ar1_gate", lambda s, d: gates.gate_synthetic_ar1(s, models.Ridge(
 tr as (select fold, x1, x2, x3, x4, x5, y from sup, fo where r < lo), {ridge("fold", n=5)}, te as (select * from sup, fo where r >= lo and r < hi), z as (select avg(abs(y - {fitted(5)})) / sqrt(2 / pi()) as q from te join co using (fold)) select 'synthetic_ar1' as gate, case when q < 1 / 1.5 then 'HALT' else 'PASS' end as status, round(q, 5) as metric, round(1 / 1.5, 6) as threshold from z""")
 add("bootstrap_uncertainty", lambda s, d: rounded(conformal.bootstrap_uncertainty(forecasts(s, d).select("series_id", "idx", "p_mean7"), "p_mean7", forecasts(s, d).withColumn("r", F.col("y") - F.col("p_mean7")), "r", ["series_id", "idx"]), "p_mean7", "lower", "upper"), f"""with {FC}, rk as (select y - p_mean7 as v, row_number() over (order by y - p_mean7) - 1 as pos from f), nn as (select count(*) as n from f), dr as (select series_id, idx, p_mean7, ('0x' || substr(md5('42:' || series_id || ':' || idx || ':' || b), 1, 13))::bigint % n as pos from f, nn, range(100) x(b)),
 dv as (select dr.*, v from dr join rk using (pos)) select series_id, idx, round(any_value(p_mean7), 6) as p_mean7, round(any_value(p_mean7) + quantile_cont(v, 0.025), 6) as lower, round(any_value(p_mean7) + quantile_cont(v, 0.975), 6) as upper from dv group by series_id, idx""")
+
+# --- searches over a series, with the state of the recursion as lists ---
+
+PELT = f"""with recursive {PANEL}, pl as (select series_id, count(*) as n, list(y::double order by idx) as y from s group by series_id), pp as (select series_id, n, y, list_prepend(0.0::double, list_transform(range(1, n + 1), lambda i: list_sum(y[1:i]))) as s1, list_prepend(0.0::double, list_transform(range(1, n + 1), lambda i: list_sum(list_transform(y[1:i], lambda v: v * v)))) as s2 from pl where n >= 10),
+dp(series_id, t, f, l) as (select series_id, 0::bigint, [-9000.0::double], [0::bigint] from pp union all select series_id, t + 1, list_append(f, case when len(c) > 0 then list_min(c) else 1e300 end), list_append(l, case when len(c) > 0 then list_position(c, list_min(c)) - 1 else 0 end) from (
+  select dp.*, case when t + 1 < 5 then [] else list_transform(range(0, t + 1 - 5 + 1), lambda k: f[k + 1] + s2[t + 2] - s2[k + 1] - pow(s1[t + 2] - s1[k + 1], 2) / (t + 1 - k) + 9000.0) end as c from dp join pp using (series_id) where t < n)),
+bk(series_id, position) as (select series_id, l[n + 1] from dp join pp using (series_id) where t = n and l[n + 1] > 0 union all select bk.series_id, dp.l[bk.position + 1] from bk join pp using (series_id) join dp on dp.series_id = bk.series_id and dp.t = pp.n where dp.l[bk.position + 1] > 0)
+select series_id, position, round(abs(list_var_pop(y[greatest(1, position - 4):position]) - list_var_pop(y[position + 1:position + 5])), 6) as cost_reduction from bk join pp using (series_id)"""
+add("changepoints_pelt", lambda s, d: rounded(regimes.detect_changepoints_pelt(panel(s, d), "y", BY, ["idx"], penalty=9_000.0, min_size=5), "cost_reduction"), PELT)
+# calibration of 30, alpha 0.1, horizon 5, a grid of 50, gamma 0.1, lambda 0.01
+BELLMAN = f"""with recursive {FC}, e as (select series_id, idx, row_number() over (partition by series_id order by idx) as k, abs(p_mean7 - y)::double as e from f), cal as (select series_id, list(e order by e) as pool, quantile_cont(e, 0.05) as p5, quantile_cont(e, 0.99) as p99, stddev_pop(e) as sd from e where k <= 30 group by series_id having count(*) = 30),
+gr as (select series_id, pool, greatest(0.0, p5 / 2) as lo, greatest(2 * p99, 5 * sd) as hi from cal), gl as (select series_id, pool, list_transform(range(0, 50), lambda i: lo + (hi - lo) * i / 49) as g from gr), ok as (select *, list_transform(g, lambda v: len(list_filter(pool, lambda x: x <= v)) / 30 >= 1 - 0.1 - 0.01) as ok from gl),
+vi(series_id, h, v) as (select series_id, 0, list_transform(range(0, 50), lambda i: 0.0::double) from ok union all select series_id, h + 1, case when list_bool_or(ok) then list_transform(range(1, 51), lambda i: list_min(list_transform(list_filter(range(1, 51), lambda j: ok[j]), lambda j: 2 * g[j] + 0.01 * pow(g[j] - g[i], 2) + v[j]))) else list_transform(range(1, 51), lambda i: 2 * g[50] + v[50]) end from vi join ok using (series_id) where h < 4),
+st as (select ok.series_id, g, ok, pool, v as after, pool[ceil(least(1.0, ceil(31 * 0.9) / 30) * 29)::int + 1] as q0 from ok join vi using (series_id) where h = 4),
+w(series_id, k, idx, error, q, next_q, pool) as (select series_id, 30::bigint, -1::bigint, 0.0::double, q0, q0, pool from st union all
+  select series_id, k + 1, idx, err, q, nq, case when (k + 1 - 30 + 1) % 50 = 0 then list_sort(list_append(pool[-100:], err)) else pool end from (
+    select z.*, greatest(0.0, q + 0.5 * (case when list_bool_or(okn) then g[list_position(c, list_min(c))] else g[50] end - q) + 0.5 * (case when err <= q then -0.1 * 0.1 else 0.1 * 0.9 end)) as nq from (
+      select x.*, list_transform(range(1, 51), lambda i: case when okn[i] then 2 * g[i] + 0.01 * pow(g[i] - q, 2) + after[i] else 1e300 end) as c from (
+        select w.series_id, w.k, e.idx, e.e as err, w.next_q as q, w.pool, st.g, st.after, list_transform(st.g, lambda v: len(list_filter(w.pool, lambda x: x <= v)) / len(w.pool) >= 1 - 0.1 - 0.01) as okn from w join e on e.series_id = w.series_id and e.k = w.k + 1 join st on st.series_id = w.series_id) x) z))
+select series_id, idx, round(error, 5) as error, round(q, 5) as q, round(next_q, 5) as next_q from w where idx >= 0"""
+add("bellman_conformal", lambda s, d: rounded(conformal.bellman_conformal(forecasts(s, d).withColumn("e", F.col("y") - F.col("p_mean7")), "e", BY, ["idx"], alpha=0.1), "error", "q", "next_q", digits=5), BELLMAN)

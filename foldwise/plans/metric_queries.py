@@ -223,7 +223,6 @@ SEGMENTS = f"{SPACED}, g as (select s.idx, s.y, sum((sp.idx is not null)::int) o
 add("segment_boundaries", lambda s, d: regimes.get_segment_boundaries(daily(s, d), BY, ["idx"], changepoints(s, d)).withColumn("segment", F.col("segment").cast("long")), f"{SEGMENTS} select 'all' as series_id, segment::bigint as segment, a as start, b as stop from vs")
 add("segment_regimes", lambda s, d: rounded(regimes.create_regime_indicators(daily(s, d), "y", BY, ["idx"], changepoints(s, d)).select("idx", "segment_value", "regime", F.col("periods_since_change").cast("long").alias("periods_since_change"), F.col("is_regime_change").cast("long").alias("is_regime_change")), "segment_value", digits=3),
     f"{SEGMENTS} select g.idx, round(v, 3) as segment_value, case when v < lo then 'LOW' when v > hi then 'HIGH' else 'MEDIUM' end as regime, g.idx - vs.a as periods_since_change, (g.idx - vs.a between 1 and 4)::bigint as is_regime_change from g join vs using (segment), cu")
-add("changepoints_pelt", lambda s, d: rounded(regimes.detect_changepoints_pelt(panel(s, d), "y", BY, ["idx"], penalty=9_000.0, min_size=5), "cost_reduction"), None)
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
