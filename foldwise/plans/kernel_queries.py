@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foldwise.functions.draws import draw_sql
 from foldwise.functions.special import norm_cdf_sql
 from foldwise.operators import accuracy_tests as at
-from foldwise.operators import conformal, gates, models, regimes, resampling, simulate, splits, unit_roots
+from foldwise.operators import compare, conformal, gates, models, regimes, resampling, simulate, splits, unit_roots
 from foldwise.plans.inference_queries import BY, D, ERRORS, LAGS, LAGS3, PAIRS, PLAGS, bagged, differences, dm_best, hac_sql, one_series, panel_errors, simple_forecasts, supervised
 from foldwise.plans.inference_queries import FORECASTS
 from foldwise.plans.metric_queries import regime_rows
@@ -313,3 +313,16 @@ w(series_id, k, idx, error, q, next_q, pool) as (select series_id, 30::bigint, -
         select w.series_id, w.k, e.idx, e.e as err, w.next_q as q, w.pool, st.g, st.after, list_transform(st.g, lambda v: len(list_filter(w.pool, lambda x: x <= v)) / len(w.pool) >= 1 - 0.1 - 0.01) as okn from w join e on e.series_id = w.series_id and e.k = w.k + 1 join st on st.series_id = w.series_id) x) z))
 select series_id, idx, round(error, 5) as error, round(q, 5) as q, round(next_q, 5) as next_q from w where idx >= 0"""
 add("bellman_conformal", lambda s, d: rounded(conformal.bellman_conformal(forecasts(s, d).withColumn("e", F.col("y") - F.col("p_mean7")), "e", BY, ["idx"], alpha=0.1), "error", "q", "next_q", digits=5), BELLMAN)
+
+
+def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = compare.split_panel(panel(spark, sf_dir).select("series_id", "idx", "y"), 6)
+    return rounded(compare.run_forecasts(train, test, [compare.statsforecast_adapter(n) for n in ("AutoTheta", "CrostonClassic", "ADIDA", "IMAPA")]), "prediction", digits=5)
+
+
+# where all values are above zero, as at the scale of the comparison, demand comes at every row and every method smooths the values themselves
+add("smoothing_forecasts", smoothed, f"""with recursive {PANEL}, n as (select series_id, count(*) - 6 as t from s group by series_id), tr as (select s.series_id, idx, y::double as y, t from s join n using (series_id) where idx < t), te as (select s.series_id, idx, y as actual, t from s join n using (series_id) where idx >= t),
+ss(series_id, k, idx, level, sse) as (select series_id, k, idx, y, 0.0::double from tr, range(51) g(k) where idx = 0 union all select tr.series_id, k, tr.idx, level + (case when k = 50 then 0.1 else 0.01 + 0.02 * k end) * (y - level), sse + (y - level) * (y - level) from ss join tr on tr.series_id = ss.series_id and tr.idx = ss.idx + 1),
+en as (select ss.* from ss join n using (series_id) where idx = t - 1), be as (select series_id, arg_min(level, sse) as level, 0.01 + 0.02 * arg_min(k, sse) as a from en where k < 50 group by series_id), cr as (select series_id, level from en where k = 50), sl as (select series_id, regr_slope(y, idx) as b from tr group by series_id),
+fc as (select 'AutoTheta' as model, series_id, idx, level + b / 2 * (idx - t + (1 - pow(1 - a, t)) / a) as prediction, actual from te join be using (series_id) join sl using (series_id) union all select 'CrostonClassic', series_id, idx, level, actual from te join cr using (series_id) union all select unnest(['ADIDA', 'IMAPA']), series_id, idx, level, actual from te join be using (series_id))
+select model, series_id, idx, round(prediction, 5) as prediction, actual from fc""")
