@@ -21,7 +21,7 @@ ROWS_PER_LANG, MOST_LANGS = 1000, 1000
 #: The share of right answers on the calibration texts that rejection may cost at most; 200 texts are enough to tell.
 FALSE_REJECTION = 0.005
 #: Code points that are worked on at once.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 UNKNOWN = "und"
 
 
@@ -39,9 +39,11 @@ class Model:
 @lru_cache(1)
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """Code point -> itself if it is a letter or a mark, else a space; and whether it is a letter."""
-    first = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
-    letter = first == "L"
-    return np.where(letter | (first == "M"), np.arange(0x110000), 32).astype(np.uint32), letter
+    first = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), np.uint8)
+    letter = first == ord("L")
+    points = np.arange(0x110000, dtype=np.uint32)
+    points[~letter & (first != ord("M"))] = 32
+    return points, letter
 
 
 def subwords(points: np.ndarray) -> list[np.ndarray]:

@@ -74,7 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 #: Rows of an Arrow batch between Spark and its Python workers; whole texts come in it, so memory follows it.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "250"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once; a longer text is taken in parts that end between words.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: More bytes than a block has, unless a single word is that long.
-TOP = 1 << 21
+TOP = 1 << 19
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Words of so many bytes are hashed by blake2b: for long ones polynomials modulo 2**64 can be made to agree on purpose.
