@@ -70,8 +70,8 @@ select series_id, n as n_eff, round(md, 3) as mean_diff, round(r2, 6) as r_squar
 DMC = f"""{D}, {LAGS}, c as (select series_id, count(u) as n, avg(d) as md, {", ".join(f"{hac_sql(b)} as v{b}" for b in range(4))} from l group by series_id),
 x as (unpivot c on v0, v1, v2, v3 into name kind value v), h as (select series_id, n, (substr(kind, 2)::int + 1) as h, md, v from x),
 z as (select *, case when v > 0 and n >= 30 then md / sqrt(v) * sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n) end as st from h), p as (select *, {t_two_sided("st", "(n - 1)")} as p from z)"""
-add("horizon_pattern", lambda s, d: at.horizon_pattern(at.compare_horizons(differences(s, d), "e1", "e2", BY, ["idx"]), BY), f"""with {DMC}, q as (select *, (p < lag(p) over (partition by series_id order by h))::int as fall from p)
-select series_id, case when not bool_or(p < 0.05) then 'none' when bool_and(p < 0.05) then 'consistent' when coalesce(sum(fall), 0) <= 1 then 'degrading' else 'irregular' end as pattern, arg_min(h, p) as best_h, min(h) filter (where p >= 0.05) as first_insignificant_h from q group by series_id""")
+add("horizon_pattern", lambda s, d: at.horizon_pattern(at.compare_horizons(differences(s, d), "e1", "e2", BY, ["idx"]), BY).withColumn("first_insignificant_h", F.coalesce("first_insignificant_h", F.lit(-1))), f"""with {DMC}, q as (select *, (p < lag(p) over (partition by series_id order by h))::int as fall from p)
+select series_id, case when not bool_or(p < 0.05) then 'none' when bool_and(p < 0.05) then 'consistent' when coalesce(sum(fall), 0) <= 1 then 'degrading' else 'irregular' end as pattern, arg_min(h, p) as best_h, coalesce(min(h) filter (where p >= 0.05), -1) as first_insignificant_h from q group by series_id""")
 add("horizon_p_values", lambda s, d: rounded(at.compare_horizons(differences(s, d), "e1", "e2", BY, ["idx"]).select("series_id", "h", "p_value"), "p_value"), f"with {DMC} select series_id, h, round(p, 6) as p_value from p")
 add("pairwise_dm_p", lambda s, d: rounded(at.compare_multiple_models(panel_errors(s, d), ["series_id", "idx"], ["series_id", "idx"]).select("better", "worse", F.abs("p_value").alias("p_value"), "significant"), "p_value"), f"""with {ERRORS}, {PAIRS}, c as (select model_a, model_b, count(*) as n, avg(d) as md, avg(u * u) / count(*) as v from u group by all), z as (select *, -abs(md) / sqrt(v) * sqrt((n - 1) / n) as st from c),
 p as (select *, {t_two_sided("st", "(n - 1)")} / 2 as p from z) select case when md > 0 then model_b else model_a end as better, case when md > 0 then model_a else model_b end as worse, abs(round(p, 6)) as p_value, p < 0.05 / count(*) over () as significant from p""")
@@ -191,9 +191,9 @@ sc as (select series_id, fold, alpha, -avg(abs({fitted()} - y)) as score from te
 ztr as (select series_id, fold, alpha, x1, x2, x3, y from ou join bs using (series_id, fold) join sup using (series_id) where r < b), {ridge("series_id, fold, alpha", "alpha", name="z")}, zte as (select series_id, fold, x1, x2, x3, y from ou join sup using (series_id) where r = lo),
 rs as (select series_id, fold, alpha, score, abs({fitted(te="zte", co="zco")} - zte.y) as mae from zte join zco using (series_id, fold) join bs using (series_id, fold, alpha)), nm as (select *, '[(''alpha'', ' || alpha::double || ')]' as params, count(*) over (partition by series_id, alpha) as votes from rs)
 select series_id, fold, params, round(score, 4) as inner_score, round(mae, 4) as outer_mae, first_value(params) over (partition by series_id order by votes desc, fold) as best_params from nm""")
-add("gap_sensitivity", lambda s, d: rounded(models.gap_summary(models.gap_sensitivity_analysis(supervised(s, d), models.Ridge(1.0), LAGS3, "y", BY, ["idx"], range(5)), BY), "sensitivity", digits=5), f"""with recursive {SUP}, fo as (select series_id, k::int as fold, g::int as gap, n - 5 + k as lo from (select distinct series_id, n from sup), range(5) t(k), range(5) u(g)), tr as (select series_id, fold, gap, x1, x2, x3, y from fo join sup using (series_id) where r < lo - gap), {ridge("series_id, fold, gap")},
+add("gap_sensitivity", lambda s, d: rounded(models.gap_summary(models.gap_sensitivity_analysis(supervised(s, d), models.Ridge(1.0), LAGS3, "y", BY, ["idx"], range(5)), BY).withColumn("break_even_gap", F.coalesce("break_even_gap", F.lit(-1))), "sensitivity", digits=5), f"""with recursive {SUP}, fo as (select series_id, k::int as fold, g::int as gap, n - 5 + k as lo from (select distinct series_id, n from sup), range(5) t(k), range(5) u(g)), tr as (select series_id, fold, gap, x1, x2, x3, y from fo join sup using (series_id) where r < lo - gap), {ridge("series_id, fold, gap")},
 te as (select series_id, fold, gap, x1, x2, x3, y from fo join sup using (series_id) where r = lo), ga as (select series_id, gap, avg(abs({fitted()} - y)) as metric from te join co using (series_id, fold, gap) group by all), gb as (select *, first_value(metric) over (partition by series_id order by gap) as base from ga)
-select series_id, min(gap) filter (where metric > base * 1.1) as break_even_gap, round(stddev_pop(metric) / avg(metric), 5) as sensitivity from gb group by series_id""")
+select series_id, coalesce(min(gap) filter (where metric > base * 1.1), -1) as break_even_gap, round(stddev_pop(metric) / avg(metric), 5) as sensitivity from gb group by series_id""")
 
 # --- seeded resampling ---
 
