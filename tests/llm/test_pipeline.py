@@ -48,11 +48,11 @@ def test_every_stage_equals_brute_force(spark, sf_dir, tmp_path):
         after = docs.collect()
         kept[name] = Counter(x.doc_id for x in after)
         if name == "language_id":
-            model = langid.fit(*langid.training_sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), langid.fold() != 2))
+            model = langid.fit_bags(*langid.training_sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), langid.fold() != 2))
             p, letters = langid.probabilities(model, [b[1] or "" for b in before])
             assert set(kept[name]) == {b[0] for b, q, ok in zip(before, p.max(axis=1), letters, strict=True) if ok and q >= model.threshold} and len(kept[name]) >= 255
         if name == "line_dedup":
-            want = test_line_dedup.brute([(b[0], b[1], b[3]) for b in before], 10, 0.5)
+            want = test_line_dedup.brute([(b[0], b[1], b[3]) for b in before], 10)
             assert sorted([(x.doc_id, x.text) for x in after]) == sorted([w[:2] for w in want]) and all(x.n_chars == len(x.text) for x in after)
             assert any(w[3] for w in want)
         if name == "near_dedup":
