@@ -111,8 +111,13 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids) of every text, as the tiktoken library gives them without special tokens.
+def _decoded(ids: list[int], known: list[bytes]) -> bytes:
+    return b"".join([known[i] for i in ids])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of every text, as the tiktoken library gives them without special tokens; with `decoded`, the bytes that the
+    ids decode to as well (see decode), by the same worker.
 
     A text of one chunk is encoded where it is read. A longer one is dealt out as chunks, each
     pre-tokenised by itself on any executor; its chunks then meet, are stitched and encoded. So one
@@ -126,8 +131,9 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path, pattern).encode_ordinary
         for b in slices(batches):
-            ids = [np.asarray(run(t), np.int32) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
+            ids = [run(t) for t in b.column("text").to_pylist()]
+            back = [pa.array([_decoded(x, token_bytes(path)) for x in ids], pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists([np.asarray(x, np.int32) for x in ids]), *back], names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -149,10 +155,13 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap:
         copies = starts.count(0)
         got = [(s, t, np.asarray(e, np.int64)) for s, t, e in zip(starts, order.column("text").to_pylist(), order.column("ends").to_pylist(), strict=True)]
         ids = encode_chunks(got[::copies], path, pattern)
-        return pa.table({"doc_id": pa.array([order.column("doc_id")[0].as_py()] * copies, order.schema.field("doc_id").type), "ids": _lists([ids] * copies)})
+        back = [pa.array([_decoded(ids.tolist(), token_bytes(path))] * copies, pa.binary())] if decoded else []
+        return pa.table([pa.array([order.column("doc_id")[0].as_py()] * copies, order.schema.field("doc_id").type), _lists([ids] * copies), *back], names)
 
     kind = dict(rows.dtypes)["doc_id"]
-    short = rows.where(F.length("text") <= size).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
+    names = ["doc_id", "ids", "decoded"][: 2 + decoded]
+    schema = f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded
+    short = rows.where(F.length("text") <= size).mapInArrow(whole, schema)
     long = (
         rows.where(F.length("text") > size)
         .withColumn("of", F.xxhash64("text"))
@@ -160,7 +169,7 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap:
         .repartition("doc_id", "start")
         .mapInArrow(presplit, f"doc_id {kind}, of long, start long, text string, ends array<int>")
         .groupBy("doc_id", "of")
-        .applyInArrow(join, f"doc_id {kind}, ids array<int>")
+        .applyInArrow(join, schema)
     )
     return short.unionByName(long)
 
@@ -174,7 +183,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = token_bytes(path)
         for b in slices(batches):
-            out = [None if ids is None else b"".join([known[i] for i in ids]) for ids in b.column("ids").to_pylist()]
+            out = [None if ids is None else _decoded(ids, known) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{encoded._jdf.schema().toDDL()}, decoded binary")

@@ -33,6 +33,8 @@ def test_encode_and_decode_on_spark(spark):
     key = lambda r: (str(r[0]), r[1])
     assert sorted([(r.doc_id, r.ids) for r in out], key=key) == sorted([(i, whole(t or "")) for i, t in rows], key=key)
     assert sorted([(str(r.doc_id), bytes(r.decoded)) for r in out]) == sorted([(str(i), (t or "").encode()) for i, t in rows])
+    both = bpe.encode(docs, PATH, PATTERN, size=40, overlap=10, decoded=True)
+    assert both.columns == ["doc_id", "ids", "decoded"] and sorted(map(tuple, both.collect()), key=key) == sorted([(r.doc_id, r.ids, r.decoded) for r in out], key=key)
     d = {(r.doc_id, r.n_tokens) for r in bpe.digests(coded, PATH).collect()}
     assert d == {(i, len(whole(t or ""))) for i, t in rows}
 
