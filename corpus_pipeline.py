@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every document that is left, repeated ones included; all ids are decoded."""
     path, pattern = rank_file()
-    decoded = bpe.decode(bpe.encode(docs, path, pattern), path)
+    decoded = bpe.encode(docs, path, pattern, decoded=True)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
