@@ -219,13 +219,16 @@ def compare_horizons(df: DataFrame, errors_1: str, errors_2: str, by: list[str],
 
 
 def horizon_pattern(result: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
-    """(by, pattern, best_h, first_insignificant_h): none, consistent, degrading (p falls at most once) or irregular."""
+    """(by, pattern, best_h, first_insignificant_h): none, consistent, degrading (p falls at most once) or irregular.
+
+    Of horizons with the same p-value (1 where a series is too short to test) the smallest is best.
+    """
     w = Window.partitionBy(*by).orderBy("h")
     rows = result.withColumn("_fall", (F.col("p_value") < F.lag("p_value").over(w)).cast("int"))
     good = F.col("p_value") < alpha
     falls = F.coalesce(F.sum("_fall"), F.lit(0))
     pattern = F.when(~F.bool_or(good), "none").when(F.bool_and(good), "consistent").when(falls <= 1, "degrading").otherwise("irregular")
-    return rows.groupBy(*by).agg(pattern.alias("pattern"), F.min_by("h", "p_value").alias("best_h"), F.min(F.when(~good, F.col("h"))).alias("first_insignificant_h"))
+    return rows.groupBy(*by).agg(pattern.alias("pattern"), F.min(F.when(F.col("p_value").isNotNull(), F.struct("p_value", "h")))["h"].alias("best_h"), F.min(F.when(~good, F.col("h"))).alias("first_insignificant_h"))
 
 
 def compare_models_horizons(errors: DataFrame, keys: list[str], order: list[str], model: str = "model", e: str = "e", horizons: Sequence[int] = (1, 2, 3, 4), loss: str = "squared", harvey_correction: bool = True) -> DataFrame:

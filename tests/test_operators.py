@@ -224,3 +224,9 @@ def test_queries_take_the_default_replicates(spark, monkeypatch, query, module,
     with pytest.raises(InterruptedError):
         all_queries()[query](spark, "/root/testdata/sf0.001")
     assert not seen[0] & given
+
+
+def test_horizon_ties_go_to_the_smallest(spark):
+    df = spark.createDataFrame([("a", h, 1.0) for h in (4, 3, 2, 1)] + [("b", h, p) for h, p in ((1, 0.5), (2, 0.01), (3, 0.01), (4, None))], "s string, h int, p_value double").coalesce(1)
+    got = {r.s: r.best_h for r in accuracy_tests.horizon_pattern(df, ["s"]).collect()}
+    assert got == {"a": 1, "b": 2}
