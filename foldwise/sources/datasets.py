@@ -106,16 +106,16 @@ def load_m4(spark: SparkSession, path: str, subset: str = "monthly", sample_size
 
 
 def load_m5(spark: SparkSession, path: str, sample_size: int | None = 100, aggregate: bool = True) -> TimeSeriesDataset:
-    """A wide CSV with a column d_1, d_2, ... a day, unpivoted; summed over the (sampled) series if asked."""
+    """A wide CSV with a column d_1, d_2, ... a day, unpivoted; summed over the (sampled) series if asked. An empty cell is no row."""
     _found(spark, path, "m5")
     wide = spark.read.option("header", True).csv(path)
     days = [c for c in wide.columns if c.startswith("d_")]
     long = wide.unpivot(["id"], days, "d", "v").select(F.col("id").alias("series_id"), (F.substring("d", 3, 9).cast("long") - 1).alias("idx"), F.col("v").cast("double").alias("y"))
-    long = sample_series(long, sample_size)
+    long = sample_series(long.where("y is not null"), sample_size)
     if aggregate:
         long = long.groupBy("idx").agg(F.sum("y").alias("y")).select(F.lit("total").alias("series_id"), "idx", "y")
-    k = 1 if aggregate else long.select("series_id").distinct().count()
-    return TimeSeriesDataset(DatasetMetadata("m5", "D", M5_HORIZON, k, k * len(days), len(days) - M5_HORIZON), long)
+    k, n = long.agg(F.count_distinct("series_id"), F.count(F.lit(1))).first()
+    return TimeSeriesDataset(DatasetMetadata("m5", "D", M5_HORIZON, k, n, len(days) - M5_HORIZON), long)
 
 
 def load_fred_rates(spark: SparkSession, path: str, series: str | list[str] = "DGS10", frequency: str = "W", train_fraction: float = 0.8) -> TimeSeriesDataset:

@@ -230,3 +230,12 @@ def test_horizon_ties_go_to_the_smallest(spark):
     df = spark.createDataFrame([("a", h, 1.0) for h in (4, 3, 2, 1)] + [("b", h, p) for h, p in ((1, 0.5), (2, 0.01), (3, 0.01), (4, None))], "s string, h int, p_value double").coalesce(1)
     got = {r.s: r.best_h for r in accuracy_tests.horizon_pattern(df, ["s"]).collect()}
     assert got == {"a": 1, "b": 2}
+
+
+def test_empty_cells_of_wide_files_are_no_rows(spark, tmp_path):
+    (tmp_path / "m5.csv").write_text("id," + ",".join(f"d_{k}" for k in range(1, 41)) + "\nlong," + ",".join(["1"] * 40) + "\nshort," + ",".join(["2"] * 38) + ",,\n")
+    each = datasets.load_m5(spark, str(tmp_path / "m5.csv"), None, aggregate=False)
+    rows = {r.series_id: (r.n, r.last) for r in each.panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last")).collect()}
+    assert rows == {"long": (40, 39), "short": (38, 37)} and each.metadata.total_observations == 78
+    total = datasets.load_m5(spark, str(tmp_path / "m5.csv"), None)
+    assert total.panel.agg(F.sum("y")).first()[0] == 116 and total.metadata.total_observations == 40
