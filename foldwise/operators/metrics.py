@@ -356,8 +356,33 @@ def compute_volatility_weighted_mae(predictions, actuals, volatility, weighting:
 
 
 def percentiles(df: DataFrame, value: Column, shares: list[float], by: list[str], names: list[str]) -> DataFrame:
-    """Linear percentiles of each group, one row a group."""
-    return df.groupBy(*by).agg(*[F.percentile(value, F.lit(s)).alias(n) for s, n in zip(shares, names, strict=True)])
+    """Linear percentiles of each group, one row a group; nulls don't count.
+
+    Values are counted, and the two neighbours of each percentile found by running counts, in sorted partitions that can spill.
+    """
+    counts = df.select(*by, value.cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
+    w = Window.partitionBy(*by)
+    counts = counts.withColumn("_to", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    at = [(F.col("_n") - 1) * F.lit(float(s)) for s in shares]
+    holds = lambda k: F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col("_v")))
+    found = [c.alias(f"_{k}{i}") for i, p in enumerate(at) for k, c in (("lo", holds(F.floor(p))), ("hi", holds(F.ceil(p))), ("d", F.max(p - F.floor(p))))]
+    out = counts.groupBy(*by).agg(*found)
+    return out.select(*by, *[between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_d{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def between(lo: Column, hi: Column, d: Column) -> Column:
+    """lo * (1 - d) + hi * d with the first product unrounded, as a fused multiply-add gives it.
+
+    A percentile between values that differ by a rounding error only must fall on the same one as in SQL engines, or all rows
+    tied there change their class. Products and sums carry their rounding errors along (Dekker, Knuth).
+    """
+    w, c, split = 1 - d, hi * d, F.lit(134217729.0)
+    top = lambda x: x * split - (x * split - x)
+    p, s = lo * w, lo * w + c
+    a, b = top(lo), top(w)
+    lost = a * b - p + a * (w - b) + (lo - a) * b + (lo - a) * (w - b)
+    lost += p - (s - (s - p)) + (c - (s - p))
+    return F.when((d == 0) | (lo == hi), lo).when(F.isnan(lost), s).otherwise(s + lost)
 
 
 def with_group_values(df: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:

@@ -239,3 +239,23 @@ def test_empty_cells_of_wide_files_are_no_rows(spark, tmp_path):
     assert rows == {"long": (40, 39), "short": (38, 37)} and each.metadata.total_observations == 78
     total = datasets.load_m5(spark, str(tmp_path / "m5.csv"), None)
     assert total.panel.agg(F.sum("y")).first()[0] == 116 and total.metadata.total_observations == 40
+
+
+def test_percentiles_fall_where_sql_puts_them(spark):
+    import duckdb
+
+    rng, rows = np.random.default_rng(7), []
+    for g in range(60):
+        v = np.abs(np.diff(np.round(rng.exponential(50, 60 + g), 2)))
+        # two neighbours of the percentile that differ by a rounding error
+        at = int((len(v) - 1) * 0.7)
+        v = np.sort(v)
+        v[at + 1] = np.nextafter(v[at], np.inf)
+        rows += [(g, float(x)) for x in v]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: (r.p, r.q) for r in metrics.percentiles(df, F.col("v"), [0.7, 0.33], ["g"], ["p", "q"]).collect()}
+    pdf = df.toPandas()  # noqa: F841
+    assert got == {g: (p, q) for g, p, q in duckdb.sql("select g, quantile_cont(v, 0.7), quantile_cont(v, 0.33) from pdf group by g").fetchall()}
+    none = spark.createDataFrame([(1, None), (2, 3.0)], "g int, v double")
+    assert {r.g: r.p for r in metrics.percentiles(none, F.col("v"), [0.5], ["g"], ["p"]).collect()} == {1: None, 2: 3.0}
+    assert metrics.percentiles(none.where("g = 9"), F.col("v"), [0.5], [], ["p"]).collect()[0].p is None
