@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -116,9 +117,14 @@ def theta(y: np.ndarray, steps: int) -> np.ndarray:
     return level + slope / 2 * (np.arange(steps) + (1 - (1 - a) ** n) / a)
 
 
-def croston(y: np.ndarray, steps: int, alpha: float = 0.1) -> np.ndarray:
+def demand(y: np.ndarray, zeros: bool) -> np.ndarray:
+    """The places at which there is demand: where the value isn't zero, or with `zeros` everywhere, as in rows of events."""
+    return np.arange(len(y)) if zeros else np.flatnonzero(y)
+
+
+def croston(y: np.ndarray, steps: int, alpha: float = 0.1, zeros: bool = False) -> np.ndarray:
     """Demand size over interval, both smoothed at demand."""
-    at = np.flatnonzero(y)
+    at = demand(y, zeros)
     if not len(at):
         return np.zeros(steps)
     size, gap = y[at[0]], at[0] + 1.0
@@ -128,9 +134,9 @@ def croston(y: np.ndarray, steps: int, alpha: float = 0.1) -> np.ndarray:
     return np.full(steps, size / gap)
 
 
-def adida(y: np.ndarray, steps: int) -> np.ndarray:
+def adida(y: np.ndarray, steps: int, zeros: bool = False) -> np.ndarray:
     """Aggregate over the mean demand interval, smooth, spread evenly."""
-    at = np.flatnonzero(y)
+    at = demand(y, zeros)
     if not len(at):
         return np.zeros(steps)
     m = max(1, int(round(np.diff(np.concatenate([[-1], at])).mean())))
@@ -138,9 +144,9 @@ def adida(y: np.ndarray, steps: int) -> np.ndarray:
     return np.full(steps, ses(cut.reshape(-1, m).sum(axis=1) if len(cut) % m == 0 else cut)[0] / m)
 
 
-def imapa(y: np.ndarray, steps: int) -> np.ndarray:
+def imapa(y: np.ndarray, steps: int, zeros: bool = False) -> np.ndarray:
     """The mean of such forecasts over aggregation levels up to the mean demand interval."""
-    at = np.flatnonzero(y)
+    at = demand(y, zeros)
     if not len(at):
         return np.zeros(steps)
     most = max(1, int(round(np.diff(np.concatenate([[-1], at])).mean())))
@@ -192,9 +198,12 @@ def auto_arima(y: np.ndarray, steps: int) -> np.ndarray:
     return y[-1] + np.cumsum(out) if d else out
 
 
-def statsforecast_adapter(model: str, season_length: int = 1, window: int = 3) -> ForecastAdapter:
-    """An adapter by the usual name of its model. GridETS and AutoAR are smaller than the library's AutoETS and AutoARIMA, which aren't offered."""
-    kernels = {"AutoTheta": theta, "CrostonClassic": croston, "ADIDA": adida, "IMAPA": imapa, "AutoAR": auto_arima, "GridETS": lambda y, h: auto_ets(y, h, season_length)}
+def statsforecast_adapter(model: str, season_length: int = 1, window: int = 3, zeros: bool = False) -> ForecastAdapter:
+    """An adapter by the usual name of its model. GridETS and AutoAR are smaller than the library's AutoETS and AutoARIMA, which aren't offered.
+
+    The library's models of intermittent demand take a zero as no demand; with `zeros` it is a demand of that size.
+    """
+    kernels = {"AutoTheta": theta, "CrostonClassic": partial(croston, zeros=zeros), "ADIDA": partial(adida, zeros=zeros), "IMAPA": partial(imapa, zeros=zeros), "AutoAR": auto_arima, "GridETS": lambda y, h: auto_ets(y, h, season_length)}
     if model in kernels:
         return KernelAdapter(model, kernels[model])
     simple = {"Naive": NaiveAdapter, "SeasonalNaive": lambda: SeasonalNaiveAdapter(season_length), "HistoricAverage": HistoricAverageAdapter, "WindowAverage": lambda: HistoricAverageAdapter(window)}

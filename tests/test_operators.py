@@ -259,3 +259,12 @@ def test_percentiles_fall_where_sql_puts_them(spark):
     none = spark.createDataFrame([(1, None), (2, 3.0)], "g int, v double")
     assert {r.g: r.p for r in metrics.percentiles(none, F.col("v"), [0.5], ["g"], ["p"]).collect()} == {1: None, 2: 3.0}
     assert metrics.percentiles(none.where("g = 9"), F.col("v"), [0.5], [], ["p"]).collect()[0].p is None
+
+
+def test_zeros_as_demand():
+    y = np.array([4.0, 0, 2, 6, 0, 3])
+    level = y[0]
+    for v in y[1:]:
+        level += 0.1 * (v - level)
+    assert np.allclose(compare.croston(y, 2, zeros=True), level) and not np.allclose(compare.croston(y, 2), level)
+    assert np.allclose(compare.adida(y, 2, zeros=True), compare.ses(y)[0]) and np.allclose(compare.imapa(y, 2, zeros=True), compare.ses(y)[0])
