@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -115,9 +115,30 @@ def _decoded(ids: list[int], known: list[bytes]) -> bytes:
     return b"".join([known[i] for i in ids])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+#: What digests give of the ids of a text.
+DIGESTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+@lru_cache(4)
+def _spoken(path: str) -> list[bytes]:
+    return [b"%d" % i for i in range(len(token_bytes(path)))]
+
+
+def _digested(lists: Iterable[list[int]], path: str) -> list[pa.Array]:
+    """The columns DIGESTS of lists of ids; one list is held at a time."""
+    known, spoken = token_bytes(path), _spoken(path)
+    n, of_ids, of_bytes = [], [], []
+    for ids in lists:
+        n.append(len(ids))
+        of_ids.append(hashlib.sha256(b" ".join([spoken[i] for i in ids])).hexdigest())
+        of_bytes.append(hashlib.sha256(_decoded(ids, known)).hexdigest())
+    return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False, digested: bool = False) -> DataFrame:
     """(doc_id, ids) of every text, as the tiktoken library gives them without special tokens; with `decoded`, the bytes that the
-    ids decode to as well (see decode), by the same worker.
+    ids decode to as well (see decode), by the same worker; with `digested`, what digests gives of the ids in their place, by the
+    same worker, so that a task keeps one worker and not two, and ids aren't moved.
 
     A text of one chunk is encoded where it is read. A longer one is dealt out as chunks, each
     pre-tokenised by itself on any executor; its chunks then meet, are stitched and encoded. So one
@@ -131,7 +152,11 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path, pattern).encode_ordinary
         for b in slices(batches):
-            ids = [run(t) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            if digested:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_digested(map(run, texts), path)], names)
+                continue
+            ids = [run(t) for t in texts]
             back = [pa.array([_decoded(x, token_bytes(path)) for x in ids], pa.binary())] if decoded else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists([np.asarray(x, np.int32) for x in ids]), *back], names)
 
@@ -155,12 +180,16 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap:
         copies = starts.count(0)
         got = [(s, t, np.asarray(e, np.int64)) for s, t, e in zip(starts, order.column("text").to_pylist(), order.column("ends").to_pylist(), strict=True)]
         ids = encode_chunks(got[::copies], path, pattern)
+        doc = pa.array([order.column("doc_id")[0].as_py()] * copies, order.schema.field("doc_id").type)
+        if digested:
+            return pa.table([doc, *[pa.array(c.to_pylist() * copies, c.type) for c in _digested([ids.tolist()], path)]], names)
         back = [pa.array([_decoded(ids.tolist(), token_bytes(path))] * copies, pa.binary())] if decoded else []
-        return pa.table([pa.array([order.column("doc_id")[0].as_py()] * copies, order.schema.field("doc_id").type), _lists([ids] * copies), *back], names)
+        return pa.table([doc, _lists([ids] * copies), *back], names)
 
     kind = dict(rows.dtypes)["doc_id"]
-    names = ["doc_id", "ids", "decoded"][: 2 + decoded]
-    schema = f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded
+    columns = DIGESTS if digested else {"ids": "array<int>"} | ({"decoded": "binary"} if decoded else {})
+    names = ["doc_id", *columns]
+    schema = ", ".join(f"{c} {of}" for c, of in ({"doc_id": kind} | columns).items())
     short = rows.where(F.length("text") <= size).mapInArrow(whole, schema)
     long = (
         rows.where(F.length("text") > size)
@@ -193,15 +222,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids); the ids are decoded on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = token_bytes(path)
-        spoken = [b"%d" % i for i in range(len(known))]
         for b in slices(batches):
-            n, of_ids, of_bytes = [], [], []
-            for ids in b.column("ids"):
-                each = ids.values.to_pylist()
-                n.append(len(each))
-                of_ids.append(hashlib.sha256(b" ".join([spoken[i] for i in each])).hexdigest())
-                of_bytes.append(hashlib.sha256(b"".join([known[i] for i in each])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_digested((ids.values.to_pylist() for ids in b.column("ids")), path)], ["doc_id", *DIGESTS])
+
+    return encoded.mapInArrow(run, ", ".join(f"{c} {of}" for c, of in ({"doc_id": dict(encoded.dtypes)["doc_id"]} | DIGESTS).items()))

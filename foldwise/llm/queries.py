@@ -51,7 +51,7 @@ def rank_file() -> tuple[str, str]:
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = rank_file()
-    return _bpe.digests(_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
+    return _bpe.encode(table(spark, sf_dir, "documents"), path, pattern, digested=True)
 
 
 @query

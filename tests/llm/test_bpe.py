@@ -47,3 +47,16 @@ def test_boundaries_cover_the_text():
     for t in texts(5, 50):
         ends = bpe.boundaries(t, PATTERN)
         assert (np.diff(ends) > 0).all() and (not t or ends[-1] == len(t))
+
+
+def test_ids_are_digested_where_they_are_made(spark, tmp_path):
+    from foldwise.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(1, "a b " * 50), (1, "a b " * 50), (2, None), (3, "x"), (None, "y " * 70)], "doc_id long, text string")
+    apart = bpe.digests(bpe.encode(docs, PATH, PATTERN, size=40, overlap=10), PATH)
+    same = bpe.encode(docs, PATH, PATTERN, size=40, overlap=10, digested=True)
+    assert same.dtypes == apart.dtypes and sorted(map(str, same.collect())) == sorted(map(str, apart.collect()))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["op9_bpe"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    # of short texts one, of long ones two before their chunks meet; none after
+    assert plan.count("MapInArrow") == 3 and plan.count("FlatMapGroupsInArrow") == 1
