@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.shared import cut, done_with
+from foldwise.llm.shared import cut_unsized, done_with
 
 #: A guard against a bug only: label distances at least halve each round.
 MOST_ROUNDS = 100
@@ -43,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     id with very many edges is met by partial aggregation and by joins that adaptive execution can split. Nulls and self-loops
     are ignored; an empty table gives no rows.
     """
-    some = cut(edges.where("a is not null and b is not null").select("a", "b").distinct())
+    some = cut_unsized(edges.where("a is not null and b is not null").select("a", "b").distinct())
     if some.count() <= SMALL:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,12 +51,12 @@ def components(edges: DataFrame) -> DataFrame:
             ids, low = labelled(t.column("a").to_numpy(), t.column("b").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], ["id", "component"])
 
-        labels = cut(some.selectExpr("cast(a as long) a", "cast(b as long) b").coalesce(1).mapInArrow(run, "id long, component long"))
+        labels = cut_unsized(some.selectExpr("cast(a as long) a", "cast(b as long) b").coalesce(1).mapInArrow(run, "id long, component long"))
         done_with(some)
         return labels
-    both = cut(some.unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut_unsized(some.unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     done_with(some)
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    labels = cut_unsized(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(MOST_ROUNDS):
         near = (
             both.join(labels.select(F.col("id").alias("b"), "component"), "b")
@@ -65,9 +65,9 @@ def components(edges: DataFrame) -> DataFrame:
         )
         lower = labels.join(near, "id").select("id", F.least("component", "m").alias("l"), F.col("component").alias("was"))
         hop = labels.select(F.col("id").alias("l"), F.col("component").alias("c"))
-        step = cut(lower.join(hop, "l", "left").select("id", F.least("l", "c").alias("component"), "was"))
+        step = cut_unsized(lower.join(hop, "l", "left").select("id", F.least("l", "c").alias("component"), "was"))
         settled = not step.where("component <> was").limit(1).count()
-        before, labels = labels, cut(step.select("id", "component"))
+        before, labels = labels, cut_unsized(step.select("id", "component"))
         done_with(before, step)
         if settled:
             done_with(both)

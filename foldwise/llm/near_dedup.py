@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.graph import components
-from foldwise.llm.shared import arrow_rows, bounded_batches, cut, done_with, only
+from foldwise.llm.shared import arrow_rows, bounded_batches, cut_unsized, done_with, only
 from foldwise.llm.shingles import fingerprint, minhashes, mix, shingle_set, word_lists
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -132,7 +132,7 @@ def members(reps: DataFrame) -> DataFrame:
     rows = reps.select("id", "mh").mapInArrow(keyed, schema)
     place = F.when(F.col("first").isNull() | (F.col("first") == F.col("id")), F.col("key")).otherwise(F.xxhash64("key", "id"))
     with arrow_rows(reps.sparkSession, SMALL_ROWS):
-        return cut(rows.repartition(place).sortWithinPartitions("key", "id").mapInArrow(tied, schema))
+        return cut_unsized(rows.repartition(place).sortWithinPartitions("key", "id").mapInArrow(tied, schema))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, long: bool = False) -> DataFrame:
@@ -167,12 +167,12 @@ def _worth(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("mh").alias(f"m{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return cut(near.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long"))
+    return cut_unsized(near.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long"))
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; written."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    ids = cut_unsized(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = _sets(docs, ids, words).drop("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    links = cut(met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+    links = cut_unsized(met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
     done_with(ids)
     return links
 
@@ -196,8 +196,8 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, first, component, rows): the rows of buckets with more than one component; written."""
     named = members.join(labels, "id", "left").select("key", "id", "first", F.coalesce("component", "id").alias("component"))
     size = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    size = cut(size.where("lo <> hi").select("key", "rows"))
-    mixed = cut(named.join(F.broadcast(size) if size.count() <= SMALL else size, "key"))
+    size = cut_unsized(size.where("lo <> hi").select("key", "rows"))
+    mixed = cut_unsized(named.join(F.broadcast(size) if size.count() <= SMALL else size, "key"))
     done_with(size)
     return mixed
 
@@ -247,7 +247,7 @@ def _sparse(mixed: DataFrame, clusters: DataFrame, reps: DataFrame, percent: int
 
     rows = mixed.where(F.col("rows") <= LARGE).join(clusters, "id", "left").join(reps.select("id", "n", "mh"), "id")
     rows = rows.select("key", "id", "component", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "n", "mh")
-    return cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
+    return cut_unsized(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
 
 
 def _dealt(rows: DataFrame, block: int, own: bool = False) -> DataFrame:
@@ -318,14 +318,14 @@ def _dense(docs: DataFrame, clusters: DataFrame, labels: DataFrame, links: DataF
     the own blocks give a link a document at most, and two blocks one for each component that is left in them.
     """
     named = clusters.join(labels, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
-    sets = cut(_sets(docs, clusters.select("id"), words, long=True))
-    rows = cut(named.join(sets.select("id", "m", (F.octet_length("s") / 8).cast("long").alias("n")), "id"))
-    forest = cut(_dealt(rows, WIDE).groupBy("cluster", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long"))
+    sets = cut_unsized(_sets(docs, clusters.select("id"), words, long=True))
+    rows = cut_unsized(named.join(sets.select("id", "m", (F.octet_length("s") / 8).cast("long").alias("n")), "id"))
+    forest = cut_unsized(_dealt(rows, WIDE).groupBy("cluster", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long"))
     done_with(rows)
     met = forest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = cut(clusters.join(met, "id", "left_semi").join(sets.select("id", "s"), "id"))
+    rows = cut_unsized(clusters.join(met, "id", "left_semi").join(sets.select("id", "s"), "id"))
     done_with(forest, sets)
-    compare = lambda dealt: cut(dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: _links(t, percent), "a long, b long"))
+    compare = lambda dealt: cut_unsized(dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: _links(t, percent), "a long, b long"))
     labelled = lambda by: rows.join(by, "id", "left").withColumn("component", F.coalesce("component", "id"))
     own = compare(_dealt(labelled(labels), BLOCK, own=True))
     far = _dealt(rows, BLOCK).where("i < j").limit(1).count()
@@ -359,16 +359,16 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     gives no rows. Memory follows one text or one batch.
     """
     docs = only(bounded_batches(docs), "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = cut(signatures(docs, words))
+    signed = cut_unsized(signatures(docs, words))
     docs = docs.where("doc_id is not null")
     full = signed.where("n > 0 and doc_id is not null")
-    reps = cut(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("mh").alias("mh")))
+    reps = cut_unsized(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("mh").alias("mh")))
     tied = members(reps)
     pairs = tied.where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     worth = _worth(pairs, reps, percent)
     links = confirm(docs, worth, words, percent)
     done_with(worth)
-    twice = cut(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
+    twice = cut_unsized(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
     if twice.limit(1).count():
         links = links.union(full.join(twice, "doc_id", "left_semi").join(reps.select("f1", "f2", "id"), ["f1", "f2"]).where("doc_id <> id").selectExpr("id as a", "doc_id as b"))
     labels = components(links)
@@ -394,5 +394,5 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, one of each group of near duplicates; rows that share a doc_id stay or go together."""
-    gone = cut(near_groups(docs, words, percent).where("not kept").select("doc_id"))
+    gone = cut_unsized(near_groups(docs, words, percent).where("not kept").select("doc_id"))
     return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -40,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_unsized(df: DataFrame) -> DataFrame:
+    """As `cut`, but the rows' size counts as unknown from here on.
+
+    A checkpoint hands on the size that the planner guessed, and the guess for a join is the product of its sides. Where tables that
+    were written are joined round after round, its digits more than double each round, and in the end the guesses alone fill the driver.
+    """
+    plan, session, jvm = cut(df)._jdf.queryExecution().analyzed(), df.sparkSession, df.sparkSession._jvm
+    none = jvm.scala.Option.empty()
+    rows = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session._jsparkSession, none, none
+    )
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, rows), session)
+
+
 def done_with(*written: DataFrame) -> None:
     """Remove what `cut` wrote for these rows; nothing may read them any more."""
     for df in written:

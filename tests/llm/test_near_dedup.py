@@ -212,3 +212,21 @@ def test_components_by_joins(spark, monkeypatch):
 
     monkeypatch.setattr(graph, "SMALL", 0)
     test_components(spark)
+
+
+def test_guessed_sizes_stay_small_over_rounds_of_joins(spark, monkeypatch):
+    from foldwise.llm import graph
+
+    def guess(df):
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+    monkeypatch.setattr(graph, "SMALL", 0)
+    labels = components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"))
+    assert {(x.id, x.component) for x in labels.collect()} == {(i, 0) for i in range(21)}
+    assert guess(labels) <= 64
+    monkeypatch.setattr(near_dedup, "SMALL", 0)
+    monkeypatch.setattr(near_dedup, "LARGE", 3)
+    rows = _dispersed(60)
+    found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()} == brute(rows, 2)
+    assert guess(found) <= 400
